@@ -132,11 +132,11 @@ def _false_hits(docs: DataFrame, index: DataFrame, digest_bytes: int) -> DataFra
         run, "doc_id long, chars long, key binary, norm binary"
     )
     one = several.select(F.col("key").alias("k"), "keep_id", "keep_chars")
-    kept = (
+    kept = checkpointed(
         hits.join(one, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars")))
         .groupBy("k")
         .agg(F.min("norm").alias("kept_norm"))
-    )
+    )  # of its own, so that the join below can be split where a key has many rows
     return hits.join(kept, F.col("key") == F.col("k")).where("norm != kept_norm").select("doc_id", "chars", "key", "norm")
 
 
