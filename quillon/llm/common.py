@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +109,44 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a stored table that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bits of a filter at most: 8 MB, whatever the input. A full filter lets more through, which costs time only.
+FILTER_BITS = 1 << 26
+PROBES = 4
+
+
+def filter_size(keys: int, bits: int = FILTER_BITS) -> int:
+    """A power of two, at least 16 bits a key and 32768, at most `bits`."""
+    size = 1 << 15
+    while size < min(bits, 16 * keys):
+        size *= 2
+    return size
+
+
+def filter_bits(places: DataFrame, size: int) -> bytes:
+    """A bitmap of `size` bits with those set that column p of places names; built in Spark, 4 KB for each row returned."""
+    parts = places.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    found = np.zeros((size >> 15, 4096), dtype=np.uint8)
+    for r in parts:
+        found[r["part"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return found.tobytes()
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A Bloom filter over column id (long, not null) of ids, which must be cheap to read twice."""
+    size = filter_size(ids.count())
+    text = F.col("id").cast("string")
+    h, g = F.crc32(text.cast("binary")), F.crc32(F.concat(F.lit("g"), text).cast("binary"))
+    return filter_bits(ids.select(F.explode(F.array(*[F.pmod(h + g * F.lit(i), F.lit(size)) for i in range(PROBES)])).alias("p")), size)
+
+
+def may_hold(bits: bytes, ids: list[int | None]) -> np.ndarray:
+    """Which of the ids the filter may hold; null is never held."""
+    size, out = len(bits) * 8, np.zeros(len(ids), dtype=bool)
+    for n, i in enumerate(ids):
+        if i is not None:
+            text = b"%d" % i
+            h, g = zlib.crc32(text), zlib.crc32(b"g" + text)
+            out[n] = all(bits[(p := (h + k * g) % size) >> 3] >> (p & 7) & 1 for k in range(PROBES))
+    return out

@@ -12,18 +12,14 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed
+from quillon.llm.common import PROBES, checkpointed, filter_bits, filter_size
 
 MEMTABLE_ROWS = 200_000
-FILTER_BITS = 1 << 26
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
-_LOW = (1 << 40) - 1
-PROBES = 4
 
 
 def normalised(text: bytes | None) -> bytes:
@@ -86,36 +82,26 @@ def compact(runs: DataFrame) -> DataFrame:
     return merged.select("key", F.col("b.doc_id").alias("keep_id"), (-F.col("b.less")).alias("keep_chars"), F.col("b.row").alias("keep_row"), "n")
 
 
-def hit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter, as bytes, over the binary column key: at least 16 bits a key, up to `bits`."""
-    size = 1 << 15
-    n = keys.count()
-    while size < min(bits, 16 * n):
-        size *= 2
+def hit_filter(keys: DataFrame) -> bytes:
+    """A Bloom filter, of bounded size, over the binary column key."""
+    size = filter_size(keys.count())
     h, g = (F.conv(F.hex(F.rpad(F.substring("key", a, 5), 5, F.lit(b"\0"))), 16, 10).cast("long") for a in (1, 6))
-    probes = keys.select(F.explode(F.array(*[F.pmod(h + g * F.lit(i), F.lit(size)) for i in range(PROBES)])).alias("p"))
-    parts = probes.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg((F.col("p").bitwiseAND(F.lit(32767)))).alias("bits")).collect()
-    found = np.zeros((size >> 15, 4096), dtype=np.uint8)
-    for r in parts:  # at most size / 32768 rows of 4 KB
-        found[r["part"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return found.ravel()
+    return filter_bits(keys.select(F.explode(F.array(*[F.pmod(h + g * F.lit(i), F.lit(size)) for i in range(PROBES)])).alias("p")), size)
 
 
-def _in_filter(found: np.ndarray, key: bytes) -> bool:
+def _in_filter(bits: bytes, key: bytes) -> bool:
     h, g = int.from_bytes(key[:5].ljust(5, b"\0")), int.from_bytes(key[5:10].ljust(5, b"\0"))
-    size = len(found) * 8
-    return all(found[(p := (h + i * g) % size) >> 3] >> (p & 7) & 1 for i in range(PROBES))
+    size = len(bits) * 8
+    return all(bits[(p := (h + i * g) % size) >> 3] >> (p & 7) & 1 for i in range(PROBES))
 
 
 def _false_hits(docs: DataFrame, index: DataFrame, digest_bytes: int) -> DataFrame:
     """Rows (doc_id, chars, key, norm) whose normalised text differs from that of the row that their key keeps."""
     several = index.where("n > 1")
-    held = hit_filter(several.select("key"))
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(held.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(hit_filter(several.select("key")))
 
     def run(batches):
-        bits = np.frombuffer(shared.value, dtype=np.uint8)
+        bits = shared.value
         for batch in batches:
             out = [], [], [], []
             for doc_id, chars, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

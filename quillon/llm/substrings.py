@@ -8,7 +8,8 @@
 3. A document's windows that start in a smaller document go back to it as a list; repeated windows merge into maximal
    intervals, and the other words are kept.
 
-Counts are combined before each shuffle and joined back by shuffle joins that can be split, so a passage in a third of
+Texts are shuffled only where a Bloom filter of bounded size may hold their document: those with a shared anchor, then
+those that lose words. Counts are combined before each shuffle and joined back by shuffle joins that can be split, so a passage in a third of
 all documents is spread. A list holds one document's own windows.
 """
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed
+from quillon.llm.common import checkpointed, id_filter, may_hold
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -147,12 +148,35 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     alone = found.join(copies, ["doc_id", "whole"], "left_anti")
     places = alone.select(F.explode("anchors").alias("anchor"), "doc_id")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    hot = places.join(shared, "anchor").groupBy(F.col("doc_id").alias("hot_id")).agg(F.collect_set("anchor").alias("hot"))
-    rows = checkpointed(windows(texts.join(hot, F.col("doc_id") == F.col("hot_id")).select("doc_id", "text", "hot"), width).distinct())
+    hot = checkpointed(places.join(shared, "anchor").groupBy(F.col("doc_id").alias("hot_id")).agg(F.collect_list("anchor").alias("hot")))
+    looked = _of(texts, hot.select(F.col("hot_id").alias("id")), True).join(hot, F.col("doc_id") == F.col("hot_id")).select("doc_id", "text", "hot")
+    rows = checkpointed(windows(looked, width))
     least = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     gone = rows.join(least, ["h1", "h2"]).where("doc_id > first").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("h1").alias("gone"))
     wholes = copies.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("whole").alias("wholes"))
     gone = gone.join(wholes, F.col("gone_id") == F.col("copy_id"), "full").select(F.coalesce("gone_id", "copy_id").alias("gone_id"), "gone", "wholes")
+    gone = checkpointed(gone)
+    touched = gone.select(F.col("gone_id").alias("id"))
+    cut = _of(texts, touched, True).join(gone, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone", "wholes")
+    rest = _of(texts, touched, False).select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<binary>").alias("wholes"))
+    schema = "doc_id long, n_words long, n_removed long, kept binary"
+    found = cut.mapInArrow(_cutter(width), schema).union(rest.mapInArrow(_cutter(width), schema))
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
+
+
+def _of(texts: DataFrame, ids: DataFrame, held: bool) -> DataFrame:
+    """The rows of texts that a filter over ids may hold, or the others: only texts that matter are shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(shared.value, batch.column(0).to_pylist()) == held))
+
+    return texts.mapInArrow(run, "doc_id long, text binary")
+
+
+def _cutter(width: int):
+    """Batches (doc_id, text, gone, wholes) to (doc_id, n_words, n_removed, kept)."""
 
     def run(batches):
         for batch in batches:
@@ -165,8 +189,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 elif batch.column(2)[i].is_valid and len(words) >= width:
                     gone = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
                     starts = np.flatnonzero(np.isin(rolling(word_hashes(words), width).view(np.int64), gone))
-                    at = 0
-                    left = []
+                    at, left = 0, []
                     for lo, hi in intervals(starts, width):
                         left += words[at:lo]
                         at = hi
@@ -177,9 +200,4 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 [ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    return (
-        texts.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
-        .select("doc_id", "text", "gone", "wholes")
-        .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
-        .select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
-    )
+    return run
