@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from quillon.llm.common import checkpointed
 
@@ -249,17 +250,18 @@ class Scorer:
         return out
 
 
-def identify(docs: DataFrame, model: tuple, keep: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, lang_pred, score) for every row of docs, and the columns `keep`.
+def identify(docs: DataFrame, model: tuple, keep_rows: bool = False) -> DataFrame:
+    """Rows (doc_id, lang_pred, score) for every row of docs, and with keep_rows the whole input row as the struct row.
 
     lang_pred is the language under which the whole text is likeliest, score its probability if all languages are equally
     likely beforehand. A text that is null or has no letter gives `und` with score 0, and so does any text if no language
     was learned. Null ids and repeated rows are kept as they are; an empty table gives no rows.
     """
-    keep = keep or []
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    schema = ", ".join(["doc_id long", "lang_pred string", "score double", *[f"_{i} {chosen.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep))]])
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.struct("*").alias("row")] * keep_rows)
+    schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    if keep_rows:
+        schema = schema.add("row", chosen.schema["row"].dataType)
 
     def run(batches):
         score = Scorer(shared.value)
@@ -273,9 +275,9 @@ def identify(docs: DataFrame, model: tuple, keep: list[str] | None = None) -> Da
                     part, size = [], 0
             found += score(part)
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", *[f"_{i}" for i in range(len(keep))]])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", *["row"] * keep_rows])
 
-    return chosen.mapInArrow(run, schema).select("doc_id", "lang_pred", "score", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
+    return chosen.mapInArrow(run, schema)
 
 
 def held_out(doc_id, folds: int = 5, fold: int = 0):

@@ -179,14 +179,17 @@ def mixed_documents(docs: DataFrame, **law) -> DataFrame:
     Documents from which nothing is taken are left out. n_chars, where there is such a column, is counted again.
     """
     plan = mix(docs, **law).where(F.size("segments") > 0)
-    taken = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_n"), "segments").dropDuplicates(["_id", "_hash"])
-    joined = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    taken = plan.select("doc_id", "text_hash", F.col("size").alias("n"), "segments").dropDuplicates(["doc_id", "text_hash"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct("*").alias("row"))
+    joined = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
     passes = F.array_distinct(F.transform("segments", lambda s: s["pass"]))
-    rows = joined.withColumn("_pass", F.explode(passes)).withColumn("_own", F.filter("segments", lambda s: s["pass"] == F.col("_pass")))
-    words = F.regexp_extract_all("text", F.lit(f"({_SIZE})"), F.lit(1))
-    parts = F.flatten(F.transform("_own", lambda s: F.slice(F.col("_words"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    whole = F.aggregate("_own", F.lit(0).cast("long"), lambda a, s: a + s["length"]) == F.col("_n")
-    rows = rows.withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(parts, " ")))
+    rows = joined.withColumn("p", F.explode(passes)).withColumn("own", F.filter("segments", lambda s: s["pass"] == F.col("p")))
+    text = F.col("row")["text"]
+    whole = F.aggregate("own", F.lit(0).cast("long"), lambda a, s: a + s["length"]) == F.col("n")
+    rows = rows.withColumn("words", F.when(~whole, F.regexp_extract_all(text, F.lit(f"({_SIZE})"), F.lit(1))))
+    parts = F.flatten(F.transform("own", lambda s: F.slice(F.col("words"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    row = F.col("row").withField("text", F.when(whole, text).otherwise(F.array_join(parts, " ")))
+    rows = rows.select(row.alias("row"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(docs.columns)
+        rows = rows.select(F.col("row").withField("n_chars", F.length("row.text").cast("long")).alias("row"))
+    return rows.select("row.*")
