@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +152,11 @@ def may_hold(bits: bytes, ids: list[int | None]) -> np.ndarray:
             h, g = zlib.crc32(text), zlib.crc32(b"g" + text)
             out[n] = all(bits[(p := (h + k * g) % size) >> 3] >> (p & 7) & 1 for k in range(PROBES))
     return out
+
+
+def sliced(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

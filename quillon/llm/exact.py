@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import PROBES, checkpointed, filter_bits, filter_size
+from quillon.llm.common import PROBES, checkpointed, filter_bits, filter_size, sliced
 
 MEMTABLE_ROWS = 200_000
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -30,7 +30,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, chars, sha) for every row: code points of the original text, SHA-256 of the normalised one."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sha = [hashlib.sha256(normalised(t)).digest() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha, pa.binary())], names=["doc_id", "chars", "sha"])
 
@@ -102,7 +102,7 @@ def _false_hits(docs: DataFrame, index: DataFrame, digest_bytes: int) -> DataFra
 
     def run(batches):
         bits = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             out = [], [], [], []
             for doc_id, chars, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 norm = normalised(text)

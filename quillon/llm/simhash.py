@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, components
+from quillon.llm.common import checkpointed, components, sliced
 
 SHARD_ROWS = 4096
 LEVELS = 4
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42) -> Dat
     """Rows (doc_id, fp long) for every row of docs; a null text counts as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [fingerprint(t, shingle_words, seed) for t in batch.column(1).to_pylist()]
             fps = np.array(found, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
@@ -268,7 +268,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     radius = radius_of(similarity)
 
     def sketch(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [wide_sketch(t, shingle_words) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "mins"])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, id_filter, may_hold
+from quillon.llm.common import checkpointed, id_filter, may_hold, sliced
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -70,7 +70,7 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, whole, anchors) for documents with an id and at least one window."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, whole, lists = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.split()
@@ -149,37 +149,48 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     places = alone.select(F.explode("anchors").alias("anchor"), "doc_id")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     hot = checkpointed(places.join(shared, "anchor").groupBy(F.col("doc_id").alias("hot_id")).agg(F.collect_list("anchor").alias("hot")))
-    looked = _of(texts, hot.select(F.col("hot_id").alias("id")), True).join(hot, F.col("doc_id") == F.col("hot_id")).select("doc_id", "text", "hot")
+    looked = _held(texts, docs.sparkSession.sparkContext.broadcast(id_filter(hot.select(F.col("hot_id").alias("id"))))).join(hot, F.col("doc_id") == F.col("hot_id")).select("doc_id", "text", "hot")
     rows = checkpointed(windows(looked, width))
     least = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     gone = rows.join(least, ["h1", "h2"]).where("doc_id > first").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("h1").alias("gone"))
     wholes = copies.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("whole").alias("wholes"))
     gone = gone.join(wholes, F.col("gone_id") == F.col("copy_id"), "full").select(F.coalesce("gone_id", "copy_id").alias("gone_id"), "gone", "wholes")
     gone = checkpointed(gone)
-    touched = gone.select(F.col("gone_id").alias("id"))
-    cut = _of(texts, touched, True).join(gone, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone", "wholes")
-    rest = _of(texts, touched, False).select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<binary>").alias("wholes"))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(gone.select(F.col("gone_id").alias("id"))))
+    cut = _held(texts, shared).join(gone, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone", "wholes")
     schema = "doc_id long, n_words long, n_removed long, kept binary"
-    found = cut.mapInArrow(_cutter(width), schema).union(rest.mapInArrow(_cutter(width), schema))
+    found = cut.mapInArrow(_cutter(width), schema).union(texts.mapInArrow(_whole(shared), schema))
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 
-def _of(texts: DataFrame, ids: DataFrame, held: bool) -> DataFrame:
-    """The rows of texts that a filter over ids may hold, or the others: only texts that matter are shuffled."""
-    shared = texts.sparkSession.sparkContext.broadcast(id_filter(ids))
+def _held(texts: DataFrame, shared) -> DataFrame:
+    """The rows of texts whose id the shared filter may hold: only texts that matter are shuffled."""
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(may_hold(shared.value, batch.column(0).to_pylist()) == held))
+            yield batch.filter(pa.array(may_hold(shared.value, batch.column(0).to_pylist())))
 
     return texts.mapInArrow(run, "doc_id long, text binary")
 
 
+def _whole(shared):
+    """The other rows, which lose nothing, as (doc_id, n_words, n_removed, kept)."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            batch = batch.filter(pa.array(~may_hold(shared.value, batch.column(0).to_pylist())))
+            words = [(t or b"").split() for t in batch.column(1).to_pylist()]
+            columns = [pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w) for w in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return run
+
+
 def _cutter(width: int):
     """Batches (doc_id, text, gone, wholes) to (doc_id, n_words, n_removed, kept)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, counts, removed, kept = batch.column(0), [], [], []
             for i, (text, wholes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 words = (text or b"").split()
