@@ -11,8 +11,6 @@ place in the stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,23 +121,29 @@ def draw_plan(stats: list[tuple[str | None, int]], block: int, shards: int, seed
     return plan
 
 
-def segments(plan: dict, start: int, size: int, block: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(pass, first word in the document, words, shard, sort key) of what is drawn from words start to start + size."""
-    if not size:
-        return
-    blocks = np.arange(start // block, (start + size - 1) // block + 1)
-    ranks = permuted(blocks, plan["blocks"], plan["key"])
-    lo = np.maximum(blocks * block, start)
-    hi = np.minimum((blocks + 1) * block, start + size)
+def segments(plan: dict, start: np.ndarray, size: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
+    """What is drawn from one source's documents, which lie at words start … start + size of its stream.
+
+    Arrays (document, pass, first word in the document, words, shard, sort key), in the order of documents, passes, words.
+    """
+    count = np.where(size > 0, (start + size - 1) // block - start // block + 1, 0)
+    doc = np.repeat(np.arange(len(start)), count)
+    inside = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    blocks = start[doc] // block + inside
+    ranks = permuted(blocks, max(1, plan["blocks"]), plan["key"])
+    lo = np.maximum(blocks * block, start[doc])
+    hi = np.minimum((blocks + 1) * block, (start + size)[doc])
+    ends = np.minimum((blocks + 1) * block, plan["size"]) - np.where(ranks == plan["quota"] - 1, plan["cut"], 0)
+    found = []
     for p in range(plan["passes"] + 1):
-        if p == plan["passes"]:
-            ends = np.minimum((blocks + 1) * block, plan["size"]) - np.where(ranks == plan["quota"] - 1, plan["cut"], 0)
-            hi = np.where(ranks < plan["quota"], np.minimum(hi, ends), lo)
-        drawn = p * plan["blocks"] + ranks
+        last = hi if p < plan["passes"] else np.where(ranks < plan["quota"], np.minimum(hi, ends), lo)
+        at = np.flatnonzero(last > lo)
+        drawn = p * plan["blocks"] + ranks[at]
         shard = np.searchsorted(plan["ends"], drawn, side="right")
-        sort = permuted(drawn, 1 << 62, plan["key"] + 1)
-        for i in np.flatnonzero(hi > lo):
-            yield p, int(lo[i] - start), int(hi[i] - lo[i]), int(shard[i]), int(sort[i])
+        found.append((doc[at], np.full(len(at), p), lo[at] - start[doc[at]], (last - lo)[at], shard, permuted(drawn, 1 << 62, plan["key"] + 1)))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 256, shards: int = 16, seed: int = 20) -> DataFrame:
@@ -155,15 +159,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     stats = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # one row a source
     plan = draw_plan(stats, block, shards, seed, weights=weights, share=share, limit=limit) if stats else {}
     placed = running_start(rows, ["source"], ["doc_id", "text_hash", "size"], "size", "first")
-    kind = pa.list_(pa.struct([("pass", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("shard", pa.int32()), ("sort", pa.int64())]))
-    fields = ("pass", "start", "length", "shard", "sort")
+    names = ("pass", "start", "length", "shard", "sort")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def run(batches):
         for batch in batches:
-            source, size, first = (batch.column(i).to_pylist() for i in (1, 2, 4))
-            found = [[dict(zip(fields, x, strict=True)) for x in segments(plan[s], f, n, block)] for s, n, f in zip(source, size, first, strict=True)]
+            source, groups = batch.column(1).to_pylist(), {}
+            for i, s in enumerate(source):
+                groups.setdefault(s, []).append(i)
+            size, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+            parts = []
+            for s, members in groups.items():
+                rows = np.array(members)
+                doc, *rest = segments(plan[s], first[rows], size[rows], block)
+                parts.append((rows[doc], *rest))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=np.int64)] * 6
+            order = np.argsort(columns[0], kind="stable")
+            counts = np.bincount(columns[0].astype(np.int64), minlength=len(size))
+            fields = [pa.array(c[order], k) for c, k in zip(columns[1:], kinds, strict=True)]
+            found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.StructArray.from_arrays(fields, names=names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([plan[s]["size"] for s in source], pa.int64()), pa.array([plan[s]["target"] for s in source], pa.float64()), batch.column(3), pa.array(found, kind)],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([plan[s]["size"] for s in source], pa.int64()), pa.array([plan[s]["target"] for s in source], pa.float64()), batch.column(3), found],
                 names=["doc_id", "source", "size", "source_size", "target", "text_hash", "segments"],
             )
 
