@@ -19,7 +19,7 @@ from quillon.llm.langid import held_out
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
 _SPACES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 #: Fixed word lists: terms of one kind may be swapped for each other.
