@@ -81,5 +81,48 @@ def queries() -> dict:
     }
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM k
+"""
+
+OP6 = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN (SELECT s, min(doc_id) AS f FROM win GROUP BY s) USING (s) WHERE f < doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM w) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _any_case(regex: str) -> str:
+    """The expression of a (?i) rule with each letter of its first group in both cases; RE2's own folding goes beyond ASCII."""
+    if not regex.startswith("(?i)"):
+        return regex
+    head, tail = regex[4:].split(")", 1)
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + tail
+
+
+def _op4_sql() -> str:
+    parts = []
+    for i, rule in enumerate(secrets.BASE + secrets.MORE):
+        regex = _any_case(rule.regex).replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {i} AS k, '{rule.kind}' AS kind, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS n
+FROM (SELECT doc_id, hits, groups, gaps, unnest(generate_series(1, len(hits))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{regex}', 0) AS hits, regexp_extract_all(text, '{regex}', {rule.group}) AS groups, string_split_regex(text, '{regex}') AS gaps FROM documents))
+WHERE length(groups[i]) >= {rule.shortest}"""
+        )
+    label = "kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT"
+    base = len(secrets.BASE)
+    counts = ", ".join(f"count_if(k = {i})::BIGINT AS n_{r.kind}" for i, r in enumerate(secrets.BASE))
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)
+    return f"""WITH s AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, string_agg({label}, ',' ORDER BY a, k) FILTER (k < {base}) AS base, string_agg({label}, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secret_scan": _op4_sql(), "op6_substring_dedup": OP6, "op9_exact_dedup": OP9}
