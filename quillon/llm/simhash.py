@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, se
 #: Bits of the wide fingerprint, whose distances tell similarities of texts to within a few hundredths.
 WIDE_BITS = 1024
 MINIMA = 6
+WIDE_SHARD_ROWS = 1024
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(WIDE_BITS // 64 + MINIMA)], dtype=np.uint64)
 _WIDE_LANES = (np.arange(WIDE_BITS // 8, dtype=np.int64) * 256)[None, :]
 
@@ -261,7 +262,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
 
     Similarity is the Jaccard similarity of the word shingles, told by the distance of wide SimHash fingerprints. A shard
     of the BK-trees holds the fingerprints of documents that share one of MINIMA minimum hashes; two documents at 0.8 share
-    none of six in 6 of 100,000 cases. A shard with over SHARD_ROWS fingerprints is cut by a second and third minimum; what
+    none of six in 6 of 100,000 cases. A shard with over WIDE_SHARD_ROWS fingerprints is cut by a second and third minimum; what
     is larger still, a group of documents alike in all of them, is dealt out in blocks and each pair of blocks has a task
     of its own, so no partner is left out. Null ids, repeated rows, empty texts and empty tables: as in near_duplicates.
     """
@@ -285,12 +286,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         rows = rows.select("rep", "mins", "last", F.xxhash64("key", "last", F.get("mins", F.col("last"))).alias("key"))
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         held = checkpointed(rows.join(counts, "key").select("rep", "mins", "last", "key", "n"))
-        keep = held if level == levels - 1 else held.where(F.col("n") <= SHARD_ROWS)
+        keep = held if level == levels - 1 else held.where(F.col("n") <= WIDE_SHARD_ROWS)
         ready = keep if ready is None else ready.union(keep)
-        rows = held.where(F.col("n") > SHARD_ROWS).select("rep", "mins", "key", "last")
+        rows = held.where(F.col("n") > WIDE_SHARD_ROWS).select("rep", "mins", "key", "last")
         if level < levels - 1 and rows.isEmpty():
             break
-    blocks = F.ceil(F.col("n") / SHARD_ROWS).cast("int")
+    blocks = F.ceil(F.col("n") / WIDE_SHARD_ROWS).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(13)), blocks).cast("int")
     ready = ready.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     ready = ready.select("rep", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"))
