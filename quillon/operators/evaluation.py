@@ -24,11 +24,24 @@ def evidence_at_k(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.where("evidence is not null").select("qid").join(found, "qid", "left").select("qid", F.coalesce("f", F.lit(False)).alias("evidence_found"))
 
 
-def retrieval_summary(metrics: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row: n, hit1, hit5, mrr, evidence_hits and its own denominator evidence_n."""
-    joined = metrics.join(evidence, "qid", "left")
-    return joined.agg(
-        F.count("*").alias("n"), F.count_if("hit1").alias("hit1"), F.count_if("hit5").alias("hit5"), F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"),
+def question_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, gold_rank, evidence_found) of questions (qid, gold, evidence) in one pass over hits (qid, rank, doc_id, text).
+
+    evidence_found is null for a question without an expression.
+    """
+    joined = hits.join(questions.select("qid", "gold", "evidence"), "qid")
+    found = joined.groupBy("qid").agg(
+        F.min(F.when(F.array_contains("gold", F.col("doc_id")), F.col("rank"))).alias("gold_rank"), F.bool_or(F.rlike("text", F.col("evidence"))).alias("f")
+    )
+    rows = questions.select("qid", "evidence").join(found, "qid", "left")
+    return rows.select("qid", "gold_rank", F.when(F.col("evidence").isNotNull(), F.coalesce("f", F.lit(False))).alias("evidence_found"))
+
+
+def retrieval_summary(results: DataFrame) -> DataFrame:
+    """One row of question_results: n, hit1, hit5, mrr, evidence_hits and its own denominator evidence_n."""
+    rank = F.col("gold_rank")
+    return results.agg(
+        F.count("*").alias("n"), F.count_if(rank == 1).alias("hit1"), F.count_if(rank <= 5).alias("hit5"), F.coalesce(F.avg(F.coalesce(1.0 / rank, F.lit(0.0))), F.lit(0.0)).alias("mrr"),
         F.count_if("evidence_found").alias("evidence_hits"), F.count("evidence_found").alias("evidence_n"),
     )
 

@@ -171,11 +171,16 @@ def html_sections(blocks: DataFrame) -> DataFrame:
 
 
 def html_with_fallback(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """html_sections, but one segment of all text, without a section, where the sections hold under half of it."""
+    """html_sections of blocks, but one segment of all text, without a section, where they hold under half of it.
+
+    The blocks are read once; each page's segments travel in an array to the page that may need the other text.
+    """
     found = html_sections(blocks)
-    kept = found.groupBy("page_id").agg(F.sum(F.length("text")).alias("kept"))
-    sizes = blocks.groupBy("page_id").agg(F.first("all_chars").alias("all_chars"))
-    poor = sizes.join(kept, "page_id", "left").where(F.coalesce("kept", F.lit(0)) < 0.5 * F.col("all_chars")).select("page_id")
+    own = found.groupBy("page_id").agg(F.collect_list(F.struct("seg_no", "section", "text")).alias("segs"), F.sum(F.length("text")).alias("kept"))
     stripped = T.replaced(F.col("html"), (r"(?is)<(script|style|nav|header|footer|noscript)\b.*?</\1>", " "), (r"(?s)<[^>]*>", " "), (r"\s+", " "))
-    whole = pages.join(poor, "page_id", "left_semi").select("page_id", F.lit(0).alias("seg_no"), F.lit(None).cast("string").alias("section"), T.clean_text(stripped).alias("text"))
-    return found.join(poor, "page_id", "left_anti").unionByName(whole.where("text != ''"))
+    rows = pages.select("page_id", T.clean_text(stripped).alias("whole")).join(own, "page_id", "left")
+    poor = F.coalesce("kept", F.lit(0)) < 0.5 * F.length("whole")
+    one = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(None).cast("string").alias("section"), F.col("whole").alias("text")))
+    return rows.select("page_id", F.explode(F.when(poor, one).otherwise(F.col("segs"))).alias("s")).select("page_id", "s.seg_no", "s.section", "s.text").where("text != ''")
+
+

@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts take work: where one file holds it all, it is dealt out to all cores first."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _load() -> None:
     from quillon.plans import corpus_queries, evaluation_queries, retrieval_queries, text_queries  # noqa: F401
 

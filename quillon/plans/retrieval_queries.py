@@ -9,7 +9,8 @@ from quillon.functions import numbers as N
 from quillon.functions import text as T
 from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
-from quillon.plans.registry import query, table
+from quillon.plans.registry import query, table, texts
+from quillon.streaming.state import durable
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -43,7 +44,7 @@ FIRST = "first AS (SELECT g.qid, min(rank) FILTER (list_contains(gold, chunk_id)
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ord"), "text")
+    return texts(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ord"), "text")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -59,15 +60,18 @@ def vector_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, gold: array of doc_id): the documents that hold the benchmark item; the items are a stated, small set."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    """(qid, gold: array of doc_id): the documents that hold the benchmark item; the items are a stated, small set.
+
+    The rows, one for an item, are kept: every use of them would compare all texts again.
+    """
+    docs = texts(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    return docs.join(F.broadcast(items), F.contains("text", F.col("item"))).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
+    return durable(docs.join(F.broadcast(items), F.contains("text", F.col("item"))).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold")))
 
 
 @query(f"SELECT doc_id, pos - 1 AS pos, terms[pos] AS term FROM (SELECT doc_id, terms, generate_subscripts(terms, 1) AS pos FROM (SELECT doc_id, {sql_tokens('text')} AS terms FROM documents))")
 def bm25_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
+    return texts(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
 
 
 @query(BM25 + "SELECT term, df, round(idf, 6) AS idf, sum(tf)::BIGINT AS total FROM w JOIN p USING (term) GROUP BY ALL")
@@ -217,8 +221,7 @@ def retrieval_summary(spark, d):
     asked = gold(spark, d).withColumn("evidence", F.when(F.col("qid") % 2 == 0, F.lit("[0-9]")))
     c = chunks(spark, d)
     hits = R.bm25_topk(questions(spark, d).join(asked.select("qid"), "qid"), c).join(c.select("chunk_id", "text"), "chunk_id").select("qid", "rank", F.col("chunk_id").alias("doc_id"), "text")
-    found = E.retrieval_summary(E.retrieval_metrics(asked, hits), E.evidence_at_k(asked, hits))
-    return found.withColumn("mrr", F.round("mrr", 6))
+    return E.retrieval_summary(E.question_results(asked, hits)).withColumn("mrr", F.round("mrr", 6))
 
 
 @query(

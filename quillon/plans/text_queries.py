@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import chunking as C
 from quillon.operators import sections as S
-from quillon.plans.registry import query, table
+from quillon.plans.registry import query, table, texts
 
 # Blank lines, hyphen breaks and citations, which documents lacks, are put in alike on both sides.
 RAW_SQL = r"""(SELECT doc_id, regexp_replace(replace(text, '. ', E'.  \n\n\n '), '([aeiou])(st[a-z])', E'\\1-\n\\2', 'g') AS text FROM documents)"""
 
 
 def raw(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.replace("text", F.lit(". "), F.lit(".  \n\n\n ")), "([aeiou])(st[a-z])", "$1-\n$2").alias("text"))
+    return texts(spark, d, "documents").select("doc_id", F.regexp_replace(F.replace("text", F.lit(". "), F.lit(".  \n\n\n ")), "([aeiou])(st[a-z])", "$1-\n$2").alias("text"))
 
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({0}, chr(173), ''),
@@ -31,7 +31,7 @@ _LINES = r"(SELECT doc_id, i - 1 AS line, parts[i] AS text FROM (SELECT doc_id,
 
 
 def lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return texts(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
 _NAMES = ", ".join(f"'{n}'" for n in T.HEADING_NAMES)
@@ -106,12 +106,12 @@ def wiki_sections(spark, d):
 
 @query()
 def html_blocks(spark, d):
-    return S.html_blocks(table(spark, d, "pages"))
+    return S.html_blocks(texts(spark, d, "pages"))
 
 
 @query()
 def html_sections(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "html")
+    pages = texts(spark, d, "pages").select("page_id", "html")
     return S.html_with_fallback(S.html_blocks(pages), pages).select("page_id", "seg_no", "section", F.length("text").alias("chars"))
 
 
@@ -143,7 +143,7 @@ def body_preview(spark, d):
 @query()
 def display_clean(spark, d):
     made = F.concat(F.lit("[T (1990) | S]\n"), F.col("text"), F.lit(" {\\displaystyle a_{b} + {c}} 1 2 3 4 5 6 7 x y z a b c d end"))
-    return table(spark, d, "documents").select("doc_id", T.display_clean(made).alias("shown"))
+    return texts(spark, d, "documents").select("doc_id", T.display_clean(made).alias("shown"))
 
 
 @query(
