@@ -95,3 +95,8 @@ def answer_questions(questions: DataFrame, hits: DataFrame, grader, writer, leas
 def refusal_reason(stage: Column, top_score: Column, least: float = MIN_SCORE) -> Column:
     gate = F.format_string(f"best similarity %.2f is below {least:.2f}", top_score)
     return F.when(stage == "score_gate", gate).when(stage == "evidence_check", "the passages do not answer the question").otherwise("")
+
+
+def shown_answer(refused: Column, answer: Column, fallback: Column, use_fallback: Column) -> Column:
+    """The answer, or on a refusal the model's own if that is asked for and there is one."""
+    return F.when(refused & use_fallback & fallback.isNotNull(), fallback).otherwise(answer)

@@ -158,3 +158,16 @@ def ablation(full: DataFrame, variants: list[tuple[str, int, int]] = (("300", 30
     return rows.groupBy("variant").agg(
         F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"), F.percentile("n_tokens", 0.5).alias("median_tokens"), F.max("n_tokens").alias("max_tokens")
     )
+
+
+def token_pieces(texts: DataFrame, encode: Callable[[str], list[tuple[int, str]]]) -> DataFrame:
+    """(doc_id, pos, token_id, piece) of texts (doc_id, text) under a tokenizer given as a function to (id, piece) pairs."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(d, n, i, p) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, (i, p) in enumerate(encode(t or ""))]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "pos", "token_id", "piece"])
+
+    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pos int, token_id long, piece string")

@@ -162,3 +162,14 @@ def rolling_tokens(calls: DataFrame, span: int = 60) -> DataFrame:
 def token_usage(calls: DataFrame) -> DataFrame:
     """(model, calls, tokens_in, tokens_out)."""
     return calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+
+
+def rejudge_work(answers: DataFrame, cached: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Saved answers (qid, answer) to grade again: those named in only, if any, and without a grade in cached (qid)."""
+    rows = answers.where(F.col("qid").isin(only)) if only else answers
+    return rows.join(cached.select("qid"), "qid", "left_anti")
+
+
+def audited(run_label: str, audit_run: str) -> bool:
+    """Whether a manual audit belongs to the run: its label after date and time is part of the run's id."""
+    return audit_run.split("-", 2)[-1] in run_label

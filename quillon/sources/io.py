@@ -101,3 +101,15 @@ def html_claims(claims: DataFrame, limit: int = 1000) -> str:
 def viewer_payload(rows: DataFrame) -> DataFrame:
     """One JSON string a row for a page's script, with </ made harmless."""
     return rows.select(F.replace(F.to_json(F.struct("*")), F.lit("</"), F.lit("<\\/")).alias("payload"))
+
+
+def export_text(segments: DataFrame, doc_id, path: str) -> None:
+    """One document's cleaned text, its segments parted by empty lines, as a text file."""
+    from quillon.operators.chunking import full_texts
+
+    full_texts(segments.where(F.col("doc_id") == doc_id)).select(F.rtrim(F.col("full_text")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def size_in_chars(tokens: Column, chars_per_token: Column) -> Column:
+    """A size in tokens as characters, rounded to tens."""
+    return F.round(tokens * chars_per_token, -1).cast("long")
