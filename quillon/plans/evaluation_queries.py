@@ -216,7 +216,7 @@ def cache_misses(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT event_id, user_id % 10 AS key, epoch(ts)::BIGINT // 60 AS second, length(props)::BIGINT AS tokens FROM events)
+    """WITH c AS (SELECT event_id, user_id % 10 AS key, floor(epoch(ts))::BIGINT // 60 AS second, length(props)::BIGINT AS tokens FROM events)
 SELECT event_id, sum(tokens) OVER (PARTITION BY key ORDER BY second RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)::BIGINT AS window_tokens FROM c"""
 )
 def rolling_budget(spark, d):

@@ -1,13 +1,14 @@
 """Every query with an oracle gives the same rows in DuckDB."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from quillon.plans import registry
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
