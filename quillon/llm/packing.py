@@ -32,17 +32,31 @@ def tokenizer_files() -> dict[str, str]:
 
 
 def encoder(files: dict[str, str]):
-    """text -> uint32 ids. The rank file gives the ids of the JSON file's tokenizer several times as fast."""
+    """text -> uint32 ids. The rank file gives the ids of the JSON file's tokenizer several times as fast.
+
+    Its expression engine gives up on runs of hundreds of thousands of spaces; the JSON file's tokenizer then takes the text.
+    """
     import json
 
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(files["json"], encoding="utf-8") as f:
         special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
     with open(files["ranks"], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("public", pat_str=files["pattern"], mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+    slow: list[Tokenizer] = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+        except ValueError:
+            if not slow:
+                slow.append(Tokenizer.from_file(files["json"]))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    return encode
 
 
 def cuts(n: int, capacity: int, whole: int) -> list[tuple[int, int]]:

@@ -74,6 +74,14 @@ def test_packing(odd, none):
         assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
 
 
+@pytest.mark.parametrize("text", ["", " " * 1_000_000, "x" * 300_000, "\n" * 50_000, "a <|endoftext|> b", "\u2028é 日本\0", "\t " * 9000 + "z"])
+def test_ids_are_the_tokenizers(text):
+    from tokenizers import Tokenizer
+
+    files = packing.tokenizer_files()
+    assert packing.encoder(files)(text).tolist() == Tokenizer.from_file(files["json"]).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, odd, none, name, stage):
     out = stage(spark, odd, "")
