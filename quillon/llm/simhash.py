@@ -140,7 +140,8 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     ready = None
     for level in range(1, LEVELS + 1):
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        counts = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+        # Of its own, so that the join can be split where a shard is hot.
+        counts = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"))
         held = checkpointed(rows.join(counts, ["mask", "key"]))
         keep = held if level == LEVELS else held.where(F.col("n") <= SHARD_ROWS)
         ready = keep if ready is None else ready.union(keep)
@@ -284,7 +285,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         place = F.filter(F.sequence(F.lit(0), F.lit(MINIMA - 1)), lambda i: i > F.col("last"))
         rows = rows.select("rep", "mins", "key", F.explode(place).alias("last"))
         rows = rows.select("rep", "mins", "last", F.xxhash64("key", "last", F.get("mins", F.col("last"))).alias("key"))
-        counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        counts = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         held = checkpointed(rows.join(counts, "key").select("rep", "mins", "last", "key", "n"))
         keep = held if level == levels - 1 else held.where(F.col("n") <= WIDE_SHARD_ROWS)
         ready = keep if ready is None else ready.union(keep)

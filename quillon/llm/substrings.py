@@ -148,11 +148,12 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     alone = found.join(copies, ["doc_id", "whole"], "left_anti")
     places = alone.select(F.explode("anchors").alias("anchor"), "doc_id")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = checkpointed(shared)  # of its own, so that the joins with it can be split where an anchor is hot
     hot = checkpointed(places.join(shared, "anchor").groupBy(F.col("doc_id").alias("hot_id")).agg(F.collect_list("anchor").alias("hot")))
     looked = _held(texts, docs.sparkSession.sparkContext.broadcast(id_filter(hot.select(F.col("hot_id").alias("id"))))).join(hot, F.col("doc_id") == F.col("hot_id")).select("doc_id", "text", "hot")
     rows = checkpointed(windows(looked, width))
     least = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    gone = rows.join(least, ["h1", "h2"]).where("doc_id > first").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("h1").alias("gone"))
+    gone = rows.join(checkpointed(least), ["h1", "h2"]).where("doc_id > first").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("h1").alias("gone"))
     wholes = copies.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("whole").alias("wholes"))
     gone = gone.join(wholes, F.col("gone_id") == F.col("copy_id"), "full").select(F.coalesce("gone_id", "copy_id").alias("gone_id"), "gone", "wholes")
     gone = checkpointed(gone)
