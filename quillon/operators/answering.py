@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.session import durable
 
 MIN_SCORE = 0.35
 REFUSAL = "The indexed sources do not hold enough evidence to answer this question."
@@ -77,8 +78,6 @@ def answer_questions(questions: DataFrame, hits: DataFrame, grader, writer, leas
 
     The gate is applied before the providers run, and each provider's rows are checkpointed, so none is asked twice.
     """
-    from quillon.streaming.state import durable
-
     gate = score_gate(questions, hits, least)
     ready = questions.join(gate.where("passes"), "qid").join(format_context(hits), "qid")
     checks = durable(graded(ready, grader))

@@ -1 +1 @@
-
+"""Registered queries."""

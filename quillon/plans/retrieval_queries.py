@@ -10,7 +10,7 @@ from quillon.functions import text as T
 from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
 from quillon.plans.registry import query, table, texts
-from quillon.streaming.state import durable
+from quillon.session import durable
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 

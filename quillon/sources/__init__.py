@@ -1 +1 @@
-
+"""Sources, sinks and providers."""

@@ -1,8 +1,7 @@
-"""Structured Streaming parts: incremental indexing by file source, durable provider results, rate budgets with state."""
+"""Structured Streaming parts: incremental indexing by file source, rate budgets with state."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,13 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+from quillon.session import durable
 
 
 def index_stream(spark: SparkSession, source: str, schema: str, index: str, state: str, checkpoint: str, chunker):
