@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     found = checkpointed(prints(texts, width))
-    first = found.groupBy("whole").agg(F.min("doc_id").alias("first"))
+    first = checkpointed(found.groupBy("whole").agg(F.min("doc_id").alias("first")))  # see below
     # A copy of a smaller document goes whole: none of its windows needs to be looked at, and it is never the first.
     copies = checkpointed(found.select("doc_id", "whole").join(first, "whole").where("doc_id > first").select("doc_id", "whole").distinct())
     alone = found.join(copies, ["doc_id", "whole"], "left_anti")
