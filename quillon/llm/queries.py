@@ -6,25 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import ann, exact, langid, mixing, packing, secrets, sharding, simhash, substrings, toxicity
-from quillon.llm.common import read_table
+from quillon.llm.common import read_table, read_texts
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(read_texts(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_held_out(read_table(spark, sf_dir, "documents"))
+    return langid.identify_held_out(read_texts(spark, sf_dir))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_held_out(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.score_held_out(read_texts(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = secrets.BASE + secrets.MORE
-    found = secrets.scan(read_table(spark, sf_dir, "documents"), rules)
+    found = secrets.scan(read_texts(spark, sf_dir), rules)
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
 
     def of_kind(i: int):
@@ -41,26 +41,26 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    found = substrings.remove_repeats(read_texts(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(read_table(spark, sf_dir, "documents"))
+    plan = mixing.mix(read_texts(spark, sf_dir))
     taken = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["length"])
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(read_texts(spark, sf_dir))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(read_table(spark, sf_dir, "documents"))
+    return exact.exact_duplicates(read_texts(spark, sf_dir))
 
 
 def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"))
+    return packing.pack(read_texts(spark, sf_dir))
 
 
 def queries() -> dict:
