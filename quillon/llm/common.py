@@ -39,7 +39,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of texts; where fewer files than cores hold it, it is dealt out to all cores first."""
     df, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df._jdf.inputFiles()) >= cores else df.repartition(cores)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
