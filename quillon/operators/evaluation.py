@@ -66,13 +66,20 @@ def method_disagreements(first_hits: DataFrame, methods: list[str], k: int = 5)
 
 
 def threshold_sweep(scores: DataFrame, last: int = 80) -> DataFrame:
-    """(threshold, caught, wrongly_refused) in percent for thresholds 0.00 … last/100 over (top_score, should_refuse)."""
-    steps = scores.select("top_score", "should_refuse", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i"))
-    below, refuse = F.col("top_score") < F.col("i") / 100.0, F.col("should_refuse")
-    grouped = steps.groupBy("i").agg(
-        (100.0 * ratio(F.count_if(below & refuse), F.count_if(refuse))).alias("caught"), (100.0 * ratio(F.count_if(below & ~refuse), F.count_if(~refuse))).alias("wrongly_refused")
-    )
-    return grouped.select((F.col("i") / 100.0).alias("threshold"), "caught", "wrongly_refused")
+    """(threshold, caught, wrongly_refused) in percent for thresholds 0.00 … last/100 over (top_score, should_refuse).
+
+    A row counts from the first threshold above its score on, so rows are counted once and summed over the thresholds.
+    """
+    below = F.floor(F.col("top_score") * 100).cast("int")
+    first = F.when(F.col("top_score") < below / 100.0, below).when(F.col("top_score") < (below + 1) / 100.0, below + 1).otherwise(below + 2)
+    first = F.least(F.lit(last + 1), F.greatest(F.lit(0), first))
+    counts = scores.groupBy(first.alias("i")).agg(F.count_if("should_refuse").alias("r"), F.count_if(~F.col("should_refuse")).alias("a"))
+    steps = scores.sparkSession.range(last + 2).select(F.col("id").cast("int").alias("i")).join(F.broadcast(counts), "i", "left")
+    sums = Window.partitionBy(F.lit(0)).orderBy("i")  # last + 2 rows
+    whole = Window.partitionBy(F.lit(0))
+    share = lambda c: (100.0 * ratio(F.coalesce(F.sum(c).over(sums), F.lit(0)), F.sum(c).over(whole)))
+    swept = steps.select("i", share("r").alias("caught"), share("a").alias("wrongly_refused"))
+    return swept.where(F.col("i") <= last).select((F.col("i") / 100.0).alias("threshold"), "caught", "wrongly_refused")
 
 
 def question_group(category: Column, expected: Column) -> Column:
@@ -113,7 +120,10 @@ def eval_summary(graded: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(timings: DataFrame) -> DataFrame:
-    """(stage, n, p50, p95) of (stage, seconds): interpolated median, nearest-rank p95."""
+    """(stage, n, p50, p95) of (stage, seconds): interpolated median, nearest-rank p95.
+
+    A stage's values, one for each answer of a run, are gathered: the exact rank rule has no aggregate of its own.
+    """
     grouped = timings.groupBy("stage").agg(F.count("*").alias("n"), F.percentile("seconds", 0.5).alias("p50"), F.collect_list("seconds").alias("_s"))
     return grouped.select("stage", "n", "p50", p95(F.col("_s")).alias("p95"))
 

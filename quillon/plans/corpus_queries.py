@@ -26,16 +26,19 @@ def doc_fingerprint(spark, d):
 
 
 def _state(spark, d):
-    old = _prints(spark, d).where("doc_id % 5 <> 0").withColumn("fingerprint", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("fingerprint")))
-    return old.union(table(spark, d, "documents").where("doc_id % 50 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.lit("gone").alias("fingerprint")))
+    """Spanish documents are new, German ones changed, and one source's documents had copies that are gone."""
+    docs = table(spark, d, "documents")
+    old = _prints(spark, d).join(docs.where("lang <> 'es'").select("doc_id", "lang"), "doc_id")
+    old = old.select("doc_id", F.when(F.col("lang") == "de", "old").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return old.union(docs.where("source = 'src1'").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.lit("gone").alias("fingerprint")))
 
 
-@query(f"SELECT doc_id, {_SQL_PRINT} AS fingerprint FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+@query(f"SELECT doc_id, {_SQL_PRINT} AS fingerprint FROM documents WHERE lang IN ('es', 'de')")
 def changed_docs(spark, d):
     return I.changed_docs(_prints(spark, d), _state(spark, d))
 
 
-@query("SELECT doc_id + 1000000 AS doc_id FROM documents WHERE doc_id % 50 = 0")
+@query("SELECT doc_id + 1000000 AS doc_id FROM documents WHERE source = 'src1'")
 def removed_docs(spark, d):
     return I.removed_docs(_prints(spark, d), _state(spark, d))
 
@@ -55,10 +58,10 @@ def sized(spark, d):
     return docs.select("doc_id", "section", F.length("t").cast("long").alias("chars"), F.size(F.split("t", " ")).cast("long").alias("tokens"))
 
 
-@query(f"SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, sum(tokens)::BIGINT AS tokens_total, median(tokens) AS tokens_median, max(tokens) AS tokens_max, count(DISTINCT doc_id) FILTER (doc_id % 5 = 0) AS embedded_this_run FROM {_CHUNKS}")
+@query(f"SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, sum(tokens)::BIGINT AS tokens_total, median(tokens) AS tokens_median, max(tokens) AS tokens_max, count(DISTINCT doc_id) FILTER (section = '') AS embedded_this_run FROM {_CHUNKS}")
 def ingest_report(spark, d):
     chunks = sized(spark, d).withColumnRenamed("tokens", "n_tokens")
-    return I.ingest_report(chunks, chunks.where("doc_id % 5 = 0"))
+    return I.ingest_report(chunks, chunks.where("section = ''"))
 
 
 @query(f"SELECT doc_id, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT AS tokens, round(sum(chars) / sum(tokens), 2) AS chars_per_token FROM {_CHUNKS} GROUP BY 1")
@@ -171,11 +174,11 @@ def token_budget(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT event_id // 2 AS run_id, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS kind, value AS t FROM events WHERE event_id % 10 <> 1)
+    """WITH e AS (SELECT event_id // 2 AS run_id, CASE WHEN event_id % 10 = 1 THEN 'lost' WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS kind, value AS t FROM events)
 SELECT run_id, min(t) FILTER (kind = 'start') AS opened, max(t) FILTER (kind = 'end') AS closed, round(max(t) FILTER (kind = 'end') - min(t) FILTER (kind = 'start'), 6) AS seconds FROM e GROUP BY 1 HAVING min(t) FILTER (kind = 'start') IS NOT NULL"""
 )
 def paired_calls(spark, d):
-    rows = table(spark, d, "events").where("event_id % 10 <> 1").select(F.floor(F.col("event_id") / 2).alias("run_id"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("end").alias("kind"), F.col("value").alias("at"))
+    rows = table(spark, d, "events").select(F.floor(F.col("event_id") / 2).alias("run_id"), F.when(F.col("event_id") % 10 == 1, "lost").when(F.col("event_id") % 2 == 0, "start").otherwise("end").alias("kind"), F.col("value").alias("at"))
     return X.paired_calls(rows).withColumn("seconds", F.round("seconds", 6))
 
 

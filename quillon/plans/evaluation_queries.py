@@ -18,11 +18,11 @@ def _vector_hits(spark, d, k=5):
 
 
 @query(
-    f"""WITH {VEC}, h AS (SELECT qid, chunk_id, score - 0.6 * (qid % 2) AS score FROM vt WHERE rank BETWEEN 2 AND 5 AND qid <> 7), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 20)
+    f"""WITH {VEC}, h AS (SELECT qid, chunk_id, score - 0.6 * (qid // 50 % 2) AS score FROM vt WHERE rank BETWEEN 2 AND 5 AND score > 0.35), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0)
 SELECT q.qid, round(coalesce(max(score), 0), 6) AS top_score, coalesce(max(score), 0) >= 0.35 AS passes FROM q LEFT JOIN h USING (qid) GROUP BY 1"""
 )
 def score_gate(spark, d):
-    hits = _vector_hits(spark, d).where("rank >= 2 and qid <> 7").withColumn("score", F.col("score") - 0.6 * (F.col("qid") % 2))
+    hits = _vector_hits(spark, d).where("rank >= 2 and score > 0.35").withColumn("score", F.col("score") - 0.6 * (F.floor(F.col("qid") / 50) % 2))
     return A.score_gate(vector_questions(spark, d), hits).withColumn("top_score", F.round("top_score", 6))
 
 
@@ -176,11 +176,11 @@ def latency_percentiles(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT event_id, (value / 600)::DOUBLE AS top_score, event_id % 4 = 0 AS refuse FROM events WHERE event_id < 2000), t AS (SELECT unnest(range(0, 81)) AS i)
+    """WITH s AS (SELECT event_id, (value / 600)::DOUBLE AS top_score, event_id % 4 = 0 AS refuse FROM events), t AS (SELECT unnest(range(0, 81)) AS i)
 SELECT i / 100.0::DOUBLE AS threshold, round(100.0 * count_if(refuse AND top_score < i / 100.0::DOUBLE) / count_if(refuse), 6) AS caught, round(100.0 * count_if(NOT refuse AND top_score < i / 100.0::DOUBLE) / count_if(NOT refuse), 6) AS wrongly_refused FROM s, t GROUP BY ALL"""
 )
 def threshold_sweep(spark, d):
-    rows = table(spark, d, "events").where("event_id < 2000").select((F.col("value") / 600).alias("top_score"), (F.col("event_id") % 4 == 0).alias("should_refuse"))
+    rows = table(spark, d, "events").select((F.col("value") / 600).alias("top_score"), (F.col("event_id") % 4 == 0).alias("should_refuse"))
     return E.threshold_sweep(rows).withColumns({c: F.round(c, 6) for c in ("caught", "wrongly_refused")})
 
 
@@ -194,13 +194,13 @@ def pct_label(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT doc_id AS qid, toxic AS n FROM labels WHERE doc_id % 3 = 0), j AS (SELECT doc_id AS qid, (1 - quality) AS unsupported, toxic AS partial FROM labels WHERE doc_id % 2 = 0)
+    """WITH a AS (SELECT doc_id AS qid, toxic AS n FROM labels), j AS (SELECT doc_id AS qid, doc_id % 2 AS unsupported, toxic AS partial FROM labels WHERE quality = 1)
 SELECT qid, n > 0 AS human, coalesce(unsupported, 0) + coalesce(partial, 0) > 0 AS judge, (n > 0) = (coalesce(unsupported, 0) + coalesce(partial, 0) > 0) AS agree FROM a LEFT JOIN j USING (qid)"""
 )
 def judge_agreement(spark, d):
     labels = table(spark, d, "labels")
-    audit = labels.where("doc_id % 3 = 0").select(F.col("doc_id").alias("qid"), F.col("toxic").alias("n_unsupported"))
-    judged = labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("qid"), (1 - F.col("quality")).alias("unsupported"), F.col("toxic").alias("partial"))
+    audit = labels.select(F.col("doc_id").alias("qid"), F.col("toxic").alias("n_unsupported"))
+    judged = labels.where("quality = 1").select(F.col("doc_id").alias("qid"), (F.col("doc_id") % 2).alias("unsupported"), F.col("toxic").alias("partial"))
     return E.judge_agreement(audit, judged)
 
 
@@ -209,10 +209,11 @@ def baseline_key(spark, d):
     return table(spark, d, "benchmark").select("item_id", E.baseline_key(F.lit("chat"), F.lit("judge"), F.col("text"), F.col("item_id")).alias("key"))
 
 
-@query("SELECT item_id FROM benchmark WHERE item_id % 3 <> 0")
+@query("SELECT item_id FROM benchmark WHERE length(text) <= 200")
 def cache_misses(spark, d):
     wanted = baseline_key(spark, d)
-    return E.cache_misses(wanted, wanted.where("item_id % 3 = 0")).select("item_id")
+    cached = wanted.join(table(spark, d, "benchmark").where(F.length("text") > 200).select("item_id"), "item_id")
+    return E.cache_misses(wanted, cached).select("item_id")
 
 
 @query(
