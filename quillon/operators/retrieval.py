@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.session import durable
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 STRATEGIES = ("vector",)
@@ -73,7 +74,7 @@ def _best_of(shared, k: int, skip_own: bool):
 def postings(chunks: DataFrame) -> DataFrame:
     """The inverted index (chunk_id, ord, term, tf, dl)."""
     words = chunks.select("chunk_id", "ord", T.tokens(F.col("text")).alias("terms"))
-    words = words.select("chunk_id", "ord", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    words = words.select("chunk_id", "ord", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null")
     return words.groupBy("chunk_id", "term").agg(F.first("ord").alias("ord"), F.first("dl").alias("dl"), F.count("*").alias("tf"))
 
 
@@ -93,20 +94,22 @@ def term_weights(index: DataFrame, totals: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, chunk_id, ord, score) of the chunks that share a term with the query; repeated query terms count again.
 
-    One pass over the texts counts each term's documents, combined before the shuffle, and the corpus totals with them; a
-    second keeps the queries' terms only, so the whole index is never shuffled.
+    One pass over the texts counts each term's documents, combined before the shuffle, and the corpus totals with them; the
+    counts are kept, as several sums need them. A second pass keeps the queries' terms only, so the whole index is never
+    shuffled.
     """
     asked = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     words = chunks.select("chunk_id", "ord", T.tokens(F.col("text")).alias("terms"))
     # The entry null, once a chunk, counts the chunks and sums their lengths.
     marks = words.select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"))
-    counts = marks.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+    counts = durable(marks.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
     totals = counts.where("term is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
     raw = counts.where("term is not null").join(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     terms = asked.select("term").distinct()
     weight = raw.join(terms, "term").join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    found = words.select("chunk_id", "ord", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+    # explode_outer: explode would first test each text for words, which tokenizes it twice.
+    found = words.select("chunk_id", "ord", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).join(terms, "term", "left_semi")
     found = found.groupBy("chunk_id", "term").agg(F.first("ord").alias("ord"), F.first("dl").alias("dl"), F.count("*").alias("tf"))
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
