@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -22,10 +23,29 @@ HEADING_NAMES = (
     "acknowledgements"
 ).split() + ["related work"]
 
-#: Fixed pattern: a keyword is a run of letters and digits, with inner . , ' -
+#: Fixed patterns, on which results depend: keywords, headings, references, bare numbers.
 TOKEN = r"[a-z0-9]+(?:[.,'\-][a-z0-9]+)*"
-
-_NUMBERED = r"(?U)^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVX]+\.)\s+[A-Z][\w ,:&'()\-]{2,70}$"
+NUMBERED_HEADING = r"(?U)^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVX]+\.)\s+[A-Z][\w ,:&'()\-]{2,70}$"
+REFERENCES = r"(?i)^\s*([0-9]+\.?\s*)?(references|bibliography|literature cited)\s*$"
+FIRST_REFERENCE = r"^\[1\]\s"
+BARE_NUMBER = r"^[0-9\s\-–]+$"
+
+#: Fixed patterns and what replaces them: cleaning, then display.
+CLEANING = (
+    (r"(?U)(\w)-\n(\w)", "$1$2"),
+    (r"[ \t]*\n[ \t]*", "\n"),
+    (r"(?<!\n)\n(?!\n)", " "),
+    (r"[ \t]{2,}", " "),
+    (r"\n{3,}", "\n\n"),
+    (r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""),
+)
+DISPLAY = (
+    (r"(?:(?<![\w.])[-+]?\d[\d.,]*%?\s+){5,}[-+]?\d[\d.,]*%?", " … "),
+    (r"(?:(?<!\S)\S{1,2}\s+){6,}", " … "),
+    (r"\s+", " "),
+    (r"(?:\s*…\s*){2,}", " … "),
+    (r"^\s+|\s+$", ""),
+)
 
 
 @F.pandas_udf(StringType())
@@ -40,16 +60,15 @@ def _without_braces(text: pd.Series) -> pd.Series:
 
 def strip_braced(text: str, opener: str) -> str:
     """text without each block from opener to the brace that closes it; an unclosed block runs to the end."""
-    kept, at = [], 0
-    while (begin := text.find(opener, at)) >= 0:
-        kept.append(text[at:begin])
-        depth, at = 0, begin
-        for at in range(begin, len(text)):
-            depth += {"{": 1, "}": -1}.get(text[at], 0)
-            if depth == 0:
-                break
-        at += 1
-    return "".join(kept) + text[at:]
+    kept, depth = [], 0
+    for part in re.split("(" + re.escape(opener) + "|[{}])", text):
+        if depth:
+            depth += (part == "{" or part == opener) - (part == "}")
+        elif part == opener:
+            depth = 1
+        else:
+            kept.append(part)
+    return "".join(kept)
 
 
 def replaced(text: Column, *steps: tuple[str, str]) -> Column:
@@ -67,15 +86,7 @@ def nfkc(text: Column) -> Column:
 def clean_text(text: Column, unicode_form: bool = True) -> Column:
     """Whitespace and hyphenation repair: one space within a paragraph, one empty line between paragraphs."""
     text = nfkc(text) if unicode_form else text
-    return replaced(
-        F.translate(text, "­", ""),
-        (r"(?U)(\w)-\n(\w)", "$1$2"),
-        (r"[ \t]*\n[ \t]*", "\n"),
-        (r"(?<!\n)\n(?!\n)", " "),
-        (r"[ \t]{2,}", " "),
-        (r"\n{3,}", "\n\n"),
-        (r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""),
-    )
+    return replaced(F.translate(text, "\u00ad", ""), *CLEANING)
 
 
 def heading_of(block: Column) -> Column:
@@ -83,14 +94,14 @@ def heading_of(block: Column) -> Column:
     line = F.regexp_replace(block, r"(?U)^\s+|\s+$", "")
     bare = F.regexp_replace(line, r"[.:]+$", "")
     number = F.regexp_extract(line, r"^([0-9]+)", 1).try_cast("int")
-    numbered = line.rlike(_NUMBERED) & (number.isNull() & ~line.rlike("^[0-9]") | (number <= 15))
+    numbered = line.rlike(NUMBERED_HEADING) & (number.isNull() & ~line.rlike("^[0-9]") | (number <= 15))
     named = F.lower(bare).isin(HEADING_NAMES)
     return F.when((F.length(line) <= 80) & ~F.contains(line, F.lit("\n")) & (numbered | named), bare)
 
 
 def is_bare_number(block: Column) -> Column:
     """Whether the block holds nothing but digits, white space and dashes."""
-    return block.rlike(r"^[0-9\s\-–]+$")
+    return block.rlike(BARE_NUMBER)
 
 
 def line_key(block: Column) -> Column:
@@ -100,7 +111,7 @@ def line_key(block: Column) -> Column:
 
 def is_reference_start(block: Column) -> Column:
     """Whether the block heads the list of references or is its first entry."""
-    return block.rlike(r"(?i)^\s*([0-9]+\.?\s*)?(references|bibliography|literature cited)\s*$") | block.rlike(r"^\[1\]\s")
+    return block.rlike(REFERENCES) | block.rlike(FIRST_REFERENCE)
 
 
 def tokens(text: Column) -> Column:
@@ -154,14 +165,7 @@ def display_clean(text: Column, braces: bool = True) -> Column:
     text = F.when(headed, F.element_at(F.split(text, r"\]\n", 2), -1)).otherwise(text)
     if braces:
         text = F.when(F.contains(text, F.lit("{\\displaystyle")), _without_braces(text)).otherwise(text)
-    return replaced(
-        text,
-        (r"(?:(?<![\w.])[-+]?\d[\d.,]*%?\s+){5,}[-+]?\d[\d.,]*%?", " … "),
-        (r"(?:(?<!\S)\S{1,2}\s+){6,}", " … "),
-        (r"\s+", " "),
-        (r"(?:\s*…\s*){2,}", " … "),
-        (r"^\s+|\s+$", ""),
-    )
+    return replaced(text, *DISPLAY)
 
 
 def share_label(part: Column, whole: Column) -> Column:
