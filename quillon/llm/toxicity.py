@@ -19,6 +19,7 @@ from quillon.llm.langid import held_out
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
+LEAST_LOG_RATIO = 1.0
 PREFIXES = (4, 5, 6, 7, 8)
 _SPACES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -65,7 +66,7 @@ class Classifier:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(rows: list[tuple[list[int], int, list[list[int]]]], names: list[bytes], swap_penalty: float = 1.0, decay: float = 1e-4, steps: int = 400) -> Classifier:
+def fit(rows: list[tuple[list[int], int, list[list[int]]]], names: list[bytes], swap_penalty: float = 1.0, decay: float = 1e-5, steps: int = 600) -> Classifier:
     """Fits rows (feature numbers, label, feature numbers of the swapped copies) by full-batch gradient steps."""
     n, m = len(rows), len(names)
     if not n:
@@ -122,7 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     toxic, other = max(1, size.get(1, 0)), max(1, size.get(0, 0))
     a, b = (F.col("pos") + 0.5) / (toxic + 1.0), (F.col("neg") + 0.5) / (other + 1.0)
     gain = F.abs(F.log(a / b)) * F.sqrt(F.greatest(F.col("pos") / float(toxic), F.col("neg") / float(other)))
-    best = counted.where(F.col("pos") + F.col("neg") >= 3).orderBy(gain.desc(), "feature").limit(n_features)
+    # Common words, about as frequent in both kinds, would only lend long texts weight.
+    telling = (F.col("pos") + F.col("neg") >= 3) & (F.abs(F.log(a / b)) >= LEAST_LOG_RATIO)
+    best = counted.where(telling).orderBy(gain.desc(), "feature").limit(n_features)
     names = sorted({bytes(r["feature"]) for r in best.select("feature").collect()} | set(_KIND) | {b"^" + t[:k] for t in _KIND for k in PREFIXES if len(t) >= k})
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
