@@ -60,7 +60,7 @@ def test_embedding_cache(spark, tmp_path):
 def test_helpers(spark, tmp_path):
     df = spark.createDataFrame([(True, "no", "fb", True), (True, "no", None, True), (False, "yes", "fb", True), (True, "no", "fb", False)], "r boolean, a string, f string, u boolean")
     assert [r[0] for r in df.select(answering.shown_answer(*map(F.col, "rafu"))).collect()] == ["fb", "no", "yes", "no"]
-    assert evaluation.audited("20260926-1159-v1-vector-rejudged", "20260926-1134-v1-vector")
+    assert evaluation.audited("20250102-0900-plain-again", "20250101-0800-plain")
     answers = spark.createDataFrame([("q1",), ("q2",), ("q3",)], "qid string")
     assert [r["qid"] for r in evaluation.rejudge_work(answers, answers.where("qid = 'q1'"), ["q1", "q2"]).collect()] == ["q2"]
     texts = spark.createDataFrame([(1, "ab c")], "doc_id long, text string")
