@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from quillon.llm.common import checkpointed
+from quillon.llm.common import checkpointed, sliced
 
 STRETCH = 24
 TRAIN_DOCS = 1000  # about so many labelled documents of each language are read for training
@@ -258,16 +258,16 @@ def identify(docs: DataFrame, model: tuple, keep_rows: bool = False) -> DataFram
     was learned. Null ids and repeated rows are kept as they are; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.struct("*").alias("row")] * keep_rows)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row") if keep_rows else F.col("text"))
     schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     if keep_rows:
         schema = schema.add("row", chosen.schema["row"].dataType)
 
     def run(batches):
         score = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found, part, size = [], [], 0
-            for text in batch.column(1):
+            for text in batch.column(1).field("text") if keep_rows else batch.column(1):
                 part.append(text.as_py())
                 size += len(part[-1] or "")
                 if size > 1_000_000:

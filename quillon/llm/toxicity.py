@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed
+from quillon.llm.common import checkpointed, sliced
 from quillon.llm.langid import held_out
 
 SAMPLE_ROWS = 20_000
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shared.value.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
