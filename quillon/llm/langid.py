@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: tuple, keep_rows: bool = False) -> DataFram
                     found += score(part)
                     part, size = [], 0
             found += score(part)
-            columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), *batch.columns[2:]]
+            columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), *([batch.column(1)] if keep_rows else [])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", *["row"] * keep_rows])
 
     return chosen.mapInArrow(run, schema)
