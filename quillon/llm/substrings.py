@@ -144,7 +144,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     found = checkpointed(prints(texts, width))
     first = checkpointed(found.groupBy("whole").agg(F.min("doc_id").alias("first")))  # see below
     # A copy of a smaller document goes whole: none of its windows needs to be looked at, and it is never the first.
-    copies = checkpointed(found.select("doc_id", "whole").join(first, "whole").where("doc_id > first").select("doc_id", "whole").distinct())
+    copies = checkpointed(found.select("doc_id", "whole").join(first, "whole").where("doc_id > first").select("doc_id", "whole"))
     alone = found.join(copies, ["doc_id", "whole"], "left_anti")
     places = alone.select(F.explode("anchors").alias("anchor"), "doc_id")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
