@@ -258,14 +258,13 @@ def _bipartite_links(left: list[tuple[int, int]], right: list[tuple[int, int]],
     return links
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, levels: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
     """Rows (doc_id, component_id) for every row of docs (doc_id, text): groups of texts at least that similar.
 
     Similarity is the Jaccard similarity of the word shingles, told by the distance of wide SimHash fingerprints. A shard
     of the BK-trees holds the fingerprints of documents that share one of MINIMA minimum hashes; two documents at 0.8 share
-    none of six in 6 of 100,000 cases. A shard with over WIDE_SHARD_ROWS fingerprints is cut by a second and third minimum; what
-    is larger still, a group of documents alike in all of them, is dealt out in blocks and each pair of blocks has a task
-    of its own, so no partner is left out. Null ids, repeated rows, empty texts and empty tables: as in near_duplicates.
+    none of six in 6 of 100,000 cases. A shard with over WIDE_SHARD_ROWS fingerprints is dealt out in blocks and each pair of
+    blocks has a task of its own, so one shared minimum suffices whatever the shard's size. Null ids, repeated rows, empty texts and empty tables: as in near_duplicates.
     """
     radius = radius_of(similarity)
 
@@ -279,19 +278,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(sketch, "doc_id long, fp binary, mins array<long>")
     )
     distinct = checkpointed(sketched.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("mins").alias("mins")))
-    rows = distinct.select("rep", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("last"), "mins")
-    ready = None
-    for level in range(levels):
-        place = F.filter(F.sequence(F.lit(0), F.lit(MINIMA - 1)), lambda i: i > F.col("last"))
-        rows = rows.select("rep", "mins", "key", F.explode(place).alias("last"))
-        rows = rows.select("rep", "mins", "last", F.xxhash64("key", "last", F.get("mins", F.col("last"))).alias("key"))
-        counts = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-        held = checkpointed(rows.join(counts, "key").select("rep", "mins", "last", "key", "n"))
-        keep = held if level == levels - 1 else held.where(F.col("n") <= WIDE_SHARD_ROWS)
-        ready = keep if ready is None else ready.union(keep)
-        rows = held.where(F.col("n") > WIDE_SHARD_ROWS).select("rep", "mins", "key", "last")
-        if level < levels - 1 and rows.isEmpty():
-            break
+    rows = distinct.select("rep", F.posexplode("mins").alias("last", "min"))
+    rows = rows.select("rep", F.xxhash64("last", "min").alias("key"))
+    counts = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    ready = checkpointed(rows.join(counts, "key").select("rep", "key", "n"))
     blocks = F.ceil(F.col("n") / WIDE_SHARD_ROWS).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(13)), blocks).cast("int")
     ready = ready.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
