@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, components, sliced
+from quillon.llm.common import checkpointed, components, sliced, small
 
 SHARD_ROWS = 4096
 LEVELS = 4
@@ -195,10 +195,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, se
     return prints.join(labels, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-#: Bits of the wide fingerprint, whose distances tell similarities of texts to within a few hundredths.
+#: Bits of the wide fingerprint, whose distances choose the pairs whose shingles are compared.
 WIDE_BITS = 1024
 MINIMA = 6
 WIDE_SHARD_ROWS = 1024
+#: Shingles of a block at most, 32 MB, so that a task holds few however long the texts are.
+WIDE_SHARD_SHINGLES = 1 << 22
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(WIDE_BITS // 64 + MINIMA)], dtype=np.uint64)
 _WIDE_LANES = (np.arange(WIDE_BITS // 8, dtype=np.int64) * 256)[None, :]
 
@@ -210,14 +212,21 @@ def _mixed(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def wide_sketch(text: bytes | None, shingle_words: int) -> tuple[bytes, list[int]]:
-    """The wide SimHash of the lower-cased word shingles and MINIMA of their hashes' minima; zeros without a word."""
+def shingle_hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """The distinct 64-bit hashes, ascending, of the lower-cased word shingles; none without a word."""
     words = (text or b"").lower().split()
-    if not words:
-        return bytes(WIDE_BITS // 8), [0] * MINIMA
     n = max(1, len(words) - shingle_words + 1)
-    shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle_words)), strict=True)) if len(words) > shingle_words else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64)
+    if len(words) > shingle_words:
+        shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle_words)), strict=True))
+    else:
+        shingles = [b" ".join(words)] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64))
+
+
+def wide_sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """The wide SimHash of distinct shingle hashes and MINIMA of their minima; zeros without a shingle."""
+    if not len(h):
+        return bytes(WIDE_BITS // 8), [0] * MINIMA
     ones = np.zeros((WIDE_BITS // 8, 8), dtype=np.int64)
     least = np.full(MINIMA, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(h), 4096):  # bounds memory on long texts
@@ -231,87 +240,170 @@ def wide_sketch(text: bytes | None, shingle_words: int) -> tuple[bytes, list[int
     return np.packbits(ones.ravel() * 2 > len(h), bitorder="little").tobytes(), least.view(np.int64).tolist()
 
 
-def radius_of(similarity: float, slack: float = 0.05) -> int:
-    """Bits of WIDE_BITS in which texts of that Jaccard similarity, less the slack, are expected to differ."""
-    s = similarity - slack
-    return int(WIDE_BITS * np.arccos(2 * s / (1 + s)) / np.pi)
+def radius_of(similarity: float, shingles: int) -> int:
+    """Bits of WIDE_BITS beyond which no two texts of that Jaccard similarity differ, but for 1 pair in millions.
 
+    `shingles` counts those of the smaller text. The share of bits that differ is arccos(2 s / (1 + s)) / pi for many
+    shingles, at most 1.05 times that from 64 shingles on and 1.25 times below (enumerated); six deviations are added.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) * (1.05 if shingles >= 64 else 1.25)
+    return int(WIDE_BITS * p + 6 * (WIDE_BITS * p * (1 - p)) ** 0.5)
 
-def _bipartite_links(left: list[tuple[int, int]], right: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """Links that span the components of left and right under links between the two."""
-    tree, parent, links = BKTree(), list(range(len(left) + len(right))), []
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two arrays of distinct shingle hashes is at least that."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
-    for value, _ in left:
-        tree.add(value)
-    for j, (value, rep) in enumerate(right, len(left)):
-        for i in tree.within(value, radius):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                links.append((left[i][1], rep))
-    return links
 
+class _Block:
+    """Members of a task: wide fingerprints, shingle counts, minima."""
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
-    """Rows (doc_id, component_id) for every row of docs (doc_id, text): groups of texts at least that similar.
+    def __init__(self, fps: list[bytes], sizes: list[int], mins: list[list[int]]) -> None:
+        self.fps = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(-1, WIDE_BITS // 64)
+        self.sizes = np.array(sizes, dtype=np.int64)
+        self.mins = np.array(mins, dtype=np.int64).reshape(-1, MINIMA)
+
+    def near(self, i: int, others: slice, last: int, similarity: float) -> np.ndarray:
+        """Which of the others may be that similar to member i and share no minimum before `last` with it."""
+        n, at = self.sizes[i], np.arange(others.start, others.stop)
+        few, many = np.minimum(self.sizes[others], n), np.maximum(self.sizes[others], n)
+        at = at[few >= similarity * many]
+        if last and len(at):
+            at = at[~(self.mins[at, :last] == self.mins[i, :last]).any(axis=1)]
+        if len(at):
+            apart = np.bitwise_count(self.fps[at] ^ self.fps[i]).sum(axis=1, dtype=np.int64)
+            at = at[apart <= np.where(np.minimum(self.sizes[at], n) >= 64, radius_of(similarity, 64), radius_of(similarity, 1))]
+        return at
+
+
+def _tasks(batches, names: list[str]):
+    """(last, is one block, start of the right block, columns) of each run of rows with equal (last, min, lo, hi)."""
+    at, held = None, []
 
-    Similarity is the Jaccard similarity of the word shingles, told by the distance of wide SimHash fingerprints. A shard
-    of the BK-trees holds the fingerprints of documents that share one of MINIMA minimum hashes; two documents at 0.8 share
-    none of six in 6 of 100,000 cases. A shard with over WIDE_SHARD_ROWS fingerprints is dealt out in blocks and each pair of
-    blocks has a task of its own, so one shared minimum suffices whatever the shard's size. Null ids, repeated rows, empty texts and empty tables: as in near_duplicates.
+    def task():
+        right = [r[0] for r in held]
+        return at[0], at[2] == at[3], right.index(True) if True in right else len(held), list(zip(*(r[1:] for r in held), strict=True))
+
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("last", "min", "lo", "hi", "right", *names)]
+        for last, least, lo, hi, *row in zip(*columns, strict=True):
+            if (last, least, lo, hi) != at:
+                if len(held) > 1:
+                    yield task()
+                at, held = (last, least, lo, hi), []
+            held.append(row)
+    if len(held) > 1:
+        yield task()
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (sig, last, min, lo, hi, right) of rows (sig, size, last, min): each two blocks of a shard have a task of their own.
+
+    A shard with one row is left out. The join with counts can be split where a shard is hot.
     """
-    radius = radius_of(similarity)
+    counts = checkpointed(rows.groupBy("last", "min").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1"))
+    blocks = F.greatest(F.ceil(F.col("n") / WIDE_SHARD_ROWS), F.ceil(F.col("held") / WIDE_SHARD_SHINGLES)).cast("int")
+    held = checkpointed(rows.join(counts, ["last", "min"]).select("sig", "last", "min", blocks.alias("blocks")))
+    own = F.pmod(F.xxhash64("sig", F.lit(13)), "blocks").cast("int")
+    held = held.select("sig", "last", "min", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return held.select("sig", "last", "min", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"))
 
-    def sketch(batches):
-        for batch in sliced(batches):
-            found = [wide_sketch(t, shingle_words) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "mins"])
 
-    sketched = checkpointed(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(sketch, "doc_id long, fp binary, mins array<long>")
-    )
-    distinct = checkpointed(sketched.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("mins").alias("mins")))
-    rows = distinct.select("rep", F.posexplode("mins").alias("last", "min"))
-    rows = rows.select("rep", F.xxhash64("last", "min").alias("key"))
-    counts = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    ready = checkpointed(rows.join(counts, "key").select("rep", "key", "n"))
-    blocks = F.ceil(F.col("n") / WIDE_SHARD_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(13)), blocks).cast("int")
-    ready = ready.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    ready = ready.select("rep", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"))
-    ready = ready.join(distinct.select("rep", "fp"), "rep")
+def _by_task(rows: DataFrame) -> DataFrame:
+    return rows.repartition("last", "min", "lo", "hi").sortWithinPartitions("last", "min", "lo", "hi", "right", "sig")
 
-    def run(batches):
-        at, left, right = None, [], []
 
-        def links():
-            if right:
-                return _bipartite_links(left, right, radius)
-            return shard_links(left, radius) if len(left) > 1 and at[1] == at[2] else []
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """Rows (doc_id, component_id) for every row of docs (doc_id, text): groups of texts linked at that similarity or more.
+
+    Similarity is the Jaccard similarity of the sets of word shingles, each told by a 64-bit hash, and a link is made only
+    where it was computed from the two sets. The pairs to compare are those that share one of MINIMA minimum hashes (two
+    documents at 0.8 share none of six in 6 of 100,000 cases) and whose wide SimHash fingerprints lie within radius_of;
+    each is compared in the shard of its first shared minimum. A shard with over WIDE_SHARD_ROWS members is dealt out in
+    blocks and each pair of blocks has a task of its own, so one shared minimum suffices whatever the shard's size. Only
+    members with such a pair have their shingles sent, and a pair that links already join is not compared again. Texts
+    with the same shingles, as those without a word, share a group. Null ids, repeated rows and empty tables: as in
+    near_duplicates.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+
+    def hashed(batches):
+        for batch in sliced(batches):
+            found = [shingle_hashes(t, shingle_words) for t in batch.column(1).to_pylist()]
+            sigs = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+            yield batch.column(0), sigs, found
 
-        for batch in batches:
-            found = []
-            for key, lo, hi, is_right, rep, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, lo, hi) != at:
-                    found += links()
-                    at, left, right = (key, lo, hi), [], []
-                (right if is_right else left).append((int.from_bytes(fp, "little"), rep))
-            yield _pairs(found)
-        yield _pairs(links())
-
-    pairs = (
-        ready.select("key", "lo", "hi", "right", "rep", "fp")
-        .repartition("key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi", "rep")
-        .mapInArrow(run, "a long, b long")
-    )
-    roots = components(checkpointed(pairs))
-    labels = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return sketched.select("doc_id", "fp").join(labels, F.col("fp") == F.col("_fp"), "left").select("doc_id", "component_id")
+    def sketch(batches):
+        for ids, sigs, found in hashed(batches):
+            fps, mins = zip(*map(wide_sketch, found), strict=True) if found else ((), ())
+            columns = [ids, sigs, pa.array([len(h) for h in found], pa.int64()), pa.array(fps, pa.binary()), pa.array(mins, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sig", "size", "fp", "mins"])
+
+    def shingles(batches):
+        for ids, sigs, found in hashed(batches):
+            yield pa.RecordBatch.from_arrays([ids, sigs, pa.array([h.tobytes() for h in found], pa.binary())], names=["doc_id", "sig", "shingles"])
+
+    sketched = checkpointed(texts.mapInArrow(sketch, "doc_id long, sig binary, size long, fp binary, mins array<long>"))
+    least = [F.min(c).alias(c) for c in ("size", "fp", "mins")]
+    distinct = checkpointed(sketched.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), *least))
+    sketches = distinct.select("sig", "size", "fp", "mins")
+
+    def marks(batches):
+        columns = [], [], []
+
+        def batch():
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=["sig", "last", "min"])
+
+        for last, one, right, (sig, size, fp, mins) in _tasks(batches, ["sig", "size", "fp", "mins"]):
+            block, found = _Block(fp, size, mins), np.zeros(len(sig), dtype=bool)
+            for i in range(1 if one else right, len(sig)):
+                near = block.near(i, slice(0, i if one else right), last, similarity)
+                found[near] = True
+                found[i] |= len(near) > 0
+            for i in np.flatnonzero(found).tolist():
+                for column, value in zip(columns, (sig[i], last, mins[i][last]), strict=True):
+                    column.append(value)
+            if len(columns[0]) >= 4096:
+                yield batch()
+                columns = [], [], []
+        yield batch()
+
+    rows = distinct.select("sig", F.lit(0).cast("long").alias("size"), F.posexplode("mins").alias("last", "min"))
+    ready = _by_task(_pairs_of_blocks(rows).join(sketches, "sig"))
+    marked = checkpointed(ready.mapInArrow(marks, "sig binary, last int, min long").distinct())
+
+    sent = checkpointed(marked.select("sig").distinct().join(distinct.select("sig", "rep"), "sig"))
+    have = texts.join(small(sent.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = have.mapInArrow(shingles, "doc_id long, sig binary, shingles binary").join(sent.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"], "left_semi")
+    sets = sets.dropDuplicates(["sig"]).select("sig", "shingles")
+
+    def run(batches):
+        links = []
+        for last, one, right, (rep, size, fp, mins, held) in _tasks(batches, ["rep", "size", "fp", "mins", "shingles"]):
+            block, parent = _Block(fp, size, mins), list(range(len(rep)))
+            sets = [np.frombuffer(h, dtype=np.uint64) for h in held]
+
+            def root(i: int, parent=parent) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for i in range(1 if one else right, len(rep)):
+                for j in block.near(i, slice(0, i if one else right), last, similarity).tolist():
+                    a, b = root(j), root(i)
+                    if a != b and alike(sets[j], sets[i], similarity):
+                        parent[b] = a
+                        links.append((rep[j], rep[i]))
+            if len(links) >= 4096:
+                yield _pairs(links)
+                links = []
+        yield _pairs(links)
+
+    rows = marked.join(distinct.select("sig", "size"), "sig")
+    ready = _pairs_of_blocks(rows).join(distinct.select("sig", "rep", "size", "fp", "mins"), "sig").join(sets, "sig")
+    roots = components(checkpointed(_by_task(ready).mapInArrow(run, "a long, b long")))
+    labels = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("component_id"))
+    return sketched.select("doc_id", "sig").join(labels, F.col("sig") == F.col("_sig"), "left").select("doc_id", "component_id")

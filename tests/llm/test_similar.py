@@ -45,6 +45,39 @@ def test_one_shared_minimum_suffices_in_hot_shards(spark, monkeypatch, cap):
     for k in range(600):  # pairs at 0.84, each the only one of its kind
         w = [f"w{k}x{rng.randrange(10**6)}" for _ in range(200)]
         texts += [" ".join(w), " ".join(w[:183] + [f"v{k}x{rng.randrange(10**6)}" for _ in range(17)])]
-    shared = [sum(x == y for x, y in zip(S.wide_sketch(a.encode(), 5)[1], S.wide_sketch(b.encode(), 5)[1], strict=True)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    least = [S.wide_sketch(S.shingle_hashes(t.encode(), 5))[1] for t in texts]
+    shared = [sum(x == y for x, y in zip(a, b, strict=True)) for a, b in zip(least[::2], least[1::2], strict=True)]
     assert min(shared) in (1, 2)
     assert groups(spark, texts) == brute(texts)
+
+
+@pytest.mark.parametrize("cap", [1024, 3])
+def test_links_are_verified_at_the_similarity(spark, monkeypatch, cap):
+    monkeypatch.setattr(S, "WIDE_SHARD_ROWS", cap)
+    rng, texts = random.Random(11), []
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for n in (5, 6, 8, 10, 12, 13, 20, 40, 100, 304):  # from one shingle on, either side of 0.8
+        for _ in range(12):
+            w = new(n)
+            texts.append(" ".join(w))
+            for cut in range(-3, 4):  # words changed at the end, about as many as 0.8 allows
+                k = max(0, round((n - 4) / 9) + cut)
+                texts += [" ".join(w[: n - k] + new(k)), " ".join(w + new(max(0, round((n - 4) / 4) + cut)))]
+    w = new(200)  # a family that one passage of its own joins, in one hot shard
+    texts += [" ".join(w + new(40 + i % 30)) for i in range(60)]
+    v = new(30)  # the same shingles, as often as you like
+    texts += [" ".join(v), " ".join(v * 2), " ".join(v * 40)]
+    got, want = groups(spark, texts), brute(texts)
+    assert {i for i in want if got[i] != want[i]} == set()
+
+
+@pytest.mark.parametrize("shingles", [4, 8, 20, 100])
+def test_exactly_the_similarity_counts(spark, shingles):
+    """One in five of the union's shingles in one text only is 0.8; one more is less."""
+    rng = random.Random(shingles)
+    w = [f"w{rng.randrange(10**9)}" for _ in range(2 * shingles + 9)]
+    n, more = shingles + 4, shingles // 4
+    at, below = (" ".join(w[: n + more + k]) for k in (0, 1))
+    base = " ".join(w[:n])
+    assert groups(spark, [base, at]) == {0: 0, 1: 0}
+    assert groups(spark, [base, below]) == {0: 0, 1: 1}
