@@ -4,8 +4,8 @@ Each source's documents form one stream of words, in hash order, cut into blocks
 a whole number of passes over its blocks and a rest: the blocks whose rank under a keyed permutation is below the quota,
 the last of which is cut so that the target is met to the word. The blocks to draw, a count for each source and thus
 exact, are dealt out to output shards by a tree: each node draws its left half's counts from the multivariate
-hypergeometric law and leaves the rest to the right half. A shard's draws are disjoint ranges of the ranks, and a shard is
-shuffled by sorting on a keyed hash. Only sources' totals are held by the driver; a document finds its own blocks from its
+hypergeometric law and leaves the rest to the right half. A shard's draws are disjoint ranges of the ranks, and
+each has a keyed hash to sort its shard by. Nothing here writes shards or sorts them. Only sources' totals are held by the driver; a document finds its own blocks from its
 place in the stream.
 """
 
@@ -192,7 +192,8 @@ def mixed_documents(docs: DataFrame, **law) -> DataFrame:
     """The documents of the mix, with all columns of docs: for each document and pass, a row with the words taken.
 
     A pass that takes a whole document keeps its text as it is; one that takes parts keeps their words, joined by a space.
-    Documents from which nothing is taken are left out. n_chars, where there is such a column, is counted again.
+    Documents from which nothing is taken are left out. Rows come in no particular order: the blocks of one document lie in
+    several shards, so shards and their order are left to the consumer, who finds both in mix's segments. n_chars, where there is such a column, is counted again.
     """
     plan = mix(docs, **law).where(F.size("segments") > 0)
     taken = plan.select("doc_id", "text_hash", F.col("size").alias("n"), "segments").dropDuplicates(["doc_id", "text_hash"])
