@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -12,23 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.session import shared_folder
+
 #: A side of at most so many narrow rows (an id and a few numbers, under 64 bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names, so that lost executors cost no lineage.
-
-    Where the session names none (tests), a temporary folder is used.
-    """
-    _shared_folder(df.sparkSession)
+    """df, computed once and kept in the folder that spark.checkpoint.dir names, so that lost executors cost no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -54,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b: long) as rows (node, component): the smallest node reachable.
 
     Alternates large-star and small-star steps on shuffled edges, so no component is gathered in one task; minima are
-    combined before each shuffle, and the joins back can be split where a node has many edges. Each round is checkpointed.
+    combined before each shuffle and checkpointed, so the joins back can be split where a node has many edges.
     Nodes without a link to another node get no row.
     """
     edges = checkpointed(
@@ -63,11 +54,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        )
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima of their own, so that the joins with them can be split where a node has many edges.
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        edges = checkpointed(large.distinct())
+        least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
         joined = edges.join(least, "u")
         edges = checkpointed(
             joined.select("v", "m")
@@ -108,7 +99,7 @@ def running_start(df: DataFrame, group: list[str], order: list[str], amount: str
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again, and its path; for tables with texts."""
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
