@@ -4,13 +4,14 @@ The pieces are those of a fixed public vocabulary. Each language has a probabili
 the sum over all its segmentations into pieces of the product of their probabilities, which the forward algorithm adds up
 from left to right. Training is expectation maximisation: forward-backward gives the expected uses of each piece in the
 word counts of a bounded sample of labelled documents; the counts are made and summed in Spark, and only the table of
-pieces by languages comes to the driver. Words are runs of letters of the lower-cased text, in stretches of at most
-STRETCH bytes so that products stay in range; a text's log-probability is the sum over its words.
+pieces by languages comes to the driver. Words are whole runs of letters of the lower-cased text, however long; sums are
+scaled along the word so that they stay in range. A text's log-probability is the sum over its words.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from quillon.llm.common import checkpointed, sliced
 
-STRETCH = 24
 TRAIN_DOCS = 1000  # about so many labelled documents of each language are read for training
 CACHE_WORDS = 300_000
+LONG_BYTES = 64  # longer words are summed one by one; the sums are the same
+EVERY = 16  # letters between two scalings
 _SPACES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -40,18 +42,8 @@ def read_pieces(path: str) -> list[bytes]:
 
 
 def words_of(text: str) -> list[bytes]:
-    """Stretches of letters; the first of each word has a space in front."""
-    words = text.lower().encode("utf-8", "replace").translate(_SPACES).split()
-    if max(map(len, words), default=0) < STRETCH:
-        return words
-    found = []
-    for w in words:
-        if len(w) < STRETCH:
-            found.append(w)
-        else:
-            found.append(w[: STRETCH - 1])
-            found += [b" " + w[i : i + STRETCH] for i in range(STRETCH - 1, len(w), STRETCH)]  # a space marks what goes on
-    return found
+    """The runs of letters of the lower-cased text."""
+    return text.lower().encode("utf-8", "replace").translate(_SPACES).split()
 
 
 class Pieces:
@@ -114,46 +106,153 @@ class Pieces:
                 yield s, e + 1, rows[whole], pieces[whole]
 
 
+    def edges(self, letters: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each place of one long word, (end, piece) of the pieces that start there; walked from all places at once."""
+        found: list[list[tuple[int, int]]] = [[] for _ in letters]
+        places, nodes = np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64)
+        for step in range(self.longest):
+            inside = places + step < len(letters)
+            places, nodes = places[inside], nodes[inside]
+            nodes = self.step(nodes, letters[places + step].astype(np.int64))
+            places, nodes = places[nodes >= 0], nodes[nodes >= 0]
+            if not len(places):
+                break
+            pieces = self.piece[nodes]
+            for s, p in zip(places[pieces >= 0].tolist(), pieces[pieces >= 0].tolist(), strict=True):
+                found[s].append((s + step + 1, p))
+        return found
+
+
 def _matrices(words: list[bytes], rows: int = 20_000):
-    """(places, matrix of bytes) of words of equal length; a word not marked as going on gets a space in front."""
+    """(places, matrix of bytes) of words of equal length, each with a space in front; longer ones fewer at once."""
     lengths: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        lengths.setdefault(len(w) + (w[:1] != b" "), []).append(i)
+        lengths.setdefault(len(w) + 1, []).append(i)
     for length, places in lengths.items():
-        for at in range(0, len(places), rows):
-            part = places[at : at + rows]
-            text = b"".join(words[i] if words[i][:1] == b" " else b" " + words[i] for i in part)
-            matrix = np.frombuffer(text, dtype=np.uint8).reshape(len(part), length)
+        step = max(1, rows * EVERY // max(EVERY, length))
+        for at in range(0, len(places), step):
+            part = places[at : at + step]
+            matrix = np.frombuffer(b"".join(b" " + words[i] for i in part), dtype=np.uint8).reshape(len(part), length)
             yield np.array(part), matrix
 
 
+def _swept(pieces: Pieces, p: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums (places x words x languages), and the log of what each stretch of EVERY places was divided by.
+
+    Sums that are still open, over the longest piece, are divided together, which changes no ratio between them.
+    """
+    n, length = letters.shape
+    alpha = np.zeros((length + 1, n, p.shape[1]))
+    alpha[0] = 1.0
+    logs = np.zeros((length // EVERY + 1, n, p.shape[1]))
+    done = 0
+    for s, e, rows, found in pieces.matches(letters):
+        while s >= (done + 1) * EVERY:
+            done += 1
+            at = slice(done * EVERY, done * EVERY + pieces.longest)
+            top = alpha[at].max(axis=0)
+            top = np.where(top > 0, top, 1.0)
+            alpha[at] /= top
+            logs[done] = logs[done - 1] + np.log(top)
+        alpha[e, rows] += alpha[s, rows] * p[found]
+    for i in range(done + 1, len(logs)):
+        logs[i] = logs[done]
+    return alpha, logs
+
+
+def _chain(edges: list[list[tuple[int, int]]], p: np.ndarray, k: int) -> tuple[list[float], list[float]]:
+    """One word's forward sums under language k, each divided by exp of the log beside it."""
+    n, column = len(edges), p[:, k].tolist()
+    sums, logs, base = [0.0] * (n + 1), [0.0] * (n + 1), 0.0
+    sums[0] = 1.0
+    top = max((e for out in edges[:1] for e, _ in out), default=0)
+    for s in range(n):
+        if s % EVERY == 0 and s:
+            # The sums at and after s that are not yet zero lie before `top`.
+            if (most := max(sums[s : top + 1], default=0.0)) > 0:
+                for i in range(s, top + 1):
+                    sums[i] /= most
+                base += math.log(most)
+        logs[s] = base
+        here = sums[s]
+        for e, piece in edges[s]:
+            sums[e] += here * column[piece]
+            top = max(top, e)
+    logs[n] = base
+    return sums, logs
+
+
+def _back(edges: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    """The same word read from its end."""
+    n = len(edges)
+    found: list[list[tuple[int, int]]] = [[] for _ in edges]
+    for s, out in enumerate(edges):
+        for e, piece in out:
+            found[n - e].append((n - s, piece))
+    return found
+
+
+def _letters(word: bytes) -> np.ndarray:
+    return np.frombuffer(b" " + word, dtype=np.uint8)
+
+
+def _parted(words: list[bytes]) -> tuple[list[int], list[int]]:
+    """Places of the words of at most LONG_BYTES, and of the longer ones."""
+    return [i for i, w in enumerate(words) if len(w) <= LONG_BYTES], [i for i, w in enumerate(words) if len(w) > LONG_BYTES]
+
+
 def forward(pieces: Pieces, p: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Log-probabilities (words x languages), summed over all segmentations; p is pieces x languages."""
     out = np.empty((len(words), p.shape[1]))
-    for places, letters in _matrices(words):
-        alpha = np.zeros((letters.shape[1] + 1, len(places), p.shape[1]))
-        alpha[0] = 1.0
-        for s, e, rows, found in pieces.matches(letters):
-            alpha[e, rows] += alpha[s, rows] * p[found]
-        out[places] = np.log(alpha[-1])
+    short, long = _parted(words)
+    short = np.array(short, dtype=np.int64)
+    with np.errstate(divide="ignore"):
+        for places, letters in _matrices([words[i] for i in short]):
+            alpha, logs = _swept(pieces, p, letters)
+            out[short[places]] = np.log(alpha[-1]) + logs[-1]
+        for i in long:
+            edges = pieces.edges(_letters(words[i]))
+            for k in range(p.shape[1]):
+                sums, logs = _chain(edges, p, k)
+                out[i, k] = np.log(sums[-1]) + logs[-1]
     return out
 
 
 def expected_counts(pieces: Pieces, p: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (pieces x languages) in words that occur counts (words x languages) times."""
     out = np.zeros_like(p)
-    for places, letters in _matrices(words, 5_000):
+    short, long = _parted(words)
+    short = np.array(short, dtype=np.int64)
+    for places, letters in _matrices([words[i] for i in short], 5_000):
+        own = counts[short[places]]
         found = list(pieces.matches(letters))
-        alpha = np.zeros((letters.shape[1] + 1, len(places), p.shape[1]))
+        alpha, logs = _swept(pieces, p, letters)
+        # A backward sum is divided by what the stretches after its own were divided by, so that products share one divisor.
         beta = np.zeros_like(alpha)
-        alpha[0] = beta[-1] = 1.0
-        for s, e, rows, which in found:
-            alpha[e, rows] += alpha[s, rows] * p[which]
-        for s, e, rows, which in sorted(found, key=lambda x: -x[0]):
-            beta[s, rows] += beta[e, rows] * p[which]
-        weight = counts[places] / alpha[-1]
-        for s, e, rows, which in found:
-            np.add.at(out, which, alpha[s, rows] * p[which] * beta[e, rows] * weight[rows])
+        beta[-1] = 1.0
+
+        def steps(s, e, rows, which, logs=logs):
+            apart = s // EVERY, e // EVERY
+            return p[which] if apart[0] == apart[1] else p[which] * np.exp(logs[apart[0]][rows] - logs[apart[1]][rows])
+
+        for match in sorted(found, key=lambda x: -x[0]):
+            s, e, rows, _ = match
+            beta[s, rows] += beta[e, rows] * steps(*match)
+        weight = own / alpha[-1]
+        for match in found:
+            s, e, rows, which = match
+            np.add.at(out, which, alpha[s, rows] * steps(*match) * beta[e, rows] * weight[rows])
+    for i in long:
+        edges = pieces.edges(_letters(words[i]))
+        back = _back(edges)
+        for k in np.flatnonzero(counts[i]):
+            sums, logs = _chain(edges, p, k)
+            tail, more = _chain(back, p, k)
+            total, n = math.log(sums[-1]) + logs[-1], len(edges)
+            for s, ends in enumerate(edges):
+                for e, piece in ends:
+                    if sums[s] and tail[n - e]:
+                        out[piece, k] += counts[i, k] * p[piece, k] * math.exp(math.log(sums[s]) + math.log(tail[n - e]) + logs[s] + more[n - e] - total)
     return out
 
 
@@ -209,7 +308,7 @@ def train(labelled: DataFrame, vocabulary: str | None = None, docs_per_language:
             which, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(k), pa.array(total[which, k])], names=["piece", "k", "c"])
 
-        found = counted.coalesce(6).mapInArrow(expect, "piece long, k long, c double").groupBy("piece", "k").agg(F.sum("c").alias("c"))
+        found = counted.coalesce(labelled.sparkSession.sparkContext.defaultParallelism).mapInArrow(expect, "piece long, k long, c double").groupBy("piece", "k").agg(F.sum("c").alias("c"))
         c = np.full_like(p, smoothing)
         got = found.toPandas()  # at most pieces x languages rows
         c[got["piece"].to_numpy(), got["k"].to_numpy()] += got["c"].to_numpy()
@@ -247,6 +346,8 @@ class Scorer:
             logs = self.logs[np.fromiter(map(self.place.__getitem__, own), dtype=np.int64, count=len(own))].sum(axis=0)
             best = int(logs.argmax())
             out.append((self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())))
+        if sum(len(w) for w in new if len(w) > LONG_BYTES) > 1_000_000:  # the cache is to stay small
+            self._clear()
         return out
 
 
