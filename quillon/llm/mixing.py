@@ -5,8 +5,9 @@ a whole number of passes over its blocks and a rest: the blocks whose rank under
 the last of which is cut so that the target is met to the word. The blocks to draw, a count for each source and thus
 exact, are dealt out to output shards by a tree: each node draws its left half's counts from the multivariate
 hypergeometric law and leaves the rest to the right half. A shard's draws are disjoint ranges of the ranks, and
-each has a keyed hash to sort its shard by. Nothing here writes shards or sorts them. Only sources' totals are held by the
-driver; a document finds its own blocks from its place in the stream.
+each has a keyed hash by which its shard is shuffled. `mixed_blocks` lays the drawn blocks out by shard and hash;
+`mixed_documents` lays whole documents out by the shard and hash of their first block. Only sources' totals and shards'
+counts are held by the driver; a document finds its own blocks from its place in the stream.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, running_start
+from quillon.llm.common import checkpointed, running_start, small
 
+SHARDS = 16
+SHARD_WORDS = 1 << 26  # a shard has about so many words at most; beyond SHARDS of them there are more shards
+#: A shard is written by so many tasks, each with a range of its hashes.
+RANGES = 64
 SEGMENTS = "array<struct<pass:int,start:long,length:long,shard:int,sort:long>>"
 _SIZE = r"[^\x20\x09-\x0D]+"
 
@@ -191,7 +196,7 @@ def segments(plan: dict, start: np.ndarray, size: np.ndarray, block: int) -> tup
     return tuple(c[order] for c in columns)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 256, shards: int = 16, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 256, shards: int | None = None, seed: int = 20) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, text_hash, segments) for every row of docs (doc_id, text, source).
 
     size counts words (null text: 0); a null source is a source of its own, the last. segments lists what the mix takes
@@ -199,9 +204,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     next document continue there under the same shard and key. Over a source, the lengths sum to its target, rounded.
     A document without words, and a source without, has no segments. Repeated rows and null ids are documents of their
     own. The result depends on the rows and the seed only. An empty table gives no rows; other columns are ignored.
+    `shards` defaults to SHARDS, or as many as keep a shard at about SHARD_WORDS words.
     """
     rows = checkpointed(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
     stats = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # one row a source
+    shards = shards or max(SHARDS, -(-int(share * sum(n for _, n in stats)) // SHARD_WORDS))
     plan = draw_plan(stats, block, shards, seed, weights=weights, share=share, limit=limit) if stats else {}
     placed = running_start(rows, ["source"], ["doc_id", "text_hash", "size"], "size", "first")
     names = ("pass", "start", "length", "shard", "sort")
@@ -233,25 +240,67 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     )
 
 
+def _with_segments(docs: DataFrame, **law) -> DataFrame:
+    """Rows (row: the whole row of docs, n: its words, segments) for the rows from which something is taken.
+
+    Rows with equal doc_id, source and text have plans of their own and get one each: they are numbered on both sides.
+    """
+    keys = ["doc_id", "source", "text_hash"]
+    plan = checkpointed(mix(docs, **law).where(F.size("segments") > 0).select(*keys, F.col("size").alias("n"), "segments"))
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.xxhash64("text").alias("text_hash")).alias("_key"), F.struct("*").alias("row"))
+    several = checkpointed(plan.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1").select(F.struct(*keys).alias("_several")))
+    plan = plan.select(F.struct(*keys).alias("_at"), "n", "segments")
+    if several.isEmpty():
+        return rows.join(plan, (F.col("_key") == F.col("_at"))).select("row", "n", "segments")
+
+    def parted(df: DataFrame, key: str, how: str) -> DataFrame:
+        return df.join(small(several), F.col(key) == F.col("_several"), how)
+
+    def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+        some = parted(df, key, "left_semi").withColumn("_one", F.lit(1).cast("long")).withColumn("_order", F.monotonically_increasing_id())
+        return running_start(checkpointed(some), [key], ["_order"], "_one", name)
+
+    one = parted(rows, "_key", "left_anti").join(parted(plan, "_at", "left_anti"), (F.col("_key") == F.col("_at")))
+    own, theirs = numbered(rows, "_key", "_i"), numbered(plan, "_at", "_j").drop("_one", "_order")
+    more = own.join(theirs, (F.col("_key") == F.col("_at")) & (F.col("_i") == F.col("_j")))
+    return one.select("row", "n", "segments").unionByName(more.select("row", "n", "segments"))
+
+
+def _laid_out(df: DataFrame) -> DataFrame:
+    """df (shard, sort, …) by shard, each shard in the order of sort, in RANGES files a shard at most."""
+    return df.repartition("shard", F.shiftright("sort", 62 - (RANGES.bit_length() - 1))).sortWithinPartitions("shard", "sort")
+
+
+def _words_of(text, segments):
+    """The words of text that the segments name, joined by a space."""
+    words = F.regexp_extract_all(text, F.lit(f"({_SIZE})"), F.lit(1))
+    return F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(segments, lambda s: F.slice(w, (s["start"] + 1).cast("int"), s["length"].cast("int")))), " "))[0]
+
+
+def mixed_blocks(docs: DataFrame, **law) -> DataFrame:
+    """Rows (shard, sort, doc_id, pass, start, length, text): every drawn piece of a document, its words joined by a space.
+
+    They are laid out by shard, each shard in the order of the keyed hash, its local shuffle; pieces of one block are
+    neighbours. The shards' words differ by little more than a block. A row for each segment of `mix`.
+    """
+    found = _with_segments(docs, **law).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), F.explode("segments").alias("s"))
+    return _laid_out(found.select("s.shard", "s.sort", "doc_id", "s.pass", "s.start", "s.length", _words_of(F.col("text"), F.array("s")).alias("text")))
+
+
 def mixed_documents(docs: DataFrame, **law) -> DataFrame:
     """The documents of the mix, with all columns of docs: for each document and pass, a row with the words taken.
 
     A pass that takes a whole document keeps its text as it is; one that takes parts keeps their words, joined by a space.
-    Documents from which nothing is taken are left out. Rows come in no particular order: the blocks of one document lie in
-    several shards, so shards and their order are left to the consumer, who finds both in mix's segments. n_chars, where there is such a column, is counted again.
+    Documents from which nothing is taken are left out; repeated rows are documents of their own. So that documents stay
+    whole, a row goes to the shard of its first drawn block, at that block's place in the shard's shuffled order: rows are
+    laid out by shard and sort key. n_chars, where there is such a column, is counted again.
     """
-    plan = mix(docs, **law).where(F.size("segments") > 0)
-    taken = plan.select("doc_id", "text_hash", F.col("size").alias("n"), "segments").dropDuplicates(["doc_id", "text_hash"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct("*").alias("row"))
-    joined = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
     passes = F.array_distinct(F.transform("segments", lambda s: s["pass"]))
-    rows = joined.withColumn("p", F.explode(passes)).withColumn("own", F.filter("segments", lambda s: s["pass"] == F.col("p")))
+    rows = _with_segments(docs, **law).withColumn("p", F.explode(passes)).withColumn("own", F.filter("segments", lambda s: s["pass"] == F.col("p")))
     text = F.col("row")["text"]
     whole = F.aggregate("own", F.lit(0).cast("long"), lambda a, s: a + s["length"]) == F.col("n")
-    rows = rows.withColumn("words", F.when(~whole, F.regexp_extract_all(text, F.lit(f"({_SIZE})"), F.lit(1))))
-    parts = F.flatten(F.transform("own", lambda s: F.slice(F.col("words"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    row = F.col("row").withField("text", F.when(whole, text).otherwise(F.array_join(parts, " ")))
-    rows = rows.select(row.alias("row"))
+    row = F.col("row").withField("text", F.when(whole, text).otherwise(_words_of(text, F.col("own"))))
+    rows = _laid_out(rows.select(F.col("own")[0]["shard"].alias("shard"), F.col("own")[0]["sort"].alias("sort"), row.alias("row")))
     if "n_chars" in docs.columns:
         rows = rows.select(F.col("row").withField("n_chars", F.length("row.text").cast("long")).alias("row"))
     return rows.select("row.*")

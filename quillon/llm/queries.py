@@ -48,7 +48,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(read_texts(spark, sf_dir))
     taken = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["length"])
-    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    drawn = F.transform("segments", lambda s: F.concat_ws(":", s["pass"], s["start"], s["length"], s["shard"], s["sort"]))
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(drawn, ",").alias("drawn"))
 
 
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
