@@ -1,14 +1,21 @@
 """Toxicity scores by a counterfactual-regularised linear classifier.
 
 A text's features are the presence of words and of word beginnings. Logistic regression is fitted on a bounded sample of
-labelled texts; for a text that names an identity group, copies with the group's terms swapped for another group's of the
-same kind give a penalty on the squared change of the score. So a term that only happens to be frequent in toxic texts
-earns no weight of its own, and neutral mentions of a group score alike whichever group is named. Feature counts are made
-in Spark; the driver gets the selected features and, for each sampled text, their numbers.
+labelled texts. Counterfactuals are made of labelled sentences: each one that names an identity group, with the term
+swapped for every other of its kind and with the term left out; and one sentence of each text labelled 0, with a term
+put in, for the neutral mentions that the sample lacks. The squared change of the score between a sentence and its
+counterfactuals is penalised, each term's changes counting alike however often it occurs. So a term that only happens to
+be frequent in toxic texts earns no weight of its own, and a neutral mention of a group scores as the sentence does
+without it. Feature counts are made in Spark; the driver gets the selected features and, for each sampled text, their
+numbers and changes.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,25 +41,68 @@ IDENTITY_TERMS = (
     ("black", "white", "asian", "latino"),
     ("american", "mexican", "chinese", "indian", "african", "european"),
     ("immigrants", "natives", "refugees"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "autochtones", "réfugiés"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "einheimische", "flüchtlinge"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("inmigrantes", "nativos", "refugiados"),
 )
-_KIND = {t.encode(): (terms, i) for terms in IDENTITY_TERMS for i, t in enumerate(terms)}
+TERMS = sorted({t.encode() for kind in IDENTITY_TERMS for t in kind})
+_OTHERS = {t: sorted({o.encode() for kind in IDENTITY_TERMS if t.decode() in kind for o in kind} - {t}) for t in TERMS}
+_PLACE = {t: i for i, t in enumerate(TERMS)}
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def features(text: str | None) -> set[bytes]:
     """Words of the lower-cased text, and word beginnings marked by ^."""
-    words = set((text or "").lower().encode("utf-8", "replace").translate(_SPACES).split())
+    return _of_words(set((text or "").lower().encode("utf-8", "replace").translate(_SPACES).split()))
+
+
+def _of_words(words: set[bytes]) -> set[bytes]:
     return words.union(*({b"^" + w[:n] for w in words if len(w) >= n} for n in PREFIXES))
 
 
-def swapped(found: set[bytes], shift: int) -> set[bytes] | None:
-    """The features after each identity term became the term `shift` places on in its list; None if nothing changes."""
-    terms = {w for w in found if w in _KIND}
-    if not terms:
-        return None
-    new = {_KIND[w][0][(_KIND[w][1] + shift) % len(_KIND[w][0])].encode() for w in terms}
-    old = terms.union(*({b"^" + w[:n] for w in terms if len(w) >= n} for n in PREFIXES))
-    out = (found - old) | new.union(*({b"^" + w[:n] for w in new if len(w) >= n} for n in PREFIXES))
-    return out if out != found else None
+def counterfactuals(words: set[bytes], term: bytes) -> list[tuple[set[bytes], set[bytes]]]:
+    """(features that go, features that come) when a sentence's term is swapped for each other of its kind, or left out."""
+    own, rest, found = _of_words(words), words - {term}, []
+    for new in (*({o} for o in _OTHERS[term]), set()):
+        other = _of_words(rest | new)
+        if own != other:
+            found.append((own - other, other - own))
+    return found
+
+
+def changes(text: str | None, neutral: bool) -> list[tuple[int, set[bytes], set[bytes]]]:
+    """(term, features that go, features that come), each once, for the sentences of a labelled text that name a group.
+
+    A neutral text's first sentence with a word is taken with a term, chosen by its hash, put in as well.
+    """
+    found, first = {}, neutral
+    for sentence in _SENTENCE.split(text or ""):
+        words = set(sentence.lower().encode("utf-8", "replace").translate(_SPACES).split())
+        if words and first:
+            first, put = False, TERMS[zlib.crc32(sentence.encode("utf-8", "replace")) % len(TERMS)]
+            found |= {(_PLACE[put], frozenset(a), frozenset(b)): None for a, b in counterfactuals(words | {put}, put)}
+        for term in words & _PLACE.keys():
+            found |= {(_PLACE[term], frozenset(a), frozenset(b)): None for a, b in counterfactuals(words, term)}
+    return list(found)
 
 
 class Classifier:
@@ -66,28 +116,34 @@ class Classifier:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(rows: list[tuple[list[int], int, list[list[int]]]], names: list[bytes], swap_penalty: float = 1.0, decay: float = 1e-5, steps: int = 600) -> Classifier:
-    """Fits rows (feature numbers, label, feature numbers of the swapped copies) by full-batch gradient steps."""
+def fit(rows: list[tuple[list[int], int]], names: list[bytes], swaps: list[tuple[int, list[int], list[int]]] = (), swap_penalty: float = 1.0, decay: float = 1e-5, steps: int = 600) -> Classifier:
+    """Fits rows (feature numbers, label) by full-batch gradient steps, with swaps (term, numbers that go, numbers that come).
+
+    The loss is the mean of the rows' plus, for each term, swap_penalty times the mean squared change of its swaps.
+    """
     n, m = len(rows), len(names)
     if not n:
         return Classifier({}, 0.0)
     doc = np.repeat(np.arange(n), [len(r[0]) for r in rows])
     feature = np.array([f for r in rows for f in r[0]], dtype=np.int64)
     y = np.array([r[1] for r in rows], dtype=np.float64)
-    pairs = [(set(r[0]), set(c)) for r in rows for c in r[2]]
-    changes = [[(f, 1.0) for f in a - b] + [(f, -1.0) for f in b - a] for a, b in pairs]
-    pair = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
-    changed = np.array([f for c in changes for f, _ in c], dtype=np.int64)
-    sign = np.array([s for c in changes for _, s in c])
+    times = Counter((term, tuple(go), tuple(come)) for term, go, come in swaps)
+    per_term: Counter = Counter()
+    for (term, _, _), k in times.items():
+        per_term[term] += k
+    share = np.array([k / per_term[term] for (term, _, _), k in times.items()])
+    pair = np.repeat(np.arange(len(times)), [len(go) + len(come) for _, go, come in times])
+    changed = np.array([f for _, go, come in times for f in (*go, *come)], dtype=np.int64)
+    sign = np.array([x for _, go, come in times for x in [1.0] * len(go) + [-1.0] * len(come)])
     w, first, second = (np.zeros(m + 1) for _ in range(3))
     w[m] = np.log((y.sum() + 1) / (n - y.sum() + 1))
     for t in range(1, steps + 1):
         z = np.bincount(doc, weights=w[feature], minlength=n) + w[m]
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
         g = np.r_[np.bincount(feature, weights=error[doc], minlength=m), error.sum()]
-        if len(changes):
-            moved = np.bincount(pair, weights=sign * w[changed], minlength=len(changes))
-            g[:m] += 2 * swap_penalty / len(changes) * np.bincount(changed, weights=sign * moved[pair], minlength=m)
+        if len(times):
+            moved = share * np.bincount(pair, weights=sign * w[changed], minlength=len(times))
+            g[:m] += 2 * swap_penalty * np.bincount(changed, weights=sign * moved[pair], minlength=m)
         g[:m] += decay * w[:m]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -126,25 +182,28 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     # Common words, about as frequent in both kinds, would only lend long texts weight.
     telling = (F.col("pos") + F.col("neg") >= 3) & (F.abs(F.log(a / b)) >= LEAST_LOG_RATIO)
     best = counted.where(telling).orderBy(gain.desc(), "feature").limit(n_features)
-    names = sorted({bytes(r["feature"]) for r in best.select("feature").collect()} | set(_KIND) | {b"^" + t[:k] for t in _KIND for k in PREFIXES if len(t) >= k})
+    names = sorted({bytes(r["feature"]) for r in best.select("feature").collect()} | _of_words(set(TERMS)))
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def numbered(batches):
         known = place.value
 
         def numbers(found):
-            return sorted(known[f] for f in found & known.keys())
+            return sorted(known[f] for f in found if f in known)
 
-        for batch in batches:
-            own, copies = [], []
-            for text in batch.column(1):
-                found = features(text.as_py())
-                own.append(numbers(found))
-                copies.append([numbers(c) for shift in (1, 2) if (c := swapped(found, shift))])
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(2), pa.array(copies, pa.list_(pa.list_(pa.int32())))], names=["own", "y", "copies"])
-
-    rows = sample.orderBy("doc_id").mapInArrow(numbered, "own array<int>, y int, copies array<array<int>>").collect()  # about sample_rows rows
-    return fit([(list(r["own"]), r["y"], [list(c) for c in r["copies"]]) for r in rows], names, swap_penalty)
+        for batch in sliced(batches):
+            own, swaps = [], []
+            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own.append(numbers(features(text)))
+                kept = [(term, numbers(go), numbers(come)) for term, go, come in changes(text, y == 0)]
+                swaps.append([{"term": t, "go": a, "come": b} for t, a, b in kept if a != b])
+            kind = pa.list_(pa.struct([("term", pa.int32()), ("go", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(2), pa.array(swaps, kind)], names=["own", "y", "swaps"])
+
+    kind = "own array<int>, y int, swaps array<struct<term: int, go: array<int>, come: array<int>>>"
+    rows = sample.orderBy("doc_id").mapInArrow(numbered, kind).collect()  # about sample_rows rows
+    swaps = [(s["term"], s["go"], s["come"]) for r in rows for s in r["swaps"]]
+    return fit([(list(r["own"]), r["y"]) for r in rows], names, swaps, swap_penalty)
 
 
 def _counted(counts: dict) -> pa.RecordBatch:

@@ -236,12 +236,3 @@ def test_language_forward_sums_all_segmentations():
     p = np.array([[0.1], [0.2], [0.3], [0.25], [0.15]])
     got = np.exp(langid.forward(langid.Pieces(pieces), p, [b"ab"]))[0, 0]
     assert got == pytest.approx(0.1 * 0.2 * 0.3 + 0.25 * 0.3 + 0.1 * 0.15)
-
-
-def test_swap_penalty_shields_identity_terms():
-    names = [b"hate", b"muslim", b"christian", b"day"]
-    rows = [([0, 1], 1, [[0, 2]])] * 20 + [([3], 0, [])] * 60 + [([1, 3], 0, [[2, 3]])] * 4 + [([1], 1, [[2]])] * 5
-    free = toxicity.fit(rows, names, swap_penalty=0.0).weights
-    held = toxicity.fit(rows, names, swap_penalty=20.0).weights
-    gap = lambda w: abs(w.get(b"muslim", 0) - w.get(b"christian", 0))
-    assert gap(held) < 0.3 * gap(free)
