@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from brute import components, crc, exact_groups, kept_words, secret_spans, simhash, words
 
-from quillon.llm import mixing, queries
+from quillon.llm import mixing, queries, sharding
 
 DIR = "/root/testdata/sf0.001"
 
@@ -112,6 +112,12 @@ def test_op8(spark, docs):
     assert all(len(s) == 1 for s in by_text.values())
     assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
     assert {r["law"] for r in got.values()} == {"bytes"}
+    groups = defaultdict(int)
+    for d in docs:
+        groups[d["text"]] += len(d["text"].encode()) + 8
+    best = sharding.schedule([(n, t) for t, n in groups.items()], 24)
+    want = [sum(n for t, n in groups.items() if best[t] == s) for s in range(24)]
+    assert sorted(load.values()) == sorted(want)
 
 
 def test_op9(spark, docs):

@@ -216,11 +216,30 @@ def test_schedule_is_balanced():
     assert max(load) - min(load) <= 20
 
 
-def test_bundled_shards_are_near_equal(spark):
-    docs = table(spark, [f"text {i} " * (1 + i % 13) for i in range(3000)])
-    got = sharding.shard_documents(docs, units=240).collect()
-    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(24)]
-    assert max(load) <= 1.2 * min(load)
+@pytest.mark.parametrize("heap", [64, 3])
+def test_classes_are_scheduled_as_single_groups(monkeypatch, heap):
+    monkeypatch.setattr(sharding, "HEAP_GROUPS", heap)
+    rng = random.Random(8)
+    for shards in (1, 5, 24):
+        sizes = [rng.choice([8, 9, 20, 500, 501, 9000]) for _ in range(700)] + [100_000, 70_000]
+        placed = sharding.schedule([(s, i) for i, s in enumerate(sizes)], shards)
+        classes = sorted(set(sizes), reverse=True)
+        got = sharding.schedule_classes(np.array(classes), np.array([sizes.count(c) for c in classes]), shards)
+        want = [[sum(1 for i, s in enumerate(sizes) if s == c and placed[i] == n) for n in range(shards)] for c in classes]
+        assert got.tolist() == want
+
+
+def test_shards_are_those_of_the_heap(spark):
+    texts = [f"text {i % 2500} " * (1 + i % 13) for i in range(3000)]
+    got = sharding.shard_documents(table(spark, texts)).collect()
+    by_text, load = {}, [0] * 24
+    for r in got:
+        by_text.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in by_text.values())
+    groups = [((len(t) + 8) * texts.count(t), t) for t in by_text]
+    placed = sharding.schedule(groups, 24)
+    assert sorted(load) == sorted(sum(s for s, t in groups if placed[t] == n) for n in range(24))
 
 
 def test_neighbours_of_odd_vectors(spark):
