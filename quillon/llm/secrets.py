@@ -135,11 +135,29 @@ def candidates(index: DataFrame, queries: list[Query], trigrams: list[str]) -> D
     return mask.select("doc_id", rules.alias("rules")).where("rules != 0")
 
 
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _folded(steps: Column, number: int) -> Column:
+    """struct<at, spans> of one block of steps (gap, hit, good): its length, and its good hits' spans from its start."""
+    state = f"struct<at:int,spans:{_SPANS}>"
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        end = start + x["hit"]
+        span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["good"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")).cast(state), step)
+
+
 def _spans(rule: Rule, number: int) -> Column:
-    """array<struct<start, kind, end>> of the rule's spans in column text, in code points."""
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    state = "struct<at:int,spans:array<struct<start:int,kind:int,end:int>>>"
-    none = F.array().cast(kind)
+    """array<struct<start, kind, end>> of the rule's spans in column text, in code points.
+
+    A fold copies its list at each hit, so hits are folded in blocks of the square root of their number, then the blocks'
+    starts are; the work grows with the hits' number to the power of one and a half.
+    """
+    none = F.array().cast(_SPANS)
 
     def located(hits: Column) -> Column:
         gaps = F.split("text", rule.regex, -1)
@@ -148,15 +166,19 @@ def _spans(rule: Rule, number: int) -> Column:
             F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), group.alias("group")),
             lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"), (F.length(z["group"]) >= rule.shortest).alias("good")),
         )
+        return _once(steps, in_blocks)
+
+    def in_blocks(steps: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(steps), size), lambda i: _folded(F.slice(steps, i, size), number))
+        return _once(blocks, lambda found: _once(starts(found), lambda at: F.flatten(F.transform(found, lambda b, i: shifted(b["spans"], F.get(at, i))))))
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + x["gap"]
-            end = start + x["hit"]
-            span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-            return F.struct(end.alias("at"), F.when(x["good"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+    def starts(found: Column) -> Column:
+        add = lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"]))
+        return F.aggregate(found, F.array(F.lit(0)), add)
 
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans")).cast(state)
-        return F.aggregate(steps, start, step, lambda a: a["spans"])
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
 
     return _once(F.regexp_extract_all("text", F.lit(rule.regex), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, located(hits)).otherwise(none))
 
@@ -186,7 +208,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         texts = texts.join(found, F.col("doc_id") == F.col("candidate"), "left").withColumn(
             "rules", F.when(F.col("doc_id").isNull(), F.lit((1 << len(indexed)) - 1)).otherwise(F.coalesce("rules", F.lit(0)))
         )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(_SPANS)
     parts = []
     for i, rule in enumerate(rules):
         spans = _spans(rule, i)

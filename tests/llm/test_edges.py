@@ -170,6 +170,13 @@ def test_secret_spans(odd):
     assert all(got[r["doc_id"]] == secret_spans(r["text"]) for r in rows)
 
 
+def test_texts_with_many_secrets(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["token=abcdefghijkl", "secret: x", "AKIA" + "A" * 16, "0123456789abcdef", "é"]) for _ in range(n)) for n in (1, 2, 3, 40, 1000, 40_000)]
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in secrets.scan(table(spark, texts), secrets.BASE).collect()}
+    assert all(got[i] == secret_spans(t) for i, t in enumerate(texts))
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(secrets.BASE[1].regex) == frozenset({frozenset({"aki", "kia"})})
     assert frozenset() in secrets.trigram_query(secrets.BASE[2].regex)
