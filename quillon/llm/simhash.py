@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import checkpointed, components, sliced, small
@@ -199,6 +199,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, se
 WIDE_BITS = 1024
 MINIMA = 6
 WIDE_SHARD_ROWS = 1024
+#: A shard that is dealt out in blocks is first compared with so many of its members, in blocks of so many.
+LEADERS = 16
+LEADER_BLOCK = 256
 #: Shingles of a block at most, 32 MB, so that a task holds few however long the texts are.
 WIDE_SHARD_SHINGLES = 1 << 22
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(WIDE_BITS // 64 + MINIMA)], dtype=np.uint64)
@@ -257,18 +260,19 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 class _Block:
-    """Members of a task: wide fingerprints, shingle counts, minima."""
+    """Members of a task: wide fingerprints, shingle counts, minima, labels."""
 
-    def __init__(self, fps: list[bytes], sizes: list[int], mins: list[list[int]]) -> None:
+    def __init__(self, fps: list[bytes], sizes: list[int], mins: list[list[int]], labels: list[int]) -> None:
         self.fps = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(-1, WIDE_BITS // 64)
         self.sizes = np.array(sizes, dtype=np.int64)
         self.mins = np.array(mins, dtype=np.int64).reshape(-1, MINIMA)
+        self.labels = np.array(labels, dtype=np.int64)
 
     def near(self, i: int, others: slice, last: int, similarity: float) -> np.ndarray:
-        """Which of the others may be that similar to member i and share no minimum before `last` with it."""
+        """Which of the others, of another label, may be that similar to member i and share no minimum before `last` with it."""
         n, at = self.sizes[i], np.arange(others.start, others.stop)
         few, many = np.minimum(self.sizes[others], n), np.maximum(self.sizes[others], n)
-        at = at[few >= similarity * many]
+        at = at[(few >= similarity * many) & (self.labels[others] != self.labels[i])]
         if last and len(at):
             at = at[~(self.mins[at, :last] == self.mins[i, :last]).any(axis=1)]
         if len(at):
@@ -297,21 +301,70 @@ def _tasks(batches, names: list[str]):
         yield task()
 
 
-def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
-    """Rows (sig, last, min, lo, hi, right) of rows (sig, size, last, min): each two blocks of a shard have a task of their own.
+#: Where the rows of a task go: blocks lo and hi of the shard (last, min); right: the row is of block hi.
+_TASK = ("last", "min", "lo", "hi", "right")
 
-    A shard with one row is left out. The join with counts can be split where a shard is hot.
+
+def _blocks(rows, held):
+    return F.greatest(F.ceil(rows / WIDE_SHARD_ROWS), F.ceil(held / WIDE_SHARD_SHINGLES)).cast("int")
+
+
+def _shards(members: DataFrame) -> DataFrame:
+    """(last, min, blocks) of the shards of members (sig, size, label, last, min) that hold two labels or more.
+
+    A table of its own, so that joins with it can be split where a shard is hot.
     """
-    counts = checkpointed(rows.groupBy("last", "min").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1"))
-    blocks = F.greatest(F.ceil(F.col("n") / WIDE_SHARD_ROWS), F.ceil(F.col("held") / WIDE_SHARD_SHINGLES)).cast("int")
-    held = checkpointed(rows.join(counts, ["last", "min"]).select("sig", "last", "min", blocks.alias("blocks")))
-    own = F.pmod(F.xxhash64("sig", F.lit(13)), "blocks").cast("int")
-    held = held.select("sig", "last", "min", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return held.select("sig", "last", "min", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"))
+    labels = F.min("label").alias("a"), F.max("label").alias("b")
+    counts = members.groupBy("last", "min").agg(F.count("*").alias("n"), F.sum("size").alias("held"), *labels).where("a < b")
+    return checkpointed(counts.select("last", "min", _blocks(F.col("n"), F.col("held")).alias("blocks")))
+
+
+def _star_tasks(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """(sig, *_TASK): the members of hot shards in blocks of LEADER_BLOCK, each block with the shard's LEADERS on the left."""
+    inside = members.join(hot, ["last", "min"]).select("sig", "last", "min", F.ceil(F.col("blocks") * (WIDE_SHARD_ROWS / LEADER_BLOCK)).cast("int").alias("parts"))
+    first = Window.partitionBy("last", "min").orderBy(F.xxhash64("sig", F.lit(17)), "sig")
+    leaders = inside.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= LEADERS)
+    left = leaders.select("sig", "last", "min", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i.cast("string"))).alias("lo"), F.lit(False).alias("right"))
+    own = F.pmod(F.xxhash64("sig", F.lit(13)), "parts").cast("string")
+    return left.union(inside.select("sig", "last", "min", own.alias("lo"), F.lit(True).alias("right"))).select("sig", "last", "min", "lo", F.lit("leaders").alias("hi"), "right")
+
+
+def _pair_tasks(members: DataFrame, shards: DataFrame) -> DataFrame:
+    """(sig, *_TASK): every two members of a shard with different labels meet in a task.
+
+    A shard of one block is one task. In the others, labels with over WIDE_SHARD_ROWS members have blocks of their own and
+    the rest share blocks; two blocks have a task unless both are of one label. So a large group that is joined already
+    costs its size times the number of other members, not its square.
+    """
+    held = members.join(shards, ["last", "min"])
+    whole = held.where("blocks = 1").select("sig", "last", "min", F.lit("").alias("lo"), F.lit("").alias("hi"), F.lit(False).alias("right"))
+    hot = held.where("blocks > 1").select("sig", "size", "label", "last", "min")
+    if shards.where("blocks > 1").isEmpty():
+        return whole
+    sizes = checkpointed(hot.groupBy("last", "min", "label").agg(F.count("*").alias("n"), F.sum("size").alias("held")))
+    large = checkpointed(sizes.where(F.col("n") > WIDE_SHARD_ROWS).select("last", "min", "label", F.col("label").cast("string").alias("part"), _blocks(F.col("n"), F.col("held")).alias("k")))
+    rest = sizes.where(F.col("n") <= WIDE_SHARD_ROWS).groupBy("last", "min").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    rest = checkpointed(rest.select("last", "min", F.lit("rest").alias("part"), _blocks(F.col("n"), F.col("held")).alias("k")))
+    parts = large.drop("label").union(rest)
+    blocks = parts.select("last", "min", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    blocks = checkpointed(blocks.withColumn("id", F.concat_ws(":", "part", "i")))
+    a, b = (blocks.select("last", "min", *[F.col(c).alias(f"{c}{x}") for c in ("part", "i", "id")]) for x in "ab")
+    apart = (F.col("parta") < F.col("partb")) | ((F.col("parta") == "rest") & (F.col("partb") == "rest") & (F.col("ia") <= F.col("ib")))
+    pairs = checkpointed(a.join(b, ["last", "min"]).where(apart).select("last", "min", F.col("ida").alias("lo"), F.col("idb").alias("hi")))
+
+    def placed(df: DataFrame):
+        own = F.pmod(F.xxhash64("sig", F.lit(13)), "k")
+        return df.select("sig", "last", "min", F.concat_ws(":", "part", own.cast("string")).alias("id"))
+
+    own = placed(hot.join(large, ["last", "min", "label"])).union(placed(hot.join(large, ["last", "min", "label"], "left_anti").join(rest, ["last", "min"])))
+    own = checkpointed(own)
+    left = own.join(pairs.withColumn("id", F.col("lo")), ["last", "min", "id"]).withColumn("right", F.lit(False))
+    right = own.join(pairs.where("lo != hi").withColumn("id", F.col("hi")), ["last", "min", "id"]).withColumn("right", F.lit(True))
+    return whole.union(left.union(right).select("sig", *_TASK))
 
 
 def _by_task(rows: DataFrame) -> DataFrame:
-    return rows.repartition("last", "min", "lo", "hi").sortWithinPartitions("last", "min", "lo", "hi", "right", "sig")
+    return rows.repartition("last", "min", "lo", "hi").sortWithinPartitions(*_TASK, "sig")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
@@ -320,11 +373,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     Similarity is the Jaccard similarity of the sets of word shingles, each told by a 64-bit hash, and a link is made only
     where it was computed from the two sets. The pairs to compare are those that share one of MINIMA minimum hashes (two
     documents at 0.8 share none of six in 6 of 100,000 cases) and whose wide SimHash fingerprints lie within radius_of;
-    each is compared in the shard of its first shared minimum. A shard with over WIDE_SHARD_ROWS members is dealt out in
-    blocks and each pair of blocks has a task of its own, so one shared minimum suffices whatever the shard's size. Only
-    members with such a pair have their shingles sent, and a pair that links already join is not compared again. Texts
-    with the same shingles, as those without a word, share a group. Null ids, repeated rows and empty tables: as in
-    near_duplicates.
+    each is compared in the shard of its first shared minimum, so one shared minimum suffices whatever the shard's size.
+    A shard with over WIDE_SHARD_ROWS members is first compared with LEADERS of them; members that this joins to one
+    group are not compared with each other any more, all others are, in pairs of blocks that have a task each. Only
+    members with a pair to compare have their shingles sent. Texts with the same shingles, as those without a word, share
+    a group. Null ids, repeated rows and empty tables: as in near_duplicates.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
 
@@ -347,7 +400,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     sketched = checkpointed(texts.mapInArrow(sketch, "doc_id long, sig binary, size long, fp binary, mins array<long>"))
     least = [F.min(c).alias(c) for c in ("size", "fp", "mins")]
     distinct = checkpointed(sketched.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), *least))
-    sketches = distinct.select("sig", "size", "fp", "mins")
 
     def marks(batches):
         columns = [], [], []
@@ -356,8 +408,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=["sig", "last", "min"])
 
-        for last, one, right, (sig, size, fp, mins) in _tasks(batches, ["sig", "size", "fp", "mins"]):
-            block, found = _Block(fp, size, mins), np.zeros(len(sig), dtype=bool)
+        for last, one, right, (sig, size, fp, mins, label) in _tasks(batches, ["sig", "size", "fp", "mins", "label"]):
+            block, found = _Block(fp, size, mins, label), np.zeros(len(sig), dtype=bool)
             for i in range(1 if one else right, len(sig)):
                 near = block.near(i, slice(0, i if one else right), last, similarity)
                 found[near] = True
@@ -370,19 +422,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
                 columns = [], [], []
         yield batch()
 
-    rows = distinct.select("sig", F.lit(0).cast("long").alias("size"), F.posexplode("mins").alias("last", "min"))
-    ready = _by_task(_pairs_of_blocks(rows).join(sketches, "sig"))
-    marked = checkpointed(ready.mapInArrow(marks, "sig binary, last int, min long").distinct())
-
-    sent = checkpointed(marked.select("sig").distinct().join(distinct.select("sig", "rep"), "sig"))
-    have = texts.join(small(sent.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = have.mapInArrow(shingles, "doc_id long, sig binary, shingles binary").join(sent.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"], "left_semi")
-    sets = sets.dropDuplicates(["sig"]).select("sig", "shingles")
-
-    def run(batches):
+    def compared(batches):
         links = []
-        for last, one, right, (rep, size, fp, mins, held) in _tasks(batches, ["rep", "size", "fp", "mins", "shingles"]):
-            block, parent = _Block(fp, size, mins), list(range(len(rep)))
+        for last, one, right, (rep, size, fp, mins, label, held) in _tasks(batches, ["rep", "size", "fp", "mins", "label", "shingles"]):
+            block, parent = _Block(fp, size, mins, label), list(range(len(rep)))
             sets = [np.frombuffer(h, dtype=np.uint64) for h in held]
 
             def root(i: int, parent=parent) -> int:
@@ -402,8 +445,33 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
                 links = []
         yield _pairs(links)
 
-    rows = marked.join(distinct.select("sig", "size"), "sig")
-    ready = _pairs_of_blocks(rows).join(distinct.select("sig", "rep", "size", "fp", "mins"), "sig").join(sets, "sig")
-    roots = components(checkpointed(_by_task(ready).mapInArrow(run, "a long, b long")))
-    labels = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("component_id"))
+    def linked(tasks: DataFrame, known: DataFrame) -> DataFrame:
+        """Links (a, b) between the members of each task that are similar; known: distinct with labels."""
+        tasks = checkpointed(tasks)
+        sketches = known.select("sig", "rep", "size", "fp", "mins", "label")
+        marked = checkpointed(_by_task(tasks.join(sketches, "sig")).mapInArrow(marks, "sig binary, last int, min long").distinct())
+        sent = checkpointed(marked.select("sig").distinct().join(known.select("sig", "rep"), "sig"))
+        have = texts.join(small(sent.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        sets = have.mapInArrow(shingles, "doc_id long, sig binary, shingles binary").join(sent.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"], "left_semi")
+        sets = sets.dropDuplicates(["sig"]).select("sig", "shingles")
+        ready = tasks.join(marked, ["sig", "last", "min"], "left_semi").join(sketches, "sig").join(sets, "sig")
+        return checkpointed(_by_task(ready).mapInArrow(compared, "a long, b long"))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return distinct.join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+
+    def members_of(known: DataFrame) -> DataFrame:
+        return known.select("sig", "size", "label", F.posexplode("mins").alias("last", "min"))
+
+    known, links = distinct.withColumn("label", F.col("rep")), None
+    shards = _shards(members_of(known))
+    hot = checkpointed(shards.where("blocks > 1"))
+    if not hot.isEmpty():
+        links = linked(_star_tasks(members_of(known), hot), known)
+        known = checkpointed(labelled(links))
+        shards = _shards(members_of(known))
+    more = linked(_pair_tasks(members_of(known), shards), known)
+    found = labelled(more if links is None else links.union(more))
+    labels = found.select(F.col("sig").alias("_sig"), F.col("label").alias("component_id"))
     return sketched.select("doc_id", "sig").join(labels, F.col("sig") == F.col("_sig"), "left").select("doc_id", "component_id")

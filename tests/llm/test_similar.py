@@ -81,3 +81,38 @@ def test_exactly_the_similarity_counts(spark, shingles):
     base = " ".join(w[:n])
     assert groups(spark, [base, at]) == {0: 0, 1: 0}
     assert groups(spark, [base, below]) == {0: 0, 1: 1}
+
+
+def test_hot_groups_of_several_kinds(spark, monkeypatch):
+    """Large groups that leaders join, strays that share their minima only, and chains that leaders miss."""
+    monkeypatch.setattr(S, "WIDE_SHARD_ROWS", 20)
+    monkeypatch.setattr(S, "LEADERS", 2)
+    monkeypatch.setattr(S, "LEADER_BLOCK", 8)
+    rng, texts = random.Random(13), []
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(3):
+        base = new(150)
+        for i in range(60):  # all similar to each other
+            w = list(base)
+            w[i % 150] = f"x{i}"
+            texts.append(" ".join(w))
+        texts += [" ".join(base[:110] + new(60 + i)) for i in range(30)]  # share minima, not similar
+        w = list(base)
+        for _ in range(25):  # each similar to the one before, the last not to the first
+            w = w[8:] + new(8)
+            texts.append(" ".join(w))
+    got, want = groups(spark, texts), brute(texts)
+    assert {i for i in want if got[i] != want[i]} == set()
+
+
+def test_joined_members_are_not_paired_again(spark, monkeypatch):
+    monkeypatch.setattr(S, "WIDE_SHARD_ROWS", 20)
+    rows = [(f"{i}".encode(), 10, 1 if i < 500 else i, 0, 7) for i in range(530)]
+    members = spark.createDataFrame(rows, "sig binary, size long, label long, last int, min long")
+    tasks = S._pair_tasks(members, S._shards(members)).collect()
+    assert len(tasks) < 4 * 530  # 25 blocks of the group meet two of the others, not each other
+    by_task = {}
+    for r in tasks:
+        by_task.setdefault((r["lo"], r["hi"]), {False: set(), True: set()})[r["right"]].add(int(r["sig"]))
+    met = {(min(a, b), max(a, b)) for (lo, hi), t in by_task.items() for a in t[False] for b in (t[False] if lo == hi else t[True]) if a != b}
+    assert {(a, b) for a in range(530) for b in range(max(a + 1, 500), 530)} <= met
