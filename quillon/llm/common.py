@@ -41,36 +41,35 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: So few edges, 16 MB, fit one task even if they are all of one node.
+FEW_EDGES = 1 << 20
+#: About so many edges a task, where they are few.
+TASK_EDGES = 1 << 17
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b: long) as rows (node, component): the smallest node reachable.
 
     Alternates large-star and small-star steps on shuffled edges, so no component is gathered in one task; minima are
-    combined before each shuffle and checkpointed, so the joins back can be split where a node has many edges.
-    Nodes without a link to another node get no row.
+    combined before each shuffle, and beyond FEW_EDGES they are checkpointed, so that the joins with them can be split
+    where a node has many edges. Each round is checkpointed. Nodes without a link to another node get no row.
     """
-    edges = checkpointed(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    )
-    seen = None
-    while True:
+    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    edges = checkpointed(pairs.distinct())
+    now, seen = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v"))).first(), None
+    while now != seen:
+        few = now["n"] <= FEW_EDGES
+        own = (lambda df: df) if few else checkpointed
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima of their own, so that the joins with them can be split where a node has many edges.
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = own(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = checkpointed(large.distinct())
-        least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
+        edges = own(large.distinct())
+        least = own(edges.groupBy("u").agg(F.min("v").alias("m")))
         joined = edges.join(least, "u")
-        edges = checkpointed(
-            joined.select("v", "m")
-            .where("v != m")
-            .union(joined.select("u", "m"))
-            .toDF("u", "v")
-            .distinct()
-        )
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
+        edges = joined.select("v", "m").where("v != m").union(joined.select("u", "m")).toDF("u", "v").distinct()
+        edges = checkpointed(edges.coalesce(max(2, -(-now["n"] // TASK_EDGES))) if few else edges)
+        now, seen = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v"))).first(), now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def running_start(df: DataFrame, group: list[str], order: list[str], amount: str, name: str, buckets: int = 1024) -> DataFrame:

@@ -309,19 +309,18 @@ def _blocks(rows, held):
     return F.greatest(F.ceil(rows / WIDE_SHARD_ROWS), F.ceil(held / WIDE_SHARD_SHINGLES)).cast("int")
 
 
-def _shards(members: DataFrame) -> DataFrame:
-    """(last, min, blocks) of the shards of members (sig, size, label, last, min) that hold two labels or more.
+def _sharded(members: DataFrame) -> DataFrame:
+    """Members (sig, rep, size, last, min) of the shards that hold two or more, with their shard's number of blocks.
 
-    A table of its own, so that joins with it can be split where a shard is hot.
+    The counts are a table of their own, so that the join with them can be split where a shard is hot.
     """
-    labels = F.min("label").alias("a"), F.max("label").alias("b")
-    counts = members.groupBy("last", "min").agg(F.count("*").alias("n"), F.sum("size").alias("held"), *labels).where("a < b")
-    return checkpointed(counts.select("last", "min", _blocks(F.col("n"), F.col("held")).alias("blocks")))
+    counts = checkpointed(members.groupBy("last", "min").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1"))
+    return checkpointed(members.join(counts.select("last", "min", _blocks(F.col("n"), F.col("held")).alias("blocks")), ["last", "min"]))
 
 
-def _star_tasks(members: DataFrame, hot: DataFrame) -> DataFrame:
+def _star_tasks(hot: DataFrame) -> DataFrame:
     """(sig, *_TASK): the members of hot shards in blocks of LEADER_BLOCK, each block with the shard's LEADERS on the left."""
-    inside = members.join(hot, ["last", "min"]).select("sig", "last", "min", F.ceil(F.col("blocks") * (WIDE_SHARD_ROWS / LEADER_BLOCK)).cast("int").alias("parts"))
+    inside = hot.select("sig", "last", "min", F.ceil(F.col("blocks") * (WIDE_SHARD_ROWS / LEADER_BLOCK)).cast("int").alias("parts"))
     first = Window.partitionBy("last", "min").orderBy(F.xxhash64("sig", F.lit(17)), "sig")
     leaders = inside.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= LEADERS)
     left = leaders.select("sig", "last", "min", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i.cast("string"))).alias("lo"), F.lit(False).alias("right"))
@@ -329,17 +328,16 @@ def _star_tasks(members: DataFrame, hot: DataFrame) -> DataFrame:
     return left.union(inside.select("sig", "last", "min", own.alias("lo"), F.lit(True).alias("right"))).select("sig", "last", "min", "lo", F.lit("leaders").alias("hi"), "right")
 
 
-def _pair_tasks(members: DataFrame, shards: DataFrame) -> DataFrame:
-    """(sig, *_TASK): every two members of a shard with different labels meet in a task.
+def _pair_tasks(held: DataFrame) -> DataFrame:
+    """(sig, *_TASK): every two of the members (sig, size, label, last, min, blocks) of a shard with different labels meet in a task.
 
     A shard of one block is one task. In the others, labels with over WIDE_SHARD_ROWS members have blocks of their own and
     the rest share blocks; two blocks have a task unless both are of one label. So a large group that is joined already
     costs its size times the number of other members, not its square.
     """
-    held = members.join(shards, ["last", "min"])
     whole = held.where("blocks = 1").select("sig", "last", "min", F.lit("").alias("lo"), F.lit("").alias("hi"), F.lit(False).alias("right"))
     hot = held.where("blocks > 1").select("sig", "size", "label", "last", "min")
-    if shards.where("blocks > 1").isEmpty():
+    if hot.isEmpty():
         return whole
     sizes = checkpointed(hot.groupBy("last", "min", "label").agg(F.count("*").alias("n"), F.sum("size").alias("held")))
     large = checkpointed(sizes.where(F.col("n") > WIDE_SHARD_ROWS).select("last", "min", "label", F.col("label").cast("string").alias("part"), _blocks(F.col("n"), F.col("held")).alias("k")))
@@ -457,21 +455,24 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         ready = tasks.join(marked, ["sig", "last", "min"], "left_semi").join(sketches, "sig").join(sets, "sig")
         return checkpointed(_by_task(ready).mapInArrow(compared, "a long, b long"))
 
-    def labelled(links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return distinct.join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
-
-    def members_of(known: DataFrame) -> DataFrame:
-        return known.select("sig", "size", "label", F.posexplode("mins").alias("last", "min"))
+    def joined(links: DataFrame) -> DataFrame:
+        """(rep, label) of the members that links join, alike only where links join them: the least leader two steps away."""
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("at")).agg(F.least(F.min("b"), F.col("at")).alias("m"))
+        return both.join(checkpointed(least), F.col("b") == F.col("at")).groupBy(F.col("a").alias("rep")).agg(F.min("m").alias("label"))
 
     known, links = distinct.withColumn("label", F.col("rep")), None
-    shards = _shards(members_of(known))
-    hot = checkpointed(shards.where("blocks > 1"))
-    if not hot.isEmpty():
-        links = linked(_star_tasks(members_of(known), hot), known)
-        known = checkpointed(labelled(links))
-        shards = _shards(members_of(known))
-    more = linked(_pair_tasks(members_of(known), shards), known)
-    found = labelled(more if links is None else links.union(more))
+    held = _sharded(distinct.select("sig", "rep", "size", F.posexplode("mins").alias("last", "min")))
+    hot = held.where("blocks > 1")
+    if hot.isEmpty():
+        held = held.withColumn("label", F.col("rep"))
+    else:
+        links = linked(_star_tasks(hot), known)
+        labels = checkpointed(joined(links))
+        known = distinct.join(small(labels), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        held = checkpointed(held.join(small(labels), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    more = linked(_pair_tasks(held), known)
+    roots = components(more if links is None else links.union(more))
+    found = distinct.join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
     labels = found.select(F.col("sig").alias("_sig"), F.col("label").alias("component_id"))
     return sketched.select("doc_id", "sig").join(labels, F.col("sig") == F.col("_sig"), "left").select("doc_id", "component_id")

@@ -107,9 +107,9 @@ def test_hot_groups_of_several_kinds(spark, monkeypatch):
 
 def test_joined_members_are_not_paired_again(spark, monkeypatch):
     monkeypatch.setattr(S, "WIDE_SHARD_ROWS", 20)
-    rows = [(f"{i}".encode(), 10, 1 if i < 500 else i, 0, 7) for i in range(530)]
-    members = spark.createDataFrame(rows, "sig binary, size long, label long, last int, min long")
-    tasks = S._pair_tasks(members, S._shards(members)).collect()
+    rows = [(f"{i}".encode(), i, 10, 1 if i < 500 else i, 0, 7) for i in range(530)]
+    members = spark.createDataFrame(rows, "sig binary, rep long, size long, label long, last int, min long")
+    tasks = S._pair_tasks(S._sharded(members)).collect()
     assert len(tasks) < 4 * 530  # 25 blocks of the group meet two of the others, not each other
     by_task = {}
     for r in tasks:
