@@ -52,7 +52,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps on shuffled edges, so no component is gathered in one task; minima are
     combined before each shuffle, and beyond FEW_EDGES they are checkpointed, so that the joins with them can be split
-    where a node has many edges. Each round is checkpointed. Nodes without a link to another node get no row.
+    where a node has many edges. Each round is checkpointed. The smallest node of a component gets no row, nor do nodes
+    without a link to another.
     """
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     edges = checkpointed(pairs.distinct())

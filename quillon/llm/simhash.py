@@ -198,10 +198,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, se
 #: Bits of the wide fingerprint, whose distances choose the pairs whose shingles are compared.
 WIDE_BITS = 1024
 MINIMA = 6
-WIDE_SHARD_ROWS = 1024
+WIDE_SHARD_ROWS = 256
 #: A shard that is dealt out in blocks is first compared with so many of its members, in blocks of so many.
 LEADERS = 16
-LEADER_BLOCK = 256
+LEADER_BLOCK = 128
 #: Shingles of a block at most, 32 MB, so that a task holds few however long the texts are.
 WIDE_SHARD_SHINGLES = 1 << 22
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(WIDE_BITS // 64 + MINIMA)], dtype=np.uint64)
