@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.numbers import p95, ratio
+from quillon.functions.numbers import ratio
 
 FAITHFULNESS_TARGET, P95_TARGET = 0.90, 8.0
 
 
-def retrieval_metrics(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """(qid, gold_rank, hit1, hit5, rr) of questions (qid, gold: array) over hits (qid, rank, doc_id); misses stay, with rr 0."""
-    first = hits.join(questions.select("qid", "gold"), "qid").where(F.array_contains("gold", F.col("doc_id"))).groupBy("qid").agg(F.min("rank").alias("gold_rank"))
-    rows = questions.select("qid").join(first, "qid", "left")
+#: A side of at most so many narrow rows may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, doc_id): the documents (doc_id, text) that hold an item (qid, item) word for word.
+
+    Inner words of an item, parted by spaces, are looked up among the documents' runs of three words; documents that have
+    them are compared with the item. Items of fewer words, which have none, are compared with all documents. The items'
+    keys are broadcast if they are few.
+    """
+    parts = F.split("item", " ")
+    keyed = items.where("item is not null and item != ''").withColumn("_key", F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, 2, 3), " ")))
+    few = keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda df: df
+    words = F.transform(F.array(F.split("text", " ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))[0]
+    runs = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("_key"))
+    pairs = runs.join(sent(keyed.where("_key is not null").select("qid", "_key")), "_key").select("qid", "doc_id").distinct()
+    found = docs.join(pairs, "doc_id").join(sent(items), "qid").where(F.contains("text", F.col("item"))).select("qid", "doc_id")
+    short = docs.join(sent(keyed.where("_key is null").select("qid", "item"))).where(F.contains("text", F.col("item")))
+    return found.union(short.select("qid", "doc_id"))
+
+
+def retrieval_metrics(gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, gold_rank, hit1, hit5, rr) of the questions of gold (qid, doc_id) over hits (qid, rank, doc_id); misses stay, with rr 0."""
+    first = hits.join(gold, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("gold_rank"))
+    rows = gold.select("qid").distinct().join(first, "qid", "left")
     rank = F.col("gold_rank")
     return rows.select("qid", "gold_rank", F.coalesce(rank == 1, F.lit(False)).alias("hit1"), F.coalesce(rank <= 5, F.lit(False)).alias("hit5"), F.coalesce(1.0 / rank, F.lit(0.0)).alias("rr"))
 
@@ -24,15 +47,14 @@ def evidence_at_k(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.where("evidence is not null").select("qid").join(found, "qid", "left").select("qid", F.coalesce("f", F.lit(False)).alias("evidence_found"))
 
 
-def question_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """(qid, gold_rank, evidence_found) of questions (qid, gold, evidence) in one pass over hits (qid, rank, doc_id, text).
+def question_results(questions: DataFrame, gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, gold_rank, evidence_found) of questions (qid, evidence) with gold (qid, doc_id) over hits (qid, rank, doc_id, text).
 
     evidence_found is null for a question without an expression.
     """
-    joined = hits.join(questions.select("qid", "gold", "evidence"), "qid")
-    found = joined.groupBy("qid").agg(
-        F.min(F.when(F.array_contains("gold", F.col("doc_id")), F.col("rank"))).alias("gold_rank"), F.bool_or(F.rlike("text", F.col("evidence"))).alias("f")
-    )
+    right = gold.select("qid", "doc_id", F.lit(True).alias("_right")).distinct()
+    joined = hits.join(questions.select("qid", "evidence"), "qid").join(right, ["qid", "doc_id"], "left")
+    found = joined.groupBy("qid").agg(F.min(F.when(F.col("_right"), F.col("rank"))).alias("gold_rank"), F.bool_or(F.rlike("text", F.col("evidence"))).alias("f"))
     rows = questions.select("qid", "evidence").join(found, "qid", "left")
     return rows.select("qid", "gold_rank", F.when(F.col("evidence").isNotNull(), F.coalesce("f", F.lit(False))).alias("evidence_found"))
 
@@ -120,12 +142,16 @@ def eval_summary(graded: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(timings: DataFrame) -> DataFrame:
-    """(stage, n, p50, p95) of (stage, seconds): interpolated median, nearest-rank p95.
+    """(stage, n, p50, p95) of (stage, seconds): interpolated median, nearest-rank p95, its rank rounded half to even.
 
-    A stage's values, one for each answer of a run, are gathered: the exact rank rule has no aggregate of its own.
+    Equal values are counted before they are shuffled; p95 is the first value whose running count reaches the rank.
     """
-    grouped = timings.groupBy("stage").agg(F.count("*").alias("n"), F.percentile("seconds", 0.5).alias("p50"), F.collect_list("seconds").alias("_s"))
-    return grouped.select("stage", "n", "p50", p95(F.col("_s")).alias("p95"))
+    counts = timings.where("seconds is not null").groupBy("stage", "seconds").agg(F.count("*").alias("_k"))
+    upto = Window.partitionBy("stage").orderBy("seconds")
+    whole = Window.partitionBy("stage")
+    placed = counts.withColumn("_upto", F.sum("_k").over(upto)).withColumn("n", F.sum("_k").over(whole))
+    rank = F.greatest(F.lit(1.0), F.rint(0.95 * F.col("n")))
+    return placed.groupBy("stage").agg(F.first("n").alias("n"), F.percentile("seconds", F.lit(0.5), F.col("_k")).alias("p50"), F.min(F.when(F.col("_upto") >= rank, F.col("seconds"))).alias("p95"))
 
 
 def breakdown(graded: DataFrame) -> DataFrame:

@@ -21,52 +21,79 @@ def ranked(scored: DataFrame, k: int, group: str = "qid", order: list[Column] |
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _unit_rows(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("long"), F.col("v").cast("array<double>"))
+
+
+def _in_blocks(queries: DataFrame, run, columns: list[str] | None = None):
+    """run(block) for blocks of about QUERY_BLOCK queries (qid, v, …), sent to the tasks as {length: (rows, unit vectors)}.
+
+    Queries without a vector, or with a zero one, take no part. The blocks' results are united; None without a query.
+    """
+    spark, found = queries.sparkSession, None
+    asked = queries.select(F.col("qid").cast("long"), F.col("v").cast("array<double>").alias("v"), *(columns or [])).where("qid is not null and v is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()  # about QUERY_BLOCK rows
+        by_length: dict[int, list] = {}
+        for r in own:
+            if any(r["v"]):
+                by_length.setdefault(len(r["v"]), []).append(r)
+        if by_length:
+            block = {n: (rows, _units(np.array([r["v"] for r in rows], dtype=np.float64))) for n, rows in by_length.items()}
+            part = run(spark.sparkContext.broadcast(block))
+            found = part if found is None else found.union(part)
+    return found
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _by_length(batch: pa.RecordBatch, lengths):
+    """(length, ids, unit vectors) of a batch (id, v): non-zero vectors of the lengths asked for."""
+    ids, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    sizes = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for n in lengths:
+        rows = np.flatnonzero(sizes == n)
+        x = v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
+        good = np.linalg.norm(x, axis=1) > 0
+        if good.any():
+            yield n, ids[rows[good]], _units(x[good])
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, skip_own: bool = False) -> DataFrame:
     """Rows (qid, chunk_id, score, rank): the k vectors (chunk_id, v) of highest cosine similarity for each query (qid, v).
 
-    Exact. Queries go to the vectors in blocks; each task returns its own k best a query, so little is shuffled. Zero
-    vectors and those of another length take no part; ties go to the smaller chunk_id.
+    Exact. Queries go to the vectors in blocks; each task keeps its k best a query and returns those, so little is
+    shuffled. A query meets the vectors of its own length; zero vectors take no part; ties go to the smaller chunk_id.
     """
-    spark = vectors.sparkSession
-    unit = lambda df, i: df.select(F.col(i).cast("long"), F.col("v").cast("array<double>"))
-    questions = unit(queries, "qid").where("qid is not null and v is not null")
-    blocks = max(1, -(-questions.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        own = questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()  # about QUERY_BLOCK rows
-        if not own:
-            continue
-        size = len(own[0]["v"])
-        own = [r for r in own if len(r["v"]) == size and any(r["v"])]
-        q = np.array([r["v"] for r in own], dtype=np.float64).reshape(-1, size)
-        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in own], dtype=np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
-        part = unit(vectors, "chunk_id").where(F.size("v") == size).mapInArrow(_best_of(shared, k + skip_own, skip_own), "qid long, chunk_id long, score double")
-        found = part if found is None else found.union(part)
+    rows = _unit_rows(vectors, "chunk_id")
+    found = _in_blocks(queries, lambda shared: rows.mapInArrow(_best_of(shared, k, skip_own), "qid long, chunk_id long, score double"))
     if found is None:
-        return spark.createDataFrame([], "qid long, chunk_id long, score double, rank int")
+        return vectors.sparkSession.createDataFrame([], "qid long, chunk_id long, score double, rank int")
     return ranked(found, k, order=[F.desc(F.round("score", 9)), F.col("chunk_id")])
 
 
 def _best_of(shared, k: int, skip_own: bool):
     def run(batches):
-        qids, q = shared.value
+        block = shared.value
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: scores and ids (queries x at most k)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            length = np.linalg.norm(x, axis=1)
-            ids, x = ids[length > 0], x[length > 0] / length[length > 0, None]
-            scores = q @ x.T
-            if skip_own:
-                scores[qids[:, None] == ids[None, :]] = -np.inf
-            rows = []
-            for i in range(len(qids)):
-                s = np.round(scores[i], 9)
-                top = s >= np.partition(s, -k)[-k] if len(s) > k else np.isfinite(s)
-                best = np.flatnonzero(top & np.isfinite(s))
-                best = best[np.lexsort((ids[best], -s[best]))][:k]
-                rows.append((np.full(len(best), qids[i]), ids[best], scores[i][best]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[c] for r in rows])) for c in range(3)], names=["qid", "chunk_id", "score"])
+            for n, ids, x in _by_length(batch, block):
+                rows, q = block[n]
+                scores = np.round(q @ x.T, 9)
+                if skip_own:
+                    scores[np.array([r["qid"] for r in rows])[:, None] == ids[None, :]] = -np.inf
+                every = np.broadcast_to(ids, scores.shape)
+                if n in best:
+                    scores, every = np.concatenate([best[n][0], scores], axis=1), np.concatenate([best[n][1], every], axis=1)
+                order = np.lexsort((every, -scores), axis=1)[:, :k]
+                best[n] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(every, order, axis=1)
+        for n, (scores, ids) in best.items():
+            at, place = np.nonzero(np.isfinite(scores))
+            qids = np.array([r["qid"] for r in block[n][0]], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids[at, place]), pa.array(scores[at, place])], names=["qid", "chunk_id", "score"])
 
     return run
 
@@ -78,43 +105,90 @@ def postings(chunks: DataFrame) -> DataFrame:
     return words.groupBy("chunk_id", "term").agg(F.first("ord").alias("ord"), F.first("dl").alias("dl"), F.count("*").alias("tf"))
 
 
-def corpus_totals(chunks: DataFrame) -> DataFrame:
-    """One row (n, avgdl) over all chunks."""
-    return chunks.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(term, df, total): chunks and places that hold each term; for the term null, the number of chunks and their length.
+
+    Counts are combined before the shuffle; no row for each chunk and term is moved.
+    """
+    words = chunks.select(T.tokens(F.col("text")).alias("terms"))
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("total")))
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("df"), F.size("terms").alias("total")))
+    return words.select(F.explode(F.concat(once, each, whole)).alias("x")).groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.total").alias("total"))
+
+
+def corpus_totals(counts: DataFrame) -> DataFrame:
+    """One row (n, avgdl) of term_counts."""
+    return counts.where("term is null").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
 
 
-def term_weights(index: DataFrame, totals: DataFrame) -> DataFrame:
-    """(term, df, idf): ln(N - df + 0.5) - ln(df + 0.5), with negatives replaced by a quarter of the mean."""
+def term_weights(counts: DataFrame) -> DataFrame:
+    """(term, df, total, idf) of term_counts, which are read twice: ln(N - df + 0.5) - ln(df + 0.5), negatives replaced by a quarter of the mean."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    found = index.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals.select("n"))).select("term", "df", raw.alias("raw"))
+    found = counts.where("term is not null").join(F.broadcast(corpus_totals(counts).select("n"))).select("term", "df", "total", raw.alias("raw"))
     mean = found.agg(F.avg("raw").alias("mean"))  # one row
-    return found.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return found.join(F.broadcast(mean)).select("term", "df", "total", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+
+
+def _scored(found: DataFrame, weight: DataFrame, totals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, chunk_id, ord, score) of the postings (chunk_id, ord, term, tf, dl) of asked terms (qid, term, times)."""
+    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
+    gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    gained = found.join(weight.select("term", "idf"), "term").join(F.broadcast(totals)).select("chunk_id", "ord", "term", gain.alias("gain"))
+    return gained.join(asked, "term").groupBy("qid", "chunk_id").agg(F.first("ord").alias("ord"), F.sum(F.col("times") * F.col("gain")).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, chunk_id, ord, score) of the chunks that share a term with the query; repeated query terms count again.
 
-    One pass over the texts counts each term's documents, combined before the shuffle, and the corpus totals with them; the
-    counts are kept, as several sums need them. A second pass keeps the queries' terms only, so the whole index is never
-    shuffled.
+    One pass over the texts counts terms, kept as several sums need them. A second keeps the queries' terms only, so the
+    whole index is never shuffled. For many batches of questions over one corpus, store the index (store_index).
     """
-    asked = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    words = chunks.select("chunk_id", "ord", T.tokens(F.col("text")).alias("terms"))
-    # The entry null, once a chunk, counts the chunks and sums their lengths.
-    marks = words.select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"))
-    counts = durable(marks.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
-    totals = counts.where("term is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
-    raw = counts.where("term is not null").join(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    asked, counts = _asked(queries), durable(term_counts(chunks))
     terms = asked.select("term").distinct()
-    weight = raw.join(terms, "term").join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    words = chunks.select("chunk_id", "ord", T.tokens(F.col("text")).alias("terms"))
     # explode_outer: explode would first test each text for words, which tokenizes it twice.
     found = words.select("chunk_id", "ord", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).join(terms, "term", "left_semi")
     found = found.groupBy("chunk_id", "term").agg(F.first("ord").alias("ord"), F.first("dl").alias("dl"), F.count("*").alias("tf"))
-    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    gained = found.join(weight, "term").join(F.broadcast(totals)).select("chunk_id", "ord", "term", gain.alias("gain"))
-    return gained.join(asked, "term").groupBy("qid", "chunk_id").agg(F.first("ord").alias("ord"), F.sum(F.col("times") * F.col("gain")).alias("score"))
+    return _scored(found, term_weights(counts), corpus_totals(counts), asked)
+
+
+#: Parts of a stored index, by the hash of the term.
+INDEX_PARTS = 64
+
+
+def _part(term: str) -> Column:
+    return F.pmod(F.crc32(F.col(term).cast("binary")), F.lit(INDEX_PARTS)).cast("int")
+
+
+def store_index(chunks: DataFrame, path: str) -> None:
+    """Writes the index of chunks (chunk_id, ord, text) to path: postings and term weights by part and term, and totals."""
+    counts = durable(term_counts(chunks))
+    for name, df in (("postings", postings(chunks)), ("terms", term_weights(counts))):
+        df.withColumn("part", _part("term")).repartition("part", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+    corpus_totals(counts).write.mode("overwrite").parquet(f"{path}/totals")
+    chunks.orderBy("ord").limit(FIRST_CHUNKS).select("chunk_id", "ord").write.mode("overwrite").parquet(f"{path}/first")
+
+
+#: How many of the corpus' first chunks a stored index names, to fill up short lists; k is at most that.
+FIRST_CHUNKS = 1000
+
+
+def stored_topk(spark, path: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """bm25_topk of queries (qid, text) from a stored index: no text is read, and of postings and terms only the asked parts."""
+    if k > FIRST_CHUNKS:
+        raise ValueError(f"a stored index fills up lists of at most {FIRST_CHUNKS} chunks")
+    asked = durable(_asked(queries).withColumn("part", _part("term")))
+    parts = sorted(r["part"] for r in asked.select("part").distinct().collect())  # at most INDEX_PARTS rows
+    terms = asked.select("term").distinct()
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    held = {name: read(name).where(F.col("part").isin(parts)).drop("part").join(terms, "term", "left_semi") for name in ("postings", "terms")}
+    scored = _scored(held["postings"], held["terms"], read("totals"), asked.drop("part"))
+    return _filled(scored, queries, read("first").orderBy("ord").limit(k), k)
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -123,10 +197,13 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     Of the chunks without a common term only the first k of the corpus can be needed, so no pair of query and chunk is
     made beyond those and the pairs that share a term.
     """
-    first = chunks.orderBy("ord").limit(k).select("chunk_id", "ord")
-    padding = queries.select("qid").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    scored = bm25_scores(queries, chunks).select("qid", "chunk_id", "ord", "score").unionByName(padding)
-    return ranked(scored.groupBy("qid", "chunk_id").agg(F.first("ord").alias("ord"), F.sum("score").alias("score")), k)
+    return _filled(bm25_scores(queries, chunks), queries, chunks.orderBy("ord").limit(k).select("chunk_id", "ord"), k)
+
+
+def _filled(scored: DataFrame, queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    padding = queries.select("qid").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
+    both = scored.select("qid", "chunk_id", "ord", "score").unionByName(padding.select("qid", "chunk_id", "ord", "score"))
+    return ranked(both.groupBy("qid", "chunk_id").agg(F.first("ord").alias("ord"), F.sum("score").alias("score")), k)
 
 
 def rrf(lists: DataFrame, weights: dict[str, float], c: int = 60, k: int = 5) -> DataFrame:
@@ -168,9 +245,8 @@ def matched_terms(queries: DataFrame, chunks: DataFrame, hits: DataFrame) -> Dat
 def term_stats(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, pos, term, df, share, idf) of each query's distinct terms; unknown terms have zeros."""
     asked = queries.select("qid", F.posexplode(F.array_distinct(T.tokens(F.col("text")))).alias("pos", "term"))
-    totals = corpus_totals(chunks)
-    weight = term_weights(postings(chunks), totals)
-    joined = asked.join(weight, "term", "left").join(F.broadcast(totals))
+    counts = durable(term_counts(chunks))
+    joined = asked.join(term_weights(counts), "term", "left").join(F.broadcast(corpus_totals(counts)))
     df = F.coalesce("df", F.lit(0)).cast("long")
     return joined.select("qid", "pos", "term", df.alias("df"), F.round(100.0 * df / F.col("n"), 4).alias("share"), F.round(F.coalesce("idf", F.lit(0.0)), 2).alias("idf"))
 
@@ -187,16 +263,30 @@ def rank_pivot(lists: DataFrame, names: list[str]) -> DataFrame:
 
 
 def rank_of(queries: DataFrame, vectors: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(qid, chunk_id, position): the place of one wanted chunk in the query's full ordering by cosine, from 1."""
-    from quillon.functions.numbers import dot, normalised
-
-    q = queries.select("qid", normalised(F.col("v")).alias("q"))
-    target = wanted.join(q, "qid").join(vectors.select("chunk_id", normalised(F.col("v")).alias("t")), "chunk_id")
-    target = target.select("qid", "chunk_id", "q", F.round(dot(F.col("q"), F.col("t")), 9).alias("mine"))
-    others = vectors.select(F.col("chunk_id").alias("other"), normalised(F.col("v")).alias("o"))
-    better = others.join(F.broadcast(target)).where(F.round(dot(F.col("q"), F.col("o")), 9) > F.col("mine"))
-    counted = better.groupBy("qid", "chunk_id").agg(F.count("*").alias("above"))
-    return target.select("qid", "chunk_id").join(counted, ["qid", "chunk_id"], "left").select("qid", "chunk_id", (F.coalesce("above", F.lit(0)) + 1).alias("position"))
+    """(qid, chunk_id, position): the place of one wanted chunk (qid, chunk_id) in the query's full ordering by cosine, from 1."""
+    own = vectors.select(F.col("chunk_id").alias("_c"), F.col("v").alias("_t"))
+    asked = wanted.join(queries.select("qid", "v"), "qid").join(own, F.col("chunk_id") == F.col("_c")).select("qid", "v", "chunk_id", F.col("_t").cast("array<double>").alias("target"))
+    rows = _unit_rows(vectors, "chunk_id")
+    found = _in_blocks(asked, lambda shared: rows.mapInArrow(_above(shared), "qid long, chunk_id long, n long"), ["chunk_id", "target"])
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "qid long, chunk_id long, position long")
+    return found.groupBy("qid", "chunk_id").agg((F.sum("n") + 1).alias("position"))
+
+
+def _above(shared):
+    """For each query of a block, how many vectors score above its target."""
+
+    def run(batches):
+        block = {n: v for n, v in shared.value.items()}
+        mine = {n: np.round((q * _units(np.array([r["target"] for r in rows], dtype=np.float64))).sum(axis=1), 9) for n, (rows, q) in block.items()}
+        count = {n: np.zeros(len(rows), dtype=np.int64) for n, (rows, _) in block.items()}
+        for batch in batches:
+            for n, _, x in _by_length(batch, block):
+                count[n] += (np.round(block[n][1] @ x.T, 9) > mine[n][:, None]).sum(axis=1)
+        for n, (rows, _) in block.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r["qid"] for r in rows], pa.int64()), pa.array([r["chunk_id"] for r in rows], pa.int64()), pa.array(count[n])], names=["qid", "chunk_id", "n"])
+
+    return run
 
 
 def texts_in_order(wanted: DataFrame, chunks: DataFrame) -> DataFrame:

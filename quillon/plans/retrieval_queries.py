@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import numbers as N
 from quillon.functions import text as T
 from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
 from quillon.plans.registry import query, table, texts
-from quillon.session import durable
+from quillon.session import durable, removed, shared_folder
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -60,13 +61,12 @@ def vector_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, gold: array of doc_id): the documents that hold the benchmark item; the items are a stated, small set.
+    """(qid, doc_id): the documents that hold the benchmark item, a row for each pair.
 
-    The rows, one for an item, are kept: every use of them would compare all texts again.
+    Kept, since it is used more than once.
     """
     docs = texts(spark, d, "documents").select("doc_id", "text")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    return durable(docs.join(F.broadcast(items), F.contains("text", F.col("item"))).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold")))
+    return durable(E.holders(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))))
 
 
 @query(f"SELECT doc_id, pos - 1 AS pos, terms[pos] AS term FROM (SELECT doc_id, terms, generate_subscripts(terms, 1) AS pos FROM (SELECT doc_id, {sql_tokens('text')} AS terms FROM documents))")
@@ -76,10 +76,7 @@ def bm25_tokens(spark, d):
 
 @query(BM25 + "SELECT term, df, round(idf, 6) AS idf, sum(tf)::BIGINT AS total FROM w JOIN p USING (term) GROUP BY ALL")
 def bm25_index(spark, d):
-    c = chunks(spark, d)
-    index = R.postings(c)
-    total = index.groupBy("term").agg(F.sum("tf").alias("total"))
-    return R.term_weights(index, R.corpus_totals(c)).join(total, "term").select("term", "df", F.round("idf", 6).alias("idf"), "total")
+    return R.term_weights(durable(R.term_counts(chunks(spark, d)))).select("term", "df", F.round("idf", 6).alias("idf"), "total")
 
 
 @query(BM25 + "SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 5")
@@ -87,6 +84,15 @@ def bm25_topk(spark, d):
     return R.bm25_topk(questions(spark, d), chunks(spark, d)).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(BM25 + "SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 5")
+def bm25_stored_topk(spark, d):
+    path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    R.store_index(chunks(spark, d), path)
+    found = durable(R.stored_topk(spark, path, questions(spark, d)))
+    removed(spark, path)
+    return found.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {VEC} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM vt WHERE rank <= 5")
 def vector_topk(spark, d):
     return R.retrieve(vector_questions(spark, d), vectors(spark, d)).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
@@ -104,21 +110,16 @@ def knn_graph(spark, d):
 
 @query(f"WITH {VEC} SELECT qid, chunk_id, round(score, 6) AS score FROM vt WHERE rank <= 3")
 def cosine_matrix_topk(spark, d):
-    q = vector_questions(spark, d).select("qid", N.normalised(F.col("v")).alias("q"))
-    c = vectors(spark, d).select("chunk_id", N.normalised(F.col("v")).alias("c"))
-    scored = c.join(F.broadcast(q)).select("qid", "chunk_id", N.dot(F.col("q"), F.col("c")).alias("score"))  # a stated set of queries
-    return R.ranked(scored, 3, order=[F.desc(F.round("score", 9)), F.col("chunk_id")]).select("qid", "chunk_id", F.round("score", 6).alias("score"))
+    return R.vector_topk(vector_questions(spark, d), vectors(spark, d), 3).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
-_LISTS = f"""WITH {VEC}, l AS (SELECT qid, 'vector' AS list, chunk_id, rank FROM vt WHERE rank <= 10
-UNION ALL SELECT qid, 'bm25', (chunk_id * 7 + rank) % 500, rank FROM vt WHERE rank <= 10), lists AS (SELECT qid, list, chunk_id, min(rank) AS rank FROM l GROUP BY ALL)"""
+_LISTS = BM25 + f""", {VEC}, lists AS (SELECT qid // 50 AS qid, 'vector' AS list, chunk_id, rank FROM vt WHERE rank <= 10 UNION ALL SELECT qid, 'bm25', chunk_id, rank FROM bm WHERE rank <= 10)"""
 
 
 def _lists(spark, d):
-    hits = R.vector_topk(vector_questions(spark, d), vectors(spark, d), 10).select("qid", "chunk_id", "rank")
-    other = hits.select("qid", F.lit("bm25").alias("list"), ((F.col("chunk_id") * 7 + F.col("rank")) % 500).alias("chunk_id"), "rank")
-    both = hits.select("qid", F.lit("vector").alias("list"), "chunk_id", "rank").union(other)
-    return both.groupBy("qid", "list", "chunk_id").agg(F.min("rank").alias("rank"))
+    hits = R.vector_topk(vector_questions(spark, d), vectors(spark, d), 10).select(F.floor(F.col("qid") / 50).alias("qid"), F.lit("vector").alias("list"), "chunk_id", "rank")
+    keyword = R.bm25_topk(questions(spark, d), chunks(spark, d), 10)
+    return hits.union(keyword.select("qid", F.lit("bm25").alias("list"), "chunk_id", "rank"))
 
 
 @query(
@@ -184,13 +185,13 @@ def term_stats(spark, d):
 
 
 @query(
-    f"""WITH {VEC}, w AS (SELECT q.vec_id AS qid, (q.vec_id * 13 + 5) % 500 AS chunk_id FROM v q WHERE q.vec_id % 50 = 0),
+    f"""WITH {VEC}, w AS (SELECT q.vec_id AS qid, (q.vec_id * 13 + 5) % (SELECT count(*) FROM v) AS chunk_id FROM v q WHERE q.vec_id % 50 = 0),
 s AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_dot_product(q.e, c.e), 9) AS score FROM v q, v c WHERE q.vec_id % 50 = 0)
 SELECT w.qid, w.chunk_id, (SELECT count(*) FROM s o WHERE o.qid = w.qid AND o.score > m.score) + 1 AS position FROM w JOIN s m ON m.qid = w.qid AND m.chunk_id = w.chunk_id"""
 )
 def chunk_rank(spark, d):
-    q = vector_questions(spark, d)
-    return R.rank_of(q, vectors(spark, d), q.select("qid", ((F.col("qid") * 13 + 5) % 500).alias("chunk_id")))
+    q, n = vector_questions(spark, d), vectors(spark, d).count()
+    return R.rank_of(q, vectors(spark, d), q.select("qid", ((F.col("qid") * 13 + 5) % n).alias("chunk_id")))
 
 
 @query(BM25 + "SELECT qid, rank - 1 AS pos, chunk_id, left(text, 40) AS opening FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 5")
@@ -202,7 +203,7 @@ def context_texts(spark, d):
 
 def _metrics(spark, d):
     g = gold(spark, d)
-    hits = R.bm25_topk(questions(spark, d).join(g.select("qid"), "qid"), chunks(spark, d)).select("qid", "rank", F.col("chunk_id").alias("doc_id"))
+    hits = R.bm25_topk(questions(spark, d).join(g, "qid", "left_semi"), chunks(spark, d)).select("qid", "rank", F.col("chunk_id").alias("doc_id"))
     return E.retrieval_metrics(g, hits)
 
 
@@ -218,10 +219,11 @@ SELECT count(*) AS n, count_if(gold_rank = 1)::BIGINT AS hit1, count_if(gold_ran
 FROM first LEFT JOIN ev USING (qid)"""
 )
 def retrieval_summary(spark, d):
-    asked = gold(spark, d).join(questions(spark, d), "qid").withColumn("evidence", F.when(F.length("text") > 200, F.lit("[0-9]")))
+    g = gold(spark, d)
+    asked = questions(spark, d).join(g, "qid", "left_semi").withColumn("evidence", F.when(F.length("text") > 200, F.lit("[0-9]")))
     c = chunks(spark, d)
     hits = R.bm25_topk(asked.select("qid", "text"), c).join(c.select("chunk_id", "text"), "chunk_id").select("qid", "rank", F.col("chunk_id").alias("doc_id"), "text")
-    return E.retrieval_summary(E.question_results(asked, hits)).withColumn("mrr", F.round("mrr", 6))
+    return E.retrieval_summary(E.question_results(asked, g, hits)).withColumn("mrr", F.round("mrr", 6))
 
 
 @query(
@@ -243,7 +245,7 @@ m AS (SELECT 'bm25' AS method, qid, gold_rank FROM fb UNION ALL SELECT 'shifted'
 
 def _firsts(spark, d):
     g = gold(spark, d)
-    hits = R.bm25_topk(questions(spark, d).join(g.select("qid"), "qid"), chunks(spark, d), 20).select("qid", "rank", F.col("chunk_id").alias("doc_id"))
+    hits = R.bm25_topk(questions(spark, d).join(g, "qid", "left_semi"), chunks(spark, d), 20).select("qid", "rank", F.col("chunk_id").alias("doc_id"))
     first = E.retrieval_metrics(g, hits).select("qid", "gold_rank")
     shifted = first.select(F.lit("shifted").alias("method"), "qid", F.when(F.col("qid") % 4 != 0, F.col("gold_rank") + F.col("qid") % 6).cast("int").alias("gold_rank"))
     return first.select(F.lit("bm25").alias("method"), "qid", "gold_rank").union(shifted)

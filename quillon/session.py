@@ -40,3 +40,9 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors cost no lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at path and is not read any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -191,3 +191,35 @@ def test_plans(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("ord"), F.col("label").cast("double").alias("score"))
     plan = retrieval.ranked(v.where("qid > 5"), 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "PushedFilters: [IsNotNull(vec_id), GreaterThan(vec_id,5)]" in plan and "ReadSchema: struct<vec_id:bigint,label:int>" in plan
+
+
+def test_vectors_of_several_lengths(spark):
+    """A block whose first query is short loses no other query."""
+    queries = spark.createDataFrame([(0, [1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "qid long, v array<double>")
+    vectors = spark.createDataFrame([(10, [2.0, 0.0]), (11, [1.0, 1.0]), (12, [3.0]), (13, [0.0, 0.0]), (14, None)], "chunk_id long, v array<double>")
+    got = sorted((r["qid"], r["rank"], r["chunk_id"]) for r in retrieval.vector_topk(queries, vectors, 2).collect())
+    assert got == [(0, 1, 12), (1, 1, 10), (1, 2, 11), (2, 1, 11), (2, 2, 10)]
+
+
+def test_vector_search_keeps_a_running_best(spark):
+    rows = [(i, [1.0, i / 100]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, v array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    got = retrieval.vector_topk(spark.createDataFrame([(0, [1.0, 0.0])], "qid long, v array<double>"), vectors, 3).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["chunk_id"] for r in sorted(got, key=lambda r: r["rank"])] == [0, 1, 2]
+
+
+def test_holders(spark):
+    docs = spark.createDataFrame([(1, "xx a bb c d ee yy"), (2, "a bb c dd"), (3, None), (4, "zza bb c d e"), (5, "short"), (6, "a bb c x c d e a bb c d e")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a bb c d e"), (2, "short"), (3, "b c"), (4, ""), (5, None)], "qid long, item string")
+    assert sorted(tuple(r) for r in evaluation.holders(docs, items).collect()) == [(1, 1), (1, 4), (1, 6), (2, 5), (3, 1), (3, 2), (3, 4), (3, 6)]
+
+
+def test_stored_index_reads_the_asked_parts_only(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, i, f"word{i} shared word{i % 7}") for i in range(200)], "chunk_id long, ord long, text string")
+    queries = spark.createDataFrame([(0, "word3 shared"), (1, "nothing")], "qid long, text string")
+    retrieval.store_index(chunks, str(tmp_path / "i"))
+    found = retrieval.stored_topk(spark, str(tmp_path / "i"), queries)
+    assert sorted(map(tuple, found.select("qid", "chunk_id", "rank").collect())) == sorted(map(tuple, retrieval.bm25_topk(queries, chunks).select("qid", "chunk_id", "rank").collect()))
+    assert "PartitionFilters: [part" in found._jdf.queryExecution().toString()
