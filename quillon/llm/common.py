@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.session import shared_folder
+from quillon.session import removed, shared_folder
 
 #: A side of at most so many narrow rows (an id and a few numbers, under 64 bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -104,12 +104,6 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a stored table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: Bits of a filter at most: 8 MB, whatever the input. A full filter lets more through, which costs time only.
 FILTER_BITS = 1 << 26
 PROBES = 4
