@@ -82,9 +82,9 @@ def pca_2d(vectors: DataFrame, column: str = "v") -> tuple[DataFrame, list[float
 
 
 def packed_vector(codes: Column) -> Column:
-    """Base64 of int8 codes."""
+    """Base64 of int8 codes, in one line."""
     byte = F.transform(codes, lambda c: F.lpad(F.hex(F.pmod(c, F.lit(256))), 2, "0"))
-    return F.base64(F.unhex(F.array_join(byte, "")))
+    return F.replace(F.base64(F.unhex(F.array_join(byte, ""))), F.lit("\r\n"), F.lit(""))  # Spark breaks the line
 
 
 def era_bounds(years: Column, present: int = 2026) -> list[Column]:

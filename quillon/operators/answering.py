@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -54,6 +55,26 @@ def graded(rows: DataFrame, provider: Callable[[], Callable[[str, str], tuple[bo
     return rows.select("qid", "question", "context").mapInPandas(run, "qid long, sufficient boolean, reason string")
 
 
+def in_workers(rows: DataFrame, workers: int) -> DataFrame:
+    """rows in so many partitions: at most so many calls of a provider run at the same time."""
+    return rows.repartition(workers)
+
+
+def baseline(questions: DataFrame, provider: Callable[[], Callable[[str, str], str]]) -> DataFrame:
+    """(qid, answer): the provider's own answers to (qid, question), without a context."""
+    return generated(questions.select("qid", "question", F.lit("").alias("context")), provider)
+
+
+def timed(stages: dict[str, Callable[[], DataFrame]], spark) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Runs the stages one after the other, each to its end: their kept results, and (stage, seconds) rounded to milliseconds."""
+    results, seconds = {}, []
+    for name, stage in stages.items():
+        began = time.monotonic()
+        results[name] = durable(stage())
+        seconds.append((name, round(time.monotonic() - began, 3)))
+    return results, spark.createDataFrame(seconds, "stage string, seconds double")
+
+
 def generated(rows: DataFrame, provider: Callable[[], Callable[[str, str], str]]) -> DataFrame:
     """rows (qid, question, context) with the provider's answer."""
 
@@ -96,6 +117,11 @@ def refusal_reason(stage: Column, top_score: Column, least: float = MIN_SCORE) -
     return F.when(stage == "score_gate", gate).when(stage == "evidence_check", "the passages do not answer the question").otherwise("")
 
 
+def refusal_rows(questions: DataFrame) -> DataFrame:
+    """(qid, answer, sources) of refused questions: the fixed message, no sources."""
+    return questions.select("qid", F.lit(REFUSAL).alias("answer"), F.array().cast("array<string>").alias("sources"))
+
+
 def shown_answer(refused: Column, answer: Column, fallback: Column, use_fallback: Column) -> Column:
     """The answer, or on a refusal the model's own if that is asked for and there is one."""
     return F.when(refused & use_fallback & fallback.isNotNull(), fallback).otherwise(answer)

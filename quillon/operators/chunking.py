@@ -149,13 +149,24 @@ def chunk_rows(chunks: DataFrame, segments: DataFrame, meta: DataFrame, header:
     )
 
 
-def ablation(full: DataFrame, variants: list[tuple[str, int, int]] = (("300", 300, 45), ("600", 600, 90), ("1200", 1200, 180))) -> DataFrame:
-    """(variant, chunks, tokens, median_tokens, max_tokens) of each chunk size, in one job."""
-    parts = [chunk_docs(full, size, overlap).withColumn("variant", F.lit(name)) for name, size, overlap in variants]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("variant").agg(
+#: Variants of the chunking: name, tokens, overlap, whether chunks carry their header.
+VARIANTS = (("300", 300, 45, True), ("600", 600, 90, True), ("600 bare", 600, 90, False), ("1200", 1200, 180, True))
+
+
+def ablation_chunks(full: DataFrame, headers: DataFrame, variants=VARIANTS) -> DataFrame:
+    """(variant, doc_id, chunk_index, text, n_tokens) of every variant of full texts, with headers (doc_id, header) in front."""
+    rows = None
+    for name, size, overlap, headed in variants:
+        part = chunk_docs(full, size, overlap).select(F.lit(name).alias("variant"), "doc_id", "chunk_index", "text", "n_tokens")
+        if headed:
+            part = part.join(headers, "doc_id").withColumn("text", F.concat("header", "text")).drop("header")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def ablation(chunks: DataFrame) -> DataFrame:
+    """(variant, chunks, tokens, median_tokens, max_tokens) of ablation_chunks, in one job."""
+    return chunks.groupBy("variant").agg(
         F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"), F.percentile("n_tokens", 0.5).alias("median_tokens"), F.max("n_tokens").alias("max_tokens")
     )
 

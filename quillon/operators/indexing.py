@@ -25,6 +25,11 @@ def removed_docs(current: DataFrame, state: DataFrame) -> DataFrame:
     return state.select("doc_id").join(current.select("doc_id"), "doc_id", "left_anti")
 
 
+def missing_raw(manifest: DataFrame, raw: DataFrame) -> DataFrame:
+    """doc_id of the manifest's documents without a raw file: they are skipped, with a warning for whoever runs the ingest."""
+    return manifest.select("doc_id").join(raw.select("doc_id"), "doc_id", "left_anti")
+
+
 def upserted(rows: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
     """rows without those of documents in new or gone, and new."""
     drop = new.select("doc_id").union(gone.select("doc_id")).distinct()

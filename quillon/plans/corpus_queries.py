@@ -136,7 +136,10 @@ def quantize_int8(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_join(codes.cast("array<string>"), ",").alias("codes"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings)
+SELECT vec_id, base64(unhex(array_to_string(list_transform(e, lambda x: printf('%02X', (round_even(x / m * 127, 0)::INT + 256) % 256)), ''))) AS packed FROM e"""
+)
 def packed_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", X.packed_vector(N.quantized(F.transform("embedding", lambda x: x.cast("double")))).alias("packed"))
 
@@ -182,7 +185,7 @@ def paired_calls(spark, d):
     return X.paired_calls(rows).withColumn("seconds", F.round("seconds", 6))
 
 
-@query("SELECT source AS doc_id, count(DISTINCT doc_id) AS pages, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / count(DISTINCT doc_id))::BIGINT AS avg_chars, round(sum(length(text)) / count(DISTINCT doc_id)) < 200 AS scanned FROM documents GROUP BY 1")
+@query("SELECT source AS doc_id, count(DISTINCT doc_id) AS pages, sum(length(text))::BIGINT AS chars, round_even(sum(length(text)) / count(DISTINCT doc_id), 0)::BIGINT AS avg_chars, round_even(sum(length(text)) / count(DISTINCT doc_id), 0) < 200 AS scanned FROM documents GROUP BY 1")
 def inspect_files(spark, d):
     return io.inspected(table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"))
 
@@ -198,6 +201,12 @@ def latest_run(spark, d):
     return io.latest_run(rows, "run")
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 = 3")
+def missing_raw(spark, d):
+    docs = table(spark, d, "documents")
+    return I.missing_raw(docs, docs.where("doc_id % 10 <> 3"))
+
+
 @query("SELECT source, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1")
 def license_filter(spark, d):
     return table(spark, d, "documents").where(F.col("lang").isin("en", "fr")).groupBy("source").agg(F.count("*").alias("n"))

@@ -54,6 +54,24 @@ def route(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", way.alias("route"), reason.alias("reason"))
 
 
+@query(f"SELECT conv_id * 1000 + turn AS qid, '{A.REFUSAL}' AS answer, 0 AS sources FROM conversations WHERE conv_id % 4 = 0")
+def refusal_rows(spark, d):
+    asked = table(spark, d, "conversations").where("conv_id % 4 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"))
+    return A.refusal_rows(asked).select("qid", "answer", F.size("sources").alias("sources"))
+
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN CASE WHEN turn % 2 = 0 AND turn % 3 <> 0 THEN 'own: ' || left(text, 30) ELSE '{A.REFUSAL}' END ELSE left(text, 50) END AS shown FROM conversations"""
+)
+def fallback_answers(spark, d):
+    """Refused turns show the provider's own answer where that is asked for and there is one."""
+    turns = table(spark, d, "conversations")
+    own = turns.where("turn % 3 <> 0").select("conv_id", "turn", F.concat(F.lit("own: "), F.substring("text", 1, 30)).alias("fallback"))
+    rows = turns.select("conv_id", "turn", (F.col("conv_id") % 4 == 0).alias("refused"), F.substring("text", 1, 50).alias("answer")).join(own, ["conv_id", "turn"], "left")
+    answer = F.when(F.col("refused"), F.lit(A.REFUSAL)).otherwise(F.col("answer"))
+    return rows.select("conv_id", "turn", A.shown_answer(F.col("refused"), answer, F.col("fallback"), F.col("turn") % 2 == 0).alias("shown"))
+
+
 _ANSWER = "'x [' || (doc_id % 7) || '] and [3][' || (doc_id % 5) || '] or [99999999999] [0]'"
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import chunking as C
+from quillon.operators import evaluation as E
+from quillon.operators import retrieval as R
 from quillon.operators import sections as S
 from quillon.plans.registry import query, table, texts
+from quillon.plans.retrieval_queries import questions
+from quillon.session import durable, removed, shared_folder
+from quillon.sources import io
 
 # Blank lines, hyphen breaks and citations, which documents lacks, are put in alike on both sides.
 RAW_SQL = r"""(SELECT doc_id, regexp_replace(replace(text, '. ', E'.  \n\n\n '), '([aeiou])(st[a-z])', E'\\1-\n\\2', 'g') AS text FROM documents)"""
@@ -229,4 +236,71 @@ def chunk_table(spark, d):
 
 @query()
 def chunk_ablation(spark, d):
-    return C.ablation(C.full_texts(segments(spark, d)))
+    """Chunk counts and sizes of each variant, and its hits by BM25 over the benchmark items that a document holds."""
+    headers = table(spark, d, "documents").select("doc_id", T.chunk_header(F.col("source"), 1990 + F.col("doc_id") % 30, F.lit("")).alias("header"))
+    made = durable(C.ablation_chunks(C.full_texts(segments(spark, d)), headers))
+    held = durable(E.holders(texts(spark, d, "documents").select("doc_id", "text"), questions(spark, d).withColumnRenamed("text", "item")))
+    asked, hits = questions(spark, d).join(held, "qid", "left_semi"), None
+    for name, *_ in C.VARIANTS:
+        own = made.where(F.col("variant") == name).select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "text")
+        top = R.bm25_topk(asked, own.withColumn("ord", F.col("chunk_id")))
+        first = E.retrieval_metrics(held, top.select("qid", "rank", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"))).withColumn("method", F.lit(name))
+        hits = first if hits is None else hits.union(first)
+    return C.ablation(made).join(E.method_table(hits).withColumnRenamed("method", "variant"), "variant").withColumn("mrr", F.round("mrr", 6))
+
+
+# A bare number, or a line that only begins with one.
+@query(
+    r"""SELECT doc_id, line, regexp_full_match(t, '[0-9\s–-]+') AS bare FROM (SELECT doc_id, line, CASE line % 4 WHEN 0 THEN doc_id || ' – ' || line WHEN 1 THEN line || '-' || doc_id || ' x' WHEN 2 THEN ' ' || line ELSE text END AS t FROM """ + _LINES + ")"
+)
+def bare_numbers(spark, d):
+    doc, line = F.col("doc_id").cast("string"), F.col("line").cast("string")
+    made = F.when(F.col("line") % 4 == 0, F.concat(doc, F.lit(" – "), line)).when(F.col("line") % 4 == 1, F.concat(line, F.lit("-"), doc, F.lit(" x"))).when(F.col("line") % 4 == 2, F.concat(F.lit(" "), line)).otherwise(F.col("text"))
+    return lines(spark, d).select("doc_id", "line", T.is_bare_number(made).alias("bare"))
+
+
+def wiki_files(spark, d):
+    """Documents as the JSON of wiki pages: (doc_id, content)."""
+    page = F.struct(F.col("lang").alias("title"), "text", F.col("doc_id").alias("revision_id"))
+    return texts(spark, d, "documents").select("doc_id", F.to_json(page).cast("binary").alias("content"))
+
+
+@query("SELECT doc_id, lang AS title, md5(text) AS digest, doc_id AS revision FROM documents")
+def wiki_json(spark, d):
+    title, text, revision = io.wiki_text(F.col("content"))
+    return wiki_files(spark, d).select("doc_id", title, text, revision).select("doc_id", "title", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("revision_id").alias("revision"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'txt' ELSE 'html' END AS kind, md5(CASE WHEN doc_id % 3 = 2 THEN 'page ' || doc_id ELSE text END) AS digest FROM documents")
+def loader_dispatch(spark, d):
+    docs = texts(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    page = F.concat(F.lit("<p>page "), F.col("doc_id").cast("string"), F.lit("</p>")).cast("binary")
+    raw = wiki_files(spark, d).where("doc_id % 3 = 0").withColumn("format", F.lit("json")).union(docs.where("doc_id % 3 = 1").withColumn("format", F.lit("txt")))
+    raw = raw.union(docs.where("doc_id % 3 = 2").withColumn("content", page).withColumn("format", F.lit("html")))
+    loaders = {
+        "json": lambda df: df.select("doc_id", F.lit("json").alias("kind"), io.wiki_text(F.col("content"))[1]),
+        "txt": lambda df: df.select("doc_id", F.lit("txt").alias("kind"), F.col("content").cast("string").alias("text")),
+        "html": lambda df: S.html_blocks(df.select(F.col("doc_id").alias("page_id"), F.col("content").cast("string").alias("html"))).select(F.col("page_id").alias("doc_id"), F.lit("html").alias("kind"), "text"),
+    }
+    return io.load_segments(raw, loaders).select("doc_id", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT 'written' AS file, count(*) > 0 AS ready, count(*) AS chunks FROM {_LINES} UNION ALL SELECT 'missing', false, 0")
+def chunk_file_count(spark, d):
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    names = "doc_id title authors year era source_type document_type url chunk_index page section".split()
+    rows = lines(spark, d).withColumn("id", T.chunk_id(F.col("doc_id"), F.col("line"))).withColumn("chunk_index", F.col("line"))
+    io.write_chunks(rows.select("id", "text", *[F.col(n) if n in ("doc_id", "chunk_index") else F.lit(None).cast("string").alias(n) for n in names]), path)
+    found = [(name, io.index_ready(spark, at), io.chunk_count(spark, at)) for name, at in (("written", path), ("missing", path + "-not"))]
+    removed(spark, path)
+    return spark.createDataFrame(found, "file string, ready boolean, chunks long")
+
+
+@query(
+    f"""SELECT doc_id, md5(value) AS digest, (round(600 * round(length(value) / len(string_split(value, ' ')), 2) / 10) * 10)::BIGINT AS chars_of_600 FROM
+(SELECT doc_id, string_agg(text, E'\n\n' ORDER BY line) AS value FROM {_LINES} GROUP BY 1)"""
+)
+def clean_export(spark, d):
+    found = io.exported(segments(spark, d))
+    ratio = F.round(F.length("value") / F.size(F.split("value", " ")), 2)
+    return found.select("doc_id", F.md5(F.col("value").cast("binary")).alias("digest"), io.size_in_chars(F.lit(600), ratio).alias("chars_of_600"))

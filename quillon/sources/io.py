@@ -49,7 +49,10 @@ def url_title(url: Column) -> Column:
 
 
 def load_segments(raw: DataFrame, loaders: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Segments of raw files by format: each loader takes its own rows; unknown formats give none."""
+    """Segments of raw files by format: each loader takes its own rows; a format without a loader is a ValueError."""
+    unknown = [r["format"] for r in raw.select("format").distinct().collect() if r["format"] not in loaders]  # a row a format
+    if unknown:
+        raise ValueError(f"no loader for {', '.join(map(str, sorted(unknown, key=str)))}")
     parts = [load(raw.where(F.col("format") == kind)) for kind, load in loaders.items()]
     rows = parts[0]
     for part in parts[1:]:
@@ -58,9 +61,12 @@ def load_segments(raw: DataFrame, loaders: dict[str, Callable[[DataFrame], DataF
 
 
 def inspected(pages: DataFrame) -> DataFrame:
-    """(doc_id, pages, chars, avg_chars, scanned) of page texts (doc_id, page, text); under 200 characters a page is a scan."""
+    """(doc_id, pages, chars, avg_chars, scanned) of page texts (doc_id, page, text); under 200 characters a page is a scan.
+
+    The average is rounded half to even.
+    """
     rows = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
-    average = F.round(F.col("chars") / F.greatest(F.col("pages"), F.lit(1))).cast("long")
+    average = F.rint(F.col("chars") / F.greatest(F.col("pages"), F.lit(1))).cast("long")
     return rows.select("doc_id", "pages", "chars", average.alias("avg_chars"), (average < 200).alias("scanned"))
 
 
@@ -74,6 +80,18 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.select("id", "text", F.struct(*names).alias("metadata")).write.mode("overwrite").json(path)
 
 
+def chunk_count(spark: SparkSession, path: str) -> int:
+    """Chunks of the chunk file; 0 where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    return read_chunks(spark, path).count()
+
+
+def index_ready(spark: SparkSession, path: str) -> bool:
+    return chunk_count(spark, path) > 0
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
@@ -83,19 +101,32 @@ def latest_run(runs: DataFrame, suffix: str = "") -> DataFrame:
     return runs.where(F.col("run_id").rlike(RUN_ID) & F.endswith("run_id", F.lit(suffix))).orderBy(F.desc("run_id")).limit(1)
 
 
+def _within(rows: DataFrame, limit: int) -> list:
+    """All rows, which a page can show; more than `limit` are a ValueError, since they belong in a table."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows; write them with write_report")
+    return found
+
+
 def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
     """A Markdown table of a summary of at most `limit` rows."""
     cell = lambda v: "n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "/")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows.limit(limit).collect()])
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in _within(rows, limit)])
+
+
+def markdown_report(title: str, parts: dict[str, DataFrame]) -> str:
+    """A report: a title, and a heading and a table for each summary."""
+    return "\n\n".join([f"# {title}", *[f"## {name}\n\n{markdown_table(rows)}" for name, rows in parts.items()]]) + "\n"
 
 
 def html_claims(claims: DataFrame, limit: int = 1000) -> str:
-    """An HTML list of claims (qid, claim, verdict, note), with & < > escaped in Spark."""
+    """An HTML list of at most `limit` claims (qid, claim, verdict, note), with & < > escaped in Spark."""
     from quillon.functions.text import escape_html
 
-    rows = claims.orderBy("qid").limit(limit).select("qid", *[escape_html(F.coalesce(c, F.lit(""))).alias(c) for c in ("claim", "verdict", "note")]).collect()
-    return "<ul>\n" + "\n".join(f"<li><b>{r['qid']}</b> {r['claim']} — {r['verdict']} {r['note']}</li>" for r in rows) + "\n</ul>"
+    rows = claims.orderBy("qid").select("qid", *[escape_html(F.coalesce(c, F.lit(""))).alias(c) for c in ("claim", "verdict", "note")])
+    return "<ul>\n" + "\n".join(f"<li><b>{r['qid']}</b> {r['claim']} — {r['verdict']} {r['note']}</li>" for r in _within(rows, limit)) + "\n</ul>"
 
 
 def viewer_payload(rows: DataFrame) -> DataFrame:
@@ -103,11 +134,15 @@ def viewer_payload(rows: DataFrame) -> DataFrame:
     return rows.select(F.replace(F.to_json(F.struct("*")), F.lit("</"), F.lit("<\\/")).alias("payload"))
 
 
-def export_text(segments: DataFrame, doc_id, path: str) -> None:
-    """One document's cleaned text, its segments parted by empty lines, as a text file."""
-    from quillon.operators.chunking import full_texts
+def exported(segments: DataFrame) -> DataFrame:
+    """(doc_id, value): each document's cleaned text, its segments (doc_id, seg_no, text) in order, parted by empty lines."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"])
+    return segments.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("value"))
+
 
-    full_texts(segments.where(F.col("doc_id") == doc_id)).select(F.rtrim(F.col("full_text")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def export_text(segments: DataFrame, doc_id, path: str) -> None:
+    """One document's cleaned text as a text file."""
+    exported(segments.where(F.col("doc_id") == doc_id)).select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def size_in_chars(tokens: Column, chars_per_token: Column) -> Column:

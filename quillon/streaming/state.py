@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.session import durable
+from quillon.session import durable, removed
 
 
 def index_stream(spark: SparkSession, source: str, schema: str, index: str, state: str, checkpoint: str, chunker):
@@ -39,6 +39,12 @@ def latest_chunks(spark: SparkSession, index: str, state: str) -> DataFrame:
     return spark.read.parquet(index).join(last, ["doc_id", "batch"])
 
 
+def rebuilt(spark: SparkSession, *paths: str) -> None:
+    """Drops index, state and checkpoint, so that the next run starts from nothing."""
+    for path in paths:
+        removed(spark, path)
+
+
 def admitted(calls: list[tuple[float, int]], budget: int, span: float = 60.0) -> list[float]:
     """Start times of calls (arrival, tokens) under a rolling budget: at once if the window's tokens and its own fit or
     the window is empty, else when enough has expired, and 0.1 s."""

@@ -69,3 +69,14 @@ def test_helpers(spark, tmp_path):
     io.export_text(segs, 1, f"{tmp_path}/x")
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/x").collect() if r["value"]] == ["A", "B"]
     assert spark.range(1).select(io.size_in_chars(F.lit(600), F.lit(4.236))).first()[0] == 2540
+
+
+def test_baseline_timings_and_workers(spark):
+    from quillon.operators import answering as A
+
+    asked = spark.createDataFrame([(i, f"q{i}") for i in range(20)], "qid long, question string")
+    results, seconds = A.timed({"baseline": lambda: A.baseline(asked, lambda: lambda q, c: q + "|" + c)}, spark)
+    assert {r["answer"] for r in results["baseline"].collect()} == {f"q{i}|" for i in range(20)}
+    assert [r["stage"] for r in seconds.collect()] == ["baseline"] and seconds.first()["seconds"] > 0
+    assert A.in_workers(asked, 2).rdd.getNumPartitions() == 2
+    assert A.refusal_rows(asked.limit(1)).first()["sources"] == []

@@ -75,3 +75,22 @@ def test_upsert(spark):
     new = spark.createDataFrame([(1, "new")], "doc_id int, text string")
     gone = spark.createDataFrame([(3,)], "doc_id int")
     assert sorted(tuple(r) for r in indexing.upserted(rows, new, gone).collect()) == [(1, "new"), (2, "keep")]
+
+
+def test_unknown_formats_and_long_reports_fail(spark, tmp_path):
+    (tmp_path / "x.odd").write_text("x")
+    with pytest.raises(ValueError, match="odd"):
+        io.load_segments(io.raw_files(spark, str(tmp_path)), {"json": lambda df: df})
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        io.markdown_table(spark.range(4), 3)
+    assert io.markdown_report("R", {"A": spark.range(1)}) == "# R\n\n## A\n\n| id |\n|---|\n| 0 |\n"
+
+
+def test_chunk_file_is_counted(spark, tmp_path):
+    assert io.chunk_count(spark, str(tmp_path / "none")) == 0 and not io.index_ready(spark, str(tmp_path / "none"))
+
+
+def test_rebuild_drops_everything(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "index"))
+    state.rebuilt(spark, str(tmp_path / "index"), str(tmp_path / "not-there"))
+    assert not (tmp_path / "index").exists()
