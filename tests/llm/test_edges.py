@@ -82,6 +82,16 @@ def test_ids_are_the_tokenizers(text):
     assert packing.encoder(files)(text).tolist() == Tokenizer.from_file(files["json"]).encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_all_documents_are_the_tokenizers():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    files = packing.tokenizer_files()
+    encode, named = packing.encoder(files), Tokenizer.from_file(files["json"])
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        assert encode(text or "").tolist() == named.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, odd, none, name, stage):
     out = stage(spark, odd, "")
