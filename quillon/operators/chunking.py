@@ -13,6 +13,7 @@ from quillon.functions import text as T
 
 #: Where a text is cut, the coarsest place first.
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ", "")
+_TOKENIZERS: dict = {}
 _COUNTED = re.compile(r"\w{1,4}|[^\w\s]")
 
 
@@ -21,6 +22,19 @@ def count_tokens(text: str) -> int:
     return len(_COUNTED.findall(text))
 
 
+def vocabulary_length(path: str) -> Callable[[str], int]:
+    """A token counter by a tokenizer's JSON file, read once a process: for chunk_docs(length=…)."""
+
+    def length(text: str) -> int:
+        if path not in _TOKENIZERS:
+            from tokenizers import Tokenizer
+
+            _TOKENIZERS[path] = Tokenizer.from_file(path)
+        return len(_TOKENIZERS[path].encode(text, add_special_tokens=False).ids)
+
+    return length
+
+
 def full_texts(segments: DataFrame) -> DataFrame:
     """(doc_id, full_text): segments (doc_id, seg_no, text) in order, each followed by an empty line."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda s: F.concat(s["text"], F.lit("\n\n")))

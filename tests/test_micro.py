@@ -223,3 +223,11 @@ def test_stored_index_reads_the_asked_parts_only(spark, tmp_path):
     found = retrieval.stored_topk(spark, str(tmp_path / "i"), queries)
     assert sorted(map(tuple, found.select("qid", "chunk_id", "rank").collect())) == sorted(map(tuple, retrieval.bm25_topk(queries, chunks).select("qid", "chunk_id", "rank").collect()))
     assert "PartitionFilters: [part" in found._jdf.queryExecution().toString()
+
+
+def test_chunks_by_a_tokenizer(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    length = chunking.vocabulary_length(path)
+    text = "The quick brown fox jumps over the lazy dog. " * 200
+    got = chunking.chunk_docs(spark.createDataFrame([(1, text)], "doc_id long, full_text string"), 300, 45, length).collect()
+    assert len(got) > 5 and all(0 < r["n_tokens"] == length(r["text"]) <= 300 for r in got)
