@@ -41,8 +41,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: So few edges, 16 MB, fit one task even if they are all of one node.
-FEW_EDGES = 1 << 20
+#: The minima of so few edges, at most two rows of 16 bytes for each, 8 MB, are broadcast.
+FEW_EDGES = 1 << 18
 #: About so many edges a task, where they are few.
 TASK_EDGES = 1 << 17
 
@@ -51,8 +51,8 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b: long) as rows (node, component): the smallest node reachable.
 
     Alternates large-star and small-star steps on shuffled edges, so no component is gathered in one task; minima are
-    combined before each shuffle, and beyond FEW_EDGES they are checkpointed, so that the joins with them can be split
-    where a node has many edges. Each round is checkpointed. The smallest node of a component gets no row, nor do nodes
+    combined before each shuffle. Up to FEW_EDGES they are broadcast; beyond, they are checkpointed, so that the joins with
+    them can be split where a node has many edges. Each round is checkpointed. The smallest node of a component gets no row, nor do nodes
     without a link to another.
     """
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
@@ -60,12 +60,12 @@ def components(links: DataFrame) -> DataFrame:
     now, seen = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v"))).first(), None
     while now != seen:
         few = now["n"] <= FEW_EDGES
-        own = (lambda df: df) if few else checkpointed
+        own, sent = ((lambda df: df), F.broadcast) if few else (checkpointed, checkpointed)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = own(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = sent(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = own(large.distinct())
-        least = own(edges.groupBy("u").agg(F.min("v").alias("m")))
+        least = sent(edges.groupBy("u").agg(F.min("v").alias("m")))
         joined = edges.join(least, "u")
         edges = joined.select("v", "m").where("v != m").union(joined.select("u", "m")).toDF("u", "v").distinct()
         edges = checkpointed(edges.coalesce(max(2, -(-now["n"] // TASK_EDGES))) if few else edges)

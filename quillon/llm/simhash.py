@@ -198,10 +198,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, se
 #: Bits of the wide fingerprint, whose distances choose the pairs whose shingles are compared.
 WIDE_BITS = 1024
 MINIMA = 6
-WIDE_SHARD_ROWS = 256
+#: More minima, by which shards of over WIDE_SHARD_ROWS members are cut: two documents at 0.8 share none in 3 of a million cases.
+MORE = 8
+WIDE_SHARD_ROWS = 1024
 #: A shard that is dealt out in blocks is first compared with so many of its members, in blocks of so many.
-LEADERS = 16
-LEADER_BLOCK = 128
+LEADERS = 64
+LEADER_BLOCK = 512
 #: Shingles of a block at most, 32 MB, so that a task holds few however long the texts are.
 WIDE_SHARD_SHINGLES = 1 << 22
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(WIDE_BITS // 64 + MINIMA)], dtype=np.uint64)
@@ -227,11 +229,11 @@ def shingle_hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
 
 
 def wide_sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
-    """The wide SimHash of distinct shingle hashes and MINIMA of their minima; zeros without a shingle."""
+    """The wide SimHash of distinct shingle hashes, and MINIMA and MORE of their minima; zeros without a shingle."""
     if not len(h):
-        return bytes(WIDE_BITS // 8), [0] * MINIMA
+        return bytes(WIDE_BITS // 8), [0] * (MINIMA + MORE)
     ones = np.zeros((WIDE_BITS // 8, 8), dtype=np.int64)
-    least = np.full(MINIMA, 2**64 - 1, dtype=np.uint64)
+    least = np.full(MINIMA + MORE, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(h), 4096):  # bounds memory on long texts
         mixed = _mixed(h[at : at + 4096], _SEEDS)
         lanes = np.ascontiguousarray(mixed[:, MINIMA:]).astype("<u8", copy=False).view(np.uint8)
@@ -239,7 +241,7 @@ def wide_sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
             ones += np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16).reshape(-1, 8)
         else:
             ones += np.bincount((lanes + _WIDE_LANES).ravel(), minlength=32 * WIDE_BITS).reshape(-1, 256) @ _BITS
-        least = np.minimum(least, mixed[:, :MINIMA].min(axis=0))
+        least = np.minimum(least, mixed[:, : MINIMA + MORE].min(axis=0))
     return np.packbits(ones.ravel() * 2 > len(h), bitorder="little").tobytes(), least.view(np.int64).tolist()
 
 
@@ -265,104 +267,111 @@ class _Block:
     def __init__(self, fps: list[bytes], sizes: list[int], mins: list[list[int]], labels: list[int]) -> None:
         self.fps = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(-1, WIDE_BITS // 64)
         self.sizes = np.array(sizes, dtype=np.int64)
-        self.mins = np.array(mins, dtype=np.int64).reshape(-1, MINIMA)
+        self.mins = np.array(mins, dtype=np.int64).reshape(-1, MINIMA + MORE)
         self.labels = np.array(labels, dtype=np.int64)
 
-    def near(self, i: int, others: slice, last: int, similarity: float) -> np.ndarray:
-        """Which of the others, of another label, may be that similar to member i and share no minimum before `last` with it."""
+    def near(self, i: int, others: slice, last: int, sub: int, similarity: float) -> np.ndarray:
+        """Which of the others, of another label, may be that similar to member i and share no minimum before the shard's with it."""
         n, at = self.sizes[i], np.arange(others.start, others.stop)
         few, many = np.minimum(self.sizes[others], n), np.maximum(self.sizes[others], n)
         at = at[(few >= similarity * many) & (self.labels[others] != self.labels[i])]
-        if last and len(at):
-            at = at[~(self.mins[at, :last] == self.mins[i, :last]).any(axis=1)]
+        for before in (slice(0, last), slice(MINIMA, MINIMA + max(0, sub))):
+            at = at[~(self.mins[at, before] == self.mins[i, before]).any(axis=1)]
         if len(at):
             apart = np.bitwise_count(self.fps[at] ^ self.fps[i]).sum(axis=1, dtype=np.int64)
             at = at[apart <= np.where(np.minimum(self.sizes[at], n) >= 64, radius_of(similarity, 64), radius_of(similarity, 1))]
         return at
 
 
+#: A shard's key: the members share the minimum number `last` and, where it was cut, the further one number `sub`, else -1.
+_SHARD = ("last", "min", "sub", "submin")
+#: Where the rows of a task go: blocks lo and hi of the shard; right: the row is of block hi.
+_TASK = (*_SHARD, "lo", "hi", "right")
+_KEY_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
+
+
 def _tasks(batches, names: list[str]):
-    """(last, is one block, start of the right block, columns) of each run of rows with equal (last, min, lo, hi)."""
+    """(shard, is one block, start of the right block, columns) of each run of rows of one task."""
     at, held = None, []
 
     def task():
         right = [r[0] for r in held]
-        return at[0], at[2] == at[3], right.index(True) if True in right else len(held), list(zip(*(r[1:] for r in held), strict=True))
+        return at[:4], at[4] == at[5], right.index(True) if True in right else len(held), list(zip(*(r[1:] for r in held), strict=True))
 
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("last", "min", "lo", "hi", "right", *names)]
-        for last, least, lo, hi, *row in zip(*columns, strict=True):
-            if (last, least, lo, hi) != at:
+        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (*_TASK, *names)]
+        for row in zip(*columns, strict=True):
+            if row[:6] != at:
                 if len(held) > 1:
                     yield task()
-                at, held = (last, least, lo, hi), []
-            held.append(row)
+                at, held = row[:6], []
+            held.append(row[6:])
     if len(held) > 1:
         yield task()
 
 
-#: Where the rows of a task go: blocks lo and hi of the shard (last, min); right: the row is of block hi.
-_TASK = ("last", "min", "lo", "hi", "right")
-
-
 def _blocks(rows, held):
     return F.greatest(F.ceil(rows / WIDE_SHARD_ROWS), F.ceil(held / WIDE_SHARD_SHINGLES)).cast("int")
 
 
 def _sharded(members: DataFrame) -> DataFrame:
-    """Members (sig, rep, size, last, min) of the shards that hold two or more, with their shard's number of blocks.
+    """Members (sig, rep, size, label, *_SHARD) of the shards that hold two labels or more, with their shard's number of blocks.
 
     The counts are a table of their own, so that the join with them can be split where a shard is hot.
     """
-    counts = checkpointed(members.groupBy("last", "min").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1"))
-    return checkpointed(members.join(counts.select("last", "min", _blocks(F.col("n"), F.col("held")).alias("blocks")), ["last", "min"]))
+    found = members.groupBy(*_SHARD).agg(F.count("*").alias("n"), F.sum("size").alias("held"), F.min("label").alias("a"), F.max("label").alias("b"))
+    counts = checkpointed(found.where("a < b").select(*_SHARD, _blocks(F.col("n"), F.col("held")).alias("blocks")))
+    return checkpointed(members.join(counts, list(_SHARD)))
 
 
 def _star_tasks(hot: DataFrame) -> DataFrame:
     """(sig, *_TASK): the members of hot shards in blocks of LEADER_BLOCK, each block with the shard's LEADERS on the left."""
-    inside = hot.select("sig", "last", "min", F.ceil(F.col("blocks") * (WIDE_SHARD_ROWS / LEADER_BLOCK)).cast("int").alias("parts"))
-    first = Window.partitionBy("last", "min").orderBy(F.xxhash64("sig", F.lit(17)), "sig")
+    inside = hot.select("sig", *_SHARD, F.ceil(F.col("blocks") * (WIDE_SHARD_ROWS / LEADER_BLOCK)).cast("int").alias("parts"))
+    first = Window.partitionBy(*_SHARD).orderBy(F.xxhash64("sig", F.lit(17)), "sig")
     leaders = inside.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= LEADERS)
-    left = leaders.select("sig", "last", "min", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i.cast("string"))).alias("lo"), F.lit(False).alias("right"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i.cast("string"))
+    left = leaders.select("sig", *_SHARD, F.explode(parts).alias("lo"), F.lit(False).alias("right"))
     own = F.pmod(F.xxhash64("sig", F.lit(13)), "parts").cast("string")
-    return left.union(inside.select("sig", "last", "min", own.alias("lo"), F.lit(True).alias("right"))).select("sig", "last", "min", "lo", F.lit("leaders").alias("hi"), "right")
+    both = left.union(inside.select("sig", *_SHARD, own.alias("lo"), F.lit(True).alias("right")))
+    return both.withColumn("hi", F.lit("leaders")).select("sig", *_TASK)
 
 
 def _pair_tasks(held: DataFrame) -> DataFrame:
-    """(sig, *_TASK): every two of the members (sig, size, label, last, min, blocks) of a shard with different labels meet in a task.
+    """(sig, *_TASK): every two of the members (sig, size, label, *_SHARD, blocks) of a shard with different labels meet in a task.
 
     A shard of one block is one task. In the others, labels with over WIDE_SHARD_ROWS members have blocks of their own and
     the rest share blocks; two blocks have a task unless both are of one label. So a large group that is joined already
-    costs its size times the number of other members, not its square.
+    costs its size times the number of other members' blocks, not its square.
     """
-    whole = held.where("blocks = 1").select("sig", "last", "min", F.lit("").alias("lo"), F.lit("").alias("hi"), F.lit(False).alias("right"))
-    hot = held.where("blocks > 1").select("sig", "size", "label", "last", "min")
+    shard = list(_SHARD)
+    whole = held.where("blocks = 1").select("sig", *shard, F.lit("").alias("lo"), F.lit("").alias("hi"), F.lit(False).alias("right"))
+    hot = held.where("blocks > 1").select("sig", "size", "label", *shard)
     if hot.isEmpty():
         return whole
-    sizes = checkpointed(hot.groupBy("last", "min", "label").agg(F.count("*").alias("n"), F.sum("size").alias("held")))
-    large = checkpointed(sizes.where(F.col("n") > WIDE_SHARD_ROWS).select("last", "min", "label", F.col("label").cast("string").alias("part"), _blocks(F.col("n"), F.col("held")).alias("k")))
-    rest = sizes.where(F.col("n") <= WIDE_SHARD_ROWS).groupBy("last", "min").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
-    rest = checkpointed(rest.select("last", "min", F.lit("rest").alias("part"), _blocks(F.col("n"), F.col("held")).alias("k")))
-    parts = large.drop("label").union(rest)
-    blocks = parts.select("last", "min", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    sizes = checkpointed(hot.groupBy(*shard, "label").agg(F.count("*").alias("n"), F.sum("size").alias("held")))
+    number = _blocks(F.col("n"), F.col("held")).alias("k")
+    large = checkpointed(sizes.where(F.col("n") > WIDE_SHARD_ROWS).select(*shard, "label", F.col("label").cast("string").alias("part"), number))
+    rest = sizes.where(F.col("n") <= WIDE_SHARD_ROWS).groupBy(*shard).agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    rest = checkpointed(rest.select(*shard, F.lit("rest").alias("part"), number))
+    blocks = large.drop("label").union(rest).select(*shard, "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     blocks = checkpointed(blocks.withColumn("id", F.concat_ws(":", "part", "i")))
-    a, b = (blocks.select("last", "min", *[F.col(c).alias(f"{c}{x}") for c in ("part", "i", "id")]) for x in "ab")
+    a, b = (blocks.select(*shard, *[F.col(c).alias(f"{c}{x}") for c in ("part", "i", "id")]) for x in "ab")
     apart = (F.col("parta") < F.col("partb")) | ((F.col("parta") == "rest") & (F.col("partb") == "rest") & (F.col("ia") <= F.col("ib")))
-    pairs = checkpointed(a.join(b, ["last", "min"]).where(apart).select("last", "min", F.col("ida").alias("lo"), F.col("idb").alias("hi")))
+    pairs = checkpointed(a.join(b, shard).where(apart).select(*shard, F.col("ida").alias("lo"), F.col("idb").alias("hi")))
 
     def placed(df: DataFrame):
         own = F.pmod(F.xxhash64("sig", F.lit(13)), "k")
-        return df.select("sig", "last", "min", F.concat_ws(":", "part", own.cast("string")).alias("id"))
+        return df.select("sig", *shard, F.concat_ws(":", "part", own.cast("string")).alias("id"))
 
-    own = placed(hot.join(large, ["last", "min", "label"])).union(placed(hot.join(large, ["last", "min", "label"], "left_anti").join(rest, ["last", "min"])))
+    own = placed(hot.join(large, [*shard, "label"])).union(placed(hot.join(large, [*shard, "label"], "left_anti").join(rest, shard)))
     own = checkpointed(own)
-    left = own.join(pairs.withColumn("id", F.col("lo")), ["last", "min", "id"]).withColumn("right", F.lit(False))
-    right = own.join(pairs.where("lo != hi").withColumn("id", F.col("hi")), ["last", "min", "id"]).withColumn("right", F.lit(True))
+    left = own.join(pairs.withColumn("id", F.col("lo")), [*shard, "id"]).withColumn("right", F.lit(False))
+    right = own.join(pairs.where("lo != hi").withColumn("id", F.col("hi")), [*shard, "id"]).withColumn("right", F.lit(True))
     return whole.union(left.union(right).select("sig", *_TASK))
 
 
 def _by_task(rows: DataFrame) -> DataFrame:
-    return rows.repartition("last", "min", "lo", "hi").sortWithinPartitions(*_TASK, "sig")
+    return rows.repartition(*_TASK[:-1]).sortWithinPartitions(*_TASK, "sig")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
@@ -373,9 +382,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     documents at 0.8 share none of six in 6 of 100,000 cases) and whose wide SimHash fingerprints lie within radius_of;
     each is compared in the shard of its first shared minimum, so one shared minimum suffices whatever the shard's size.
     A shard with over WIDE_SHARD_ROWS members is first compared with LEADERS of them; members that this joins to one
-    group are not compared with each other any more, all others are, in pairs of blocks that have a task each. Only
-    members with a pair to compare have their shingles sent. Texts with the same shingles, as those without a word, share
-    a group. Null ids, repeated rows and empty tables: as in near_duplicates.
+    group are not compared with each other any more. Where others are left, the shard is cut by MORE further minima, so
+    that texts which share a frequent passage only part ways, and what is still larger is compared in pairs of blocks that
+    have a task each. Only members with a pair to compare have their shingles sent. Texts with the same shingles, as those
+    without a word, share a group. Null ids, repeated rows and empty tables: as in near_duplicates.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
 
@@ -400,29 +410,29 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     distinct = checkpointed(sketched.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), *least))
 
     def marks(batches):
-        columns = [], [], []
+        columns = tuple([] for _ in range(5))
 
         def batch():
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=["sig", "last", "min"])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), *_KEY_TYPES), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=["sig", *_SHARD])
 
-        for last, one, right, (sig, size, fp, mins, label) in _tasks(batches, ["sig", "size", "fp", "mins", "label"]):
+        for shard, one, right, (sig, size, fp, mins, label) in _tasks(batches, ["sig", "size", "fp", "mins", "label"]):
             block, found = _Block(fp, size, mins, label), np.zeros(len(sig), dtype=bool)
             for i in range(1 if one else right, len(sig)):
-                near = block.near(i, slice(0, i if one else right), last, similarity)
+                near = block.near(i, slice(0, i if one else right), shard[0], shard[2], similarity)
                 found[near] = True
                 found[i] |= len(near) > 0
             for i in np.flatnonzero(found).tolist():
-                for column, value in zip(columns, (sig[i], last, mins[i][last]), strict=True):
+                for column, value in zip(columns, (sig[i], *shard), strict=True):
                     column.append(value)
             if len(columns[0]) >= 4096:
                 yield batch()
-                columns = [], [], []
+                columns = tuple([] for _ in range(5))
         yield batch()
 
     def compared(batches):
         links = []
-        for last, one, right, (rep, size, fp, mins, label, held) in _tasks(batches, ["rep", "size", "fp", "mins", "label", "shingles"]):
+        for shard, one, right, (rep, size, fp, mins, label, held) in _tasks(batches, ["rep", "size", "fp", "mins", "label", "shingles"]):
             block, parent = _Block(fp, size, mins, label), list(range(len(rep)))
             sets = [np.frombuffer(h, dtype=np.uint64) for h in held]
 
@@ -433,7 +443,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
                 return i
 
             for i in range(1 if one else right, len(rep)):
-                for j in block.near(i, slice(0, i if one else right), last, similarity).tolist():
+                for j in block.near(i, slice(0, i if one else right), shard[0], shard[2], similarity).tolist():
                     a, b = root(j), root(i)
                     if a != b and alike(sets[j], sets[i], similarity):
                         parent[b] = a
@@ -447,30 +457,32 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         """Links (a, b) between the members of each task that are similar; known: distinct with labels."""
         tasks = checkpointed(tasks)
         sketches = known.select("sig", "rep", "size", "fp", "mins", "label")
-        marked = checkpointed(_by_task(tasks.join(sketches, "sig")).mapInArrow(marks, "sig binary, last int, min long").distinct())
+        marked = checkpointed(_by_task(tasks.join(sketches, "sig")).mapInArrow(marks, "sig binary, last int, min long, sub int, submin long").distinct())
         sent = checkpointed(marked.select("sig").distinct().join(known.select("sig", "rep"), "sig"))
         have = texts.join(small(sent.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
         sets = have.mapInArrow(shingles, "doc_id long, sig binary, shingles binary").join(sent.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"], "left_semi")
         sets = sets.dropDuplicates(["sig"]).select("sig", "shingles")
-        ready = tasks.join(marked, ["sig", "last", "min"], "left_semi").join(sketches, "sig").join(sets, "sig")
+        ready = tasks.join(marked, ["sig", *_SHARD], "left_semi").join(sketches, "sig").join(sets, "sig")
         return checkpointed(_by_task(ready).mapInArrow(compared, "a long, b long"))
 
-    def joined(links: DataFrame) -> DataFrame:
-        """(rep, label) of the members that links join, alike only where links join them: the least leader two steps away."""
-        both = links.union(links.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("at")).agg(F.least(F.min("b"), F.col("at")).alias("m"))
-        return both.join(checkpointed(least), F.col("b") == F.col("at")).groupBy(F.col("a").alias("rep")).agg(F.min("m").alias("label"))
-
     known, links = distinct.withColumn("label", F.col("rep")), None
-    held = _sharded(distinct.select("sig", "rep", "size", F.posexplode("mins").alias("last", "min")))
+    key = "sig", "rep", "size", "label"
+    whole = F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("submin")
+    held = _sharded(known.select(*key, F.posexplode(F.slice("mins", 1, MINIMA)).alias("last", "min")).select(*key, "last", "min", *whole))
     hot = held.where("blocks > 1")
-    if hot.isEmpty():
-        held = held.withColumn("label", F.col("rep"))
-    else:
+    if not hot.isEmpty():
         links = linked(_star_tasks(hot), known)
-        labels = checkpointed(joined(links))
-        known = distinct.join(small(labels), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        held = checkpointed(held.join(small(labels), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+        labels = checkpointed(components(links).select(F.col("node").alias("rep"), F.col("component").alias("new")))
+
+        def renamed(df: DataFrame) -> DataFrame:
+            return df.join(small(labels), "rep", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+
+        known, held = renamed(distinct.withColumn("label", F.col("rep"))), checkpointed(renamed(held))
+        ends = held.where("blocks > 1").groupBy(*_SHARD).agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        left = held.where("blocks > 1").join(checkpointed(ends.where("a < b").select(*_SHARD)), list(_SHARD))
+        cut = left.join(distinct.select("sig", F.slice("mins", MINIMA + 1, MORE).alias("more")), "sig")
+        cut = cut.select(*key, "last", "min", F.posexplode("more").alias("sub", "submin"))
+        held = held.where("blocks = 1").unionByName(_sharded(cut))
     more = linked(_pair_tasks(held), known)
     roots = components(more if links is None else links.union(more))
     found = distinct.join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
