@@ -48,18 +48,22 @@ TASK_EDGES = 1 << 17
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b: long) as rows (node, component): the smallest node reachable.
+    """Connected components of links (a, b: long), cheap to read twice, as rows (node, component): the smallest node reachable.
 
     Alternates large-star and small-star steps on shuffled edges, so no component is gathered in one task; minima are
     combined before each shuffle. Up to FEW_EDGES they are broadcast; beyond, they are checkpointed, so that the joins with
     them can be split where a node has many edges. Each round is checkpointed. The smallest node of a component gets no row, nor do nodes
     without a link to another.
     """
-    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
-    edges = checkpointed(pairs.distinct())
+    few = (n := links.count()) <= FEW_EDGES
+
+    def narrow(df: DataFrame) -> DataFrame:
+        return df.coalesce(max(2, -(-n // TASK_EDGES))) if few else df
+
+    pairs = narrow(links).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    edges = checkpointed(narrow(pairs.distinct()))
     now, seen = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v"))).first(), None
     while now != seen:
-        few = now["n"] <= FEW_EDGES
         own, sent = ((lambda df: df), F.broadcast) if few else (checkpointed, checkpointed)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sent(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -68,7 +72,7 @@ def components(links: DataFrame) -> DataFrame:
         least = sent(edges.groupBy("u").agg(F.min("v").alias("m")))
         joined = edges.join(least, "u")
         edges = joined.select("v", "m").where("v != m").union(joined.select("u", "m")).toDF("u", "v").distinct()
-        edges = checkpointed(edges.coalesce(max(2, -(-now["n"] // TASK_EDGES))) if few else edges)
+        edges = checkpointed(narrow(edges))
         now, seen = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v"))).first(), now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 

@@ -201,6 +201,8 @@ MINIMA = 6
 #: More minima, by which shards of over WIDE_SHARD_ROWS members are cut: two documents at 0.8 share none in 3 of a million cases.
 MORE = 8
 WIDE_SHARD_ROWS = 1024
+#: A shard of more blocks is cut; below, pairs of blocks copy each member less often than MORE minima and their blocks would.
+CUT_BLOCKS = 16
 #: A shard that is dealt out in blocks is first compared with so many of its members, in blocks of so many.
 LEADERS = 64
 LEADER_BLOCK = 512
@@ -382,9 +384,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     documents at 0.8 share none of six in 6 of 100,000 cases) and whose wide SimHash fingerprints lie within radius_of;
     each is compared in the shard of its first shared minimum, so one shared minimum suffices whatever the shard's size.
     A shard with over WIDE_SHARD_ROWS members is first compared with LEADERS of them; members that this joins to one
-    group are not compared with each other any more. Where others are left, the shard is cut by MORE further minima, so
-    that texts which share a frequent passage only part ways, and what is still larger is compared in pairs of blocks that
-    have a task each. Only members with a pair to compare have their shingles sent. Texts with the same shingles, as those
+    group are not compared with each other any more. Where others are left, they are compared in pairs of blocks that have
+    a task each; a shard of over CUT_BLOCKS blocks is cut by MORE further minima before, so that texts which only share a
+    frequent passage part ways. Only members with a pair to compare have their shingles sent. Texts with the same shingles, as those
     without a word, share a group. Null ids, repeated rows and empty tables: as in near_duplicates.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
@@ -477,12 +479,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         def renamed(df: DataFrame) -> DataFrame:
             return df.join(small(labels), "rep", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
 
-        known, held = renamed(distinct.withColumn("label", F.col("rep"))), checkpointed(renamed(held))
-        ends = held.where("blocks > 1").groupBy(*_SHARD).agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        left = held.where("blocks > 1").join(checkpointed(ends.where("a < b").select(*_SHARD)), list(_SHARD))
-        cut = left.join(distinct.select("sig", F.slice("mins", MINIMA + 1, MORE).alias("more")), "sig")
-        cut = cut.select(*key, "last", "min", F.posexplode("more").alias("sub", "submin"))
-        held = held.where("blocks = 1").unionByName(_sharded(cut))
+        known, held = renamed(known), renamed(held)
+        ends = held.groupBy(*_SHARD).agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        held = checkpointed(held.join(checkpointed(ends.where("a < b").select(*_SHARD)), list(_SHARD)))
+        large = held.where(F.col("blocks") > CUT_BLOCKS)
+        if not large.isEmpty():
+            cut = large.join(distinct.select("sig", F.slice("mins", MINIMA + 1, MORE).alias("more")), "sig")
+            cut = cut.select(*key, "last", "min", F.posexplode("more").alias("sub", "submin"))
+            held = held.where(F.col("blocks") <= CUT_BLOCKS).unionByName(_sharded(cut))
     more = linked(_pair_tasks(held), known)
     roots = components(more if links is None else links.union(more))
     found = distinct.join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))

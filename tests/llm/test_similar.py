@@ -83,8 +83,10 @@ def test_exactly_the_similarity_counts(spark, shingles):
     assert groups(spark, [base, below]) == {0: 0, 1: 1}
 
 
-def test_hot_groups_of_several_kinds(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [16, 1])
+def test_hot_groups_of_several_kinds(spark, monkeypatch, blocks):
     """Large groups that leaders join, strays that share their minima only, and chains that leaders miss."""
+    monkeypatch.setattr(S, "CUT_BLOCKS", blocks)
     monkeypatch.setattr(S, "WIDE_SHARD_ROWS", 20)
     monkeypatch.setattr(S, "LEADERS", 2)
     monkeypatch.setattr(S, "LEADER_BLOCK", 8)
