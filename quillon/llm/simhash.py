@@ -486,7 +486,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         if not large.isEmpty():
             cut = large.join(distinct.select("sig", F.slice("mins", MINIMA + 1, MORE).alias("more")), "sig")
             cut = cut.select(*key, "last", "min", F.posexplode("more").alias("sub", "submin"))
-            held = held.where(F.col("blocks") <= CUT_BLOCKS).unionByName(_sharded(cut))
+            held = checkpointed(held.where(F.col("blocks") <= CUT_BLOCKS).unionByName(_sharded(cut)))
     more = linked(_pair_tasks(held), known)
     roots = components(more if links is None else links.union(more))
     found = distinct.join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
