@@ -355,8 +355,9 @@ def _pair_tasks(held: DataFrame) -> DataFrame:
     large = checkpointed(sizes.where(F.col("n") > WIDE_SHARD_ROWS).select(*shard, "label", F.col("label").cast("string").alias("part"), number))
     rest = sizes.where(F.col("n") <= WIDE_SHARD_ROWS).groupBy(*shard).agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     rest = checkpointed(rest.select(*shard, F.lit("rest").alias("part"), number))
-    blocks = large.drop("label").union(rest).select(*shard, "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    blocks = checkpointed(blocks.withColumn("id", F.concat_ws(":", "part", "i")))
+    # Numbered before the union: Spark 4.1 fails on some unions whose child is a bare checkpoint (it keeps constraints on columns that are gone).
+    numbered = [df.select(*shard, "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")) for df in (large, rest)]
+    blocks = checkpointed(numbered[0].union(numbered[1]).withColumn("id", F.concat_ws(":", "part", "i")))
     a, b = (blocks.select(*shard, *[F.col(c).alias(f"{c}{x}") for c in ("part", "i", "id")]) for x in "ab")
     apart = (F.col("parta") < F.col("partb")) | ((F.col("parta") == "rest") & (F.col("partb") == "rest") & (F.col("ia") <= F.col("ib")))
     pairs = checkpointed(a.join(b, shard).where(apart).select(*shard, F.col("ida").alias("lo"), F.col("idb").alias("hi")))
