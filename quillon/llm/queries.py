@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, exact, langid, mixing, packing, secrets, sharding, simhash, substrings, toxicity
+from quillon.llm import ann, exact, infill, langid, mixing, packing, secrets, sharding, simhash, substrings, toxicity
 from quillon.llm.common import read_table, read_texts
 
 
@@ -64,6 +64,14 @@ def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_texts(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.fill_in_middle(read_texts(spark, sf_dir))
+    back = infill.restored(F.col("form"), F.col("output"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256")
+    )
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -78,6 +86,7 @@ def queries() -> dict:
             op8_shard_documents,
             op9_exact_dedup,
             op10_pack_tokens,
+            op12_fill_in_middle,
         )
     }
 
@@ -125,5 +134,16 @@ g AS (SELECT doc_id, {counts}, string_agg({label}, ',' ORDER BY a, k) FILTER (k
 SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, len(w) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": _op4_sql(), "op6_substring_dedup": OP6, "op9_exact_dedup": OP9}
+    return {"op12_fill_in_middle": OP12, "op4_secret_scan": _op4_sql(), "op6_substring_dedup": OP6, "op9_exact_dedup": OP9}
