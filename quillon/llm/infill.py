@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 4096
+CHUNK_CHARS = 512
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 _TOKEN = "[A-Za-z]+|[^A-Za-z]"
-#: The predicate on adjacent characters: no letter, or a letter after something else.
-_START = "[^A-Za-z]|(?<![A-Za-z])[A-Za-z]"
+#: The predicate on adjacent characters: letters after a letter start no token. Without them a text has a character a token.
+_WITHIN = "(?<=[A-Za-z])[A-Za-z]+"
 _REST = 2_147_483_647
 
 
@@ -34,7 +34,7 @@ def overlapping(chunks: Column) -> Column:
 
 def chunk_counts(overlapped: Column) -> Column:
     """Token starts in each overlapping piece, without its first character, which always looks like a start."""
-    return F.transform(overlapped, lambda c: F.regexp_count(c, F.lit(_START)) - 1)
+    return F.transform(overlapped, lambda c: F.length(F.regexp_replace(c, _WITHIN, "")) - 1)
 
 
 def owners(counts: Column, ranks: list[Column]) -> list[Column]:
