@@ -31,6 +31,12 @@ def tokenizer_files() -> dict[str, str]:
     return {"json": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def ranks_of(files: dict[str, str]) -> dict[bytes, int]:
+    """The ids of the vocabulary's pieces."""
+    with open(files["ranks"], "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def encoder(files: dict[str, str]):
     """text -> uint32 ids. The rank file gives the ids of the JSON file's tokenizer several times as fast.
 
@@ -43,8 +49,7 @@ def encoder(files: dict[str, str]):
 
     with open(files["json"], encoding="utf-8") as f:
         special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-    with open(files["ranks"], "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = ranks_of(files)
     encoding = tiktoken.Encoding("public", pat_str=files["pattern"], mergeable_ranks=ranks, special_tokens=special)
     slow: list[Tokenizer] = []
 

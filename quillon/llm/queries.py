@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, exact, infill, langid, mixing, packing, secrets, sharding, simhash, substrings, toxicity
+from quillon.llm import ann, exact, infill, langid, lm, mixing, negatives, packing, secrets, sharding, simhash, substrings, toxicity
 from quillon.llm.common import read_table, read_texts
 
 
@@ -64,6 +64,10 @@ def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_texts(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = infill.fill_in_middle(read_texts(spark, sf_dir))
     back = infill.restored(F.col("form"), F.col("output"))
@@ -72,6 +76,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read_texts(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -86,7 +94,9 @@ def queries() -> dict:
             op8_shard_documents,
             op9_exact_dedup,
             op10_pack_tokens,
+            op11_hard_negatives,
             op12_fill_in_middle,
+            op13_language_model_scores,
         )
     }
 
@@ -134,6 +144,15 @@ g AS (SELECT doc_id, {counts}, string_agg({label}, ',' ORDER BY a, k) FILTER (k
 SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
+OP11 = """
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS own, list_dot_product(a.v, b.v)::BIGINT AS s FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS i FROM s WHERE own) WHERE i <= 5),
+n AS (SELECT p.a, p.b AS pos, n.b AS neg, p.s AS ps, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS i FROM p JOIN s n ON n.a = p.a AND NOT n.own AND 100 * n.s BETWEEN 50 * p.s AND 95 * p.s)
+SELECT a AS anchor_id, pos AS positive_id, i::INT AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE i <= 3
+"""
+
 OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
 h AS (SELECT *, len(w) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
@@ -146,4 +165,4 @@ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || su
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_fill_in_middle": OP12, "op4_secret_scan": _op4_sql(), "op6_substring_dedup": OP6, "op9_exact_dedup": OP9}
+    return {"op11_hard_negatives": OP11, "op12_fill_in_middle": OP12, "op4_secret_scan": _op4_sql(), "op6_substring_dedup": OP6, "op9_exact_dedup": OP9}
