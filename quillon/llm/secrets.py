@@ -44,6 +44,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 _MOST = 64
+#: Bits that a word of a mask uses.
+WORD = 62
 
 Query = frozenset  # of alternatives, each a frozenset of trigrams that must all occur; an empty alternative demands nothing
 
@@ -122,17 +124,27 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: list[Query], trigrams: list[str]) -> DataFrame:
-    """Rows (doc_id, rules): bit i of rules is set if the document's postings fulfil queries[i]. At most 62 trigrams."""
-    mask = index.groupBy("doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trigram"))).alias("have"))
-    place = {t: i for i, t in enumerate(trigrams)}
-    rules = F.lit(0).cast("long")
+    """Rows (doc_id, rules): words of WORD bits, in which bit i is set if the document's postings fulfil queries[i].
+
+    A document's trigrams are a mask of as many words as the trigrams need, so neither they nor the rules are limited.
+    """
+    number, none = F.col("trigram"), F.lit(0).cast("long")
+    own = lambda w: F.when(F.floor(number / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (number % WORD).cast("int")))
+    have = [F.coalesce(F.bit_or(own(w)), none).alias(f"have{w}") for w in range(-(-len(trigrams) // WORD))]
+    mask, place = index.groupBy("doc_id").agg(*have), {t: i for i, t in enumerate(trigrams)}
+    rules = [none] * -(-len(queries) // WORD)
     for i, query in enumerate(queries):
         fulfilled = F.lit(False)
         for alternative in query:
-            want = sum(1 << place[t] for t in alternative)
-            fulfilled = fulfilled | (F.col("have").bitwiseAND(F.lit(want)) == F.lit(want))
-        rules = rules.bitwiseOR(F.when(fulfilled, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return mask.select("doc_id", rules.alias("rules")).where("rules != 0")
+            want: dict[int, int] = {}
+            for t in alternative:
+                want[place[t] // WORD] = want.get(place[t] // WORD, 0) | 1 << place[t] % WORD
+            whole = F.lit(True)
+            for w, bits in sorted(want.items()):
+                whole = whole & (F.col(f"have{w}").bitwiseAND(F.lit(bits)) == F.lit(bits))
+            fulfilled = fulfilled | whole
+        rules[i // WORD] = rules[i // WORD].bitwiseOR(F.when(fulfilled, F.lit(1 << i % WORD).cast("long")).otherwise(none))
+    return mask.select("doc_id", F.array(*rules).alias("rules")).where(F.exists("rules", lambda r: r != 0))
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -195,24 +207,18 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     trigrams = sorted({t for i in indexed for a in queries[i] for t in a})
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     if indexed:
-        found = None
-        for at in range(0, len(indexed), 8):  # a bit mask holds the trigrams of a few rules
-            part = indexed[at : at + 8]
-            own = sorted({t for i in part for a in queries[i] for t in a})
-            some = candidates(postings(texts, own), [queries[i] for i in part], own)
-            some = some.select("doc_id", F.shiftleft("rules", at).alias("rules"))
-            found = some if found is None else found.union(some)
-        if len(indexed) > 8:
-            found = found.groupBy("doc_id").agg(F.bit_or("rules").alias("rules"))
-        found = small(checkpointed(found)).withColumnRenamed("doc_id", "candidate")
-        texts = texts.join(found, F.col("doc_id") == F.col("candidate"), "left").withColumn(
-            "rules", F.when(F.col("doc_id").isNull(), F.lit((1 << len(indexed)) - 1)).otherwise(F.coalesce("rules", F.lit(0)))
-        )
+        found = small(checkpointed(candidates(postings(texts, trigrams), [queries[i] for i in indexed], trigrams))).withColumnRenamed("doc_id", "candidate")
+        words = -(-len(indexed) // WORD)
+        every, none = F.array(*[F.lit((1 << WORD) - 1)] * words), F.array(*[F.lit(0).cast("long")] * words)
+        texts = texts.join(found, F.col("doc_id") == F.col("candidate"), "left").withColumn("rules", F.when(F.col("doc_id").isNull(), every).otherwise(F.coalesce("rules", none)))
     none = F.array().cast(_SPANS)
     parts = []
     for i, rule in enumerate(rules):
         spans = _spans(rule, i)
-        parts.append(F.when(F.col("rules").bitwiseAND(F.lit(1 << indexed.index(i))) != 0, spans).otherwise(none) if i in indexed else spans)
+        if i in indexed:
+            at = indexed.index(i)
+            spans = F.when(F.get("rules", F.lit(at // WORD)).bitwiseAND(F.lit(1 << at % WORD)) != 0, spans).otherwise(none)
+        parts.append(spans)
     return texts.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
