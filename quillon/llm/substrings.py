@@ -153,7 +153,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     looked = _held(texts, docs.sparkSession.sparkContext.broadcast(id_filter(hot.select(F.col("hot_id").alias("id"))))).join(hot, F.col("doc_id") == F.col("hot_id")).select("doc_id", "text", "hot")
     rows = checkpointed(windows(looked, width))
     least = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    gone = rows.join(checkpointed(least), ["h1", "h2"]).where("doc_id > first").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("h1").alias("gone"))
+    gone = rows.join(checkpointed(least), ["h1", "h2"]).where("doc_id > first").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     wholes = copies.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("whole").alias("wholes"))
     gone = gone.join(wholes, F.col("gone_id") == F.col("copy_id"), "full").select(F.coalesce("gone_id", "copy_id").alias("gone_id"), "gone", "wholes")
     gone = checkpointed(gone)
@@ -187,6 +187,18 @@ def _whole(shared):
     return run
 
 
+def among(a: np.ndarray, b: np.ndarray, gone_a: np.ndarray, gone_b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) are among the pairs (gone_a, gone_b)."""
+    order = np.lexsort((gone_b, gone_a))
+    gone_a, gone_b = gone_a[order], gone_b[order]
+    first, last = np.searchsorted(gone_a, a, "left"), np.searchsorted(gone_a, a, "right")
+    found = np.zeros(len(a), dtype=bool)
+    for step in range(int((last - first).max(initial=0))):  # once, unless pairs share their first half
+        at = np.flatnonzero(first + step < last)
+        found[at] |= gone_b[first[at] + step] == b[at]
+    return found
+
+
 def _cutter(width: int):
     """Batches (doc_id, text, gone, wholes) to (doc_id, n_words, n_removed, kept)."""
 
@@ -199,8 +211,8 @@ def _cutter(width: int):
                 if wholes and whole_hash(words) in wholes:
                     words = []
                 elif batch.column(2)[i].is_valid and len(words) >= width:
-                    gone = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
-                    starts = np.flatnonzero(np.isin(rolling(word_hashes(words), width).view(np.int64), gone))
+                    h, gone = word_hashes(words), batch.column(2)[i].values
+                    starts = np.flatnonzero(among(*[rolling(h, width, b).view(np.int64) for b in _BASES], *[gone.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
                     at, left = 0, []
                     for lo, hi in intervals(starts, width):
                         left += words[at:lo]
