@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import math
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,13 @@ def read_pieces(path: str) -> list[bytes]:
 
 
 def words_of(text: str) -> list[bytes]:
-    """The runs of letters of the lower-cased text."""
-    return text.lower().encode("utf-8", "replace").translate(_SPACES).split()
+    """The runs of letters of the lower-cased text, marks that combine with letters included."""
+    text = text.lower()
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and not c.isalpha() and unicodedata.category(c)[0] != "M":
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "replace").translate(_SPACES).split()
 
 
 class Pieces:
@@ -136,6 +142,24 @@ def _matrices(words: list[bytes], rows: int = 20_000):
             yield np.array(part), matrix
 
 
+def _padded(words: list[bytes], languages: int, values: int = 1 << 22):
+    """(places, matrix of bytes, lengths) of long words with a space in front, words of about equal length together.
+
+    Shorter ones end in zeros, which no piece holds, so their sums stay those of their own letters. A matrix is held to
+    about `values` sums, or one word.
+    """
+    order, at = sorted(range(len(words)), key=lambda i: len(words[i])), 0
+    while at < len(order):
+        end, least = at + 1, len(words[order[at]])
+        while end < len(order) and len(words[order[end]]) <= 1.25 * least and (end + 1 - at) * (len(words[order[end]]) + 2) * languages <= values:
+            end += 1
+        part = order[at:end]
+        size = len(words[part[-1]]) + 1
+        letters = np.frombuffer(b"".join((b" " + words[i]).ljust(size, b"\0") for i in part), dtype=np.uint8).reshape(len(part), size)
+        yield np.array(part), letters, np.array([len(words[i]) + 1 for i in part])
+        at = end
+
+
 def _swept(pieces: Pieces, p: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward sums (places x words x languages), and the log of what each stretch of EVERY places was divided by.
 
@@ -210,11 +234,10 @@ def forward(pieces: Pieces, p: np.ndarray, words: list[bytes]) -> np.ndarray:
         for places, letters in _matrices([words[i] for i in short]):
             alpha, logs = _swept(pieces, p, letters)
             out[short[places]] = np.log(alpha[-1]) + logs[-1]
-        for i in long:
-            edges = pieces.edges(_letters(words[i]))
-            for k in range(p.shape[1]):
-                sums, logs = _chain(edges, p, k)
-                out[i, k] = np.log(sums[-1]) + logs[-1]
+        for places, letters, ends in _padded([words[i] for i in long], p.shape[1]):
+            alpha, logs = _swept(pieces, p, letters)
+            at = np.arange(len(places))
+            out[np.array(long)[places]] = np.log(alpha[ends, at]) + logs[ends // EVERY, at]
     return out
 
 

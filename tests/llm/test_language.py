@@ -100,3 +100,22 @@ def test_held_out_rows_teach_nothing(spark):
     a, b = (sorted(langid.identify_held_out(spark.createDataFrame(r, "doc_id long, text string, lang string")).collect()) for r in (rows, wrong))
     assert a == b and {r["lang_pred"] for r in a} == {"de", "en"}
     assert all(r["lang_pred"] == ("de" if r["doc_id"] % 2 else "en") for r in a)
+
+
+def test_only_letters_make_words():
+    assert langid.words_of("“Hallo”—Welt … «oui» naïve2x") == [w.encode() for w in ("hallo", "welt", "oui", "naïve", "x")]
+    assert langid.words_of("été हिन्दी") == [w.encode() for w in ("été", "हिन्दी")]
+
+
+def test_long_words_are_summed_together():
+    """Padded in one matrix, words of many lengths give what each gives alone."""
+    pieces = langid.Pieces([b" a", b"a", b"ab", b"b", b"ba", b" ", b"aba"])
+    rng = np.random.default_rng(5)
+    p = rng.random((7, 3))
+    words = ["".join(rng.choice(list("ab"), n)).encode() for n in (65, 66, 70, 100, 101, 333, 1200, 1201, 5000)]
+    got = langid.forward(pieces, p, words)
+    for i, w in enumerate(words):
+        edges = pieces.edges(langid._letters(w))
+        for k in range(3):
+            sums, logs = langid._chain(edges, p, k)
+            assert got[i, k] == pytest.approx(np.log(sums[-1]) + logs[-1], rel=1e-9)
