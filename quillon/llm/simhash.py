@@ -264,21 +264,25 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 class _Block:
-    """Members of a task: wide fingerprints, shingle counts, minima, labels."""
+    """Members of a task: wide fingerprints, shingle counts, minima, labels, and bits for the minima whose shards were cut."""
 
-    def __init__(self, fps: list[bytes], sizes: list[int], mins: list[list[int]], labels: list[int]) -> None:
+    def __init__(self, fps: list[bytes], sizes: list[int], mins: list[list[int]], labels: list[int], cut: list[int]) -> None:
         self.fps = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(-1, WIDE_BITS // 64)
         self.sizes = np.array(sizes, dtype=np.int64)
         self.mins = np.array(mins, dtype=np.int64).reshape(-1, MINIMA + MORE)
         self.labels = np.array(labels, dtype=np.int64)
+        self.whole = (np.array(cut, dtype=np.int64)[:, None] >> np.arange(MINIMA + MORE) & 1) == 0
 
     def near(self, i: int, others: slice, last: int, sub: int, similarity: float) -> np.ndarray:
-        """Which of the others, of another label, may be that similar to member i and share no minimum before the shard's with it."""
+        """Which of the others, of another label, may be that similar to member i and weren't compared with it in an earlier shard.
+
+        Two members met in the shard of an earlier minimum that they share, unless that shard was cut.
+        """
         n, at = self.sizes[i], np.arange(others.start, others.stop)
         few, many = np.minimum(self.sizes[others], n), np.maximum(self.sizes[others], n)
         at = at[(few >= similarity * many) & (self.labels[others] != self.labels[i])]
         for before in (slice(0, last), slice(MINIMA, MINIMA + max(0, sub))):
-            at = at[~(self.mins[at, before] == self.mins[i, before]).any(axis=1)]
+            at = at[~((self.mins[at, before] == self.mins[i, before]) & self.whole[i, before]).any(axis=1)]
         if len(at):
             apart = np.bitwise_count(self.fps[at] ^ self.fps[i]).sum(axis=1, dtype=np.int64)
             at = at[apart <= np.where(np.minimum(self.sizes[at], n) >= 64, radius_of(similarity, 64), radius_of(similarity, 1))]
@@ -383,11 +387,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     Similarity is the Jaccard similarity of the sets of word shingles, each told by a 64-bit hash, and a link is made only
     where it was computed from the two sets. The pairs to compare are those that share one of MINIMA minimum hashes (two
     documents at 0.8 share none of six in 6 of 100,000 cases) and whose wide SimHash fingerprints lie within radius_of;
-    each is compared in the shard of its first shared minimum, so one shared minimum suffices whatever the shard's size.
+    each is compared in the shard of its first shared minimum that isn't cut, and in the cut ones before it.
     A shard with over WIDE_SHARD_ROWS members is first compared with LEADERS of them; members that this joins to one
     group are not compared with each other any more. Where others are left, they are compared in pairs of blocks that have
     a task each; a shard of over CUT_BLOCKS blocks is cut by MORE further minima before, so that texts which only share a
-    frequent passage part ways. Only members with a pair to compare have their shingles sent. Texts with the same shingles, as those
+    frequent passage part ways: there, and only for pairs without an uncut shard in common, one of these must be shared as
+    well. Only members with a pair to compare have their shingles sent. Texts with the same shingles, as those
     without a word, share a group. Null ids, repeated rows and empty tables: as in near_duplicates.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
@@ -419,8 +424,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), *_KEY_TYPES), strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=["sig", *_SHARD])
 
-        for shard, one, right, (sig, size, fp, mins, label) in _tasks(batches, ["sig", "size", "fp", "mins", "label"]):
-            block, found = _Block(fp, size, mins, label), np.zeros(len(sig), dtype=bool)
+        for shard, one, right, (sig, size, fp, mins, label, cut) in _tasks(batches, ["sig", "size", "fp", "mins", "label", "cut"]):
+            block, found = _Block(fp, size, mins, label, cut), np.zeros(len(sig), dtype=bool)
             for i in range(1 if one else right, len(sig)):
                 near = block.near(i, slice(0, i if one else right), shard[0], shard[2], similarity)
                 found[near] = True
@@ -435,8 +440,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
 
     def compared(batches):
         links = []
-        for shard, one, right, (rep, size, fp, mins, label, held) in _tasks(batches, ["rep", "size", "fp", "mins", "label", "shingles"]):
-            block, parent = _Block(fp, size, mins, label), list(range(len(rep)))
+        for shard, one, right, (rep, size, fp, mins, label, cut, held) in _tasks(batches, ["rep", "size", "fp", "mins", "label", "cut", "shingles"]):
+            block, parent = _Block(fp, size, mins, label, cut), list(range(len(rep)))
             sets = [np.frombuffer(h, dtype=np.uint64) for h in held]
 
             def root(i: int, parent=parent) -> int:
@@ -459,7 +464,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     def linked(tasks: DataFrame, known: DataFrame) -> DataFrame:
         """Links (a, b) between the members of each task that are similar; known: distinct with labels."""
         tasks = checkpointed(tasks)
-        sketches = known.select("sig", "rep", "size", "fp", "mins", "label")
+        sketches = known.select("sig", "rep", "size", "fp", "mins", "label", "cut")
         marked = checkpointed(_by_task(tasks.join(sketches, "sig")).mapInArrow(marks, "sig binary, last int, min long, sub int, submin long").distinct())
         sent = checkpointed(marked.select("sig").distinct().join(known.select("sig", "rep"), "sig"))
         have = texts.join(small(sent.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
@@ -468,7 +473,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         ready = tasks.join(marked, ["sig", *_SHARD], "left_semi").join(sketches, "sig").join(sets, "sig")
         return checkpointed(_by_task(ready).mapInArrow(compared, "a long, b long"))
 
-    known, links = distinct.withColumn("label", F.col("rep")), None
+    known, links = distinct.withColumn("label", F.col("rep")).withColumn("cut", F.lit(0).cast("long")), None
     key = "sig", "rep", "size", "label"
     whole = F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("submin")
     held = _sharded(known.select(*key, F.posexplode(F.slice("mins", 1, MINIMA)).alias("last", "min")).select(*key, "last", "min", *whole))
@@ -485,6 +490,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
         held = checkpointed(held.join(checkpointed(ends.where("a < b").select(*_SHARD)), list(_SHARD)))
         large = held.where(F.col("blocks") > CUT_BLOCKS)
         if not large.isEmpty():
+            parted = checkpointed(large.groupBy("sig").agg(F.sum(F.pow(F.lit(2), F.col("last")).cast("long")).alias("cut")))
+            known = known.drop("cut").join(parted, "sig", "left").withColumn("cut", F.coalesce("cut", F.lit(0).cast("long")))
             cut = large.join(distinct.select("sig", F.slice("mins", MINIMA + 1, MORE).alias("more")), "sig")
             cut = cut.select(*key, "last", "min", F.posexplode("more").alias("sub", "submin"))
             held = checkpointed(held.where(F.col("blocks") <= CUT_BLOCKS).unionByName(_sharded(cut)))

@@ -118,3 +118,22 @@ def test_joined_members_are_not_paired_again(spark, monkeypatch):
         by_task.setdefault((r["lo"], r["hi"]), {False: set(), True: set()})[r["right"]].add(int(r["sig"]))
     met = {(min(a, b), max(a, b)) for (lo, hi), t in by_task.items() for a in t[False] for b in (t[False] if lo == hi else t[True]) if a != b}
     assert {(a, b) for a in range(530) for b in range(max(a + 1, 500), 530)} <= met
+
+
+def test_a_cut_shard_hides_no_link_of_a_cold_one(spark, monkeypatch):
+    """Pairs that share a minimum in a cut shard, another in a shard of two, and not the further minimum that the cut goes by."""
+    monkeypatch.setattr(S, "CUT_BLOCKS", 1)
+    monkeypatch.setattr(S, "WIDE_SHARD_ROWS", 10)
+    monkeypatch.setattr(S, "MORE", 1)
+    rng, texts, kept = random.Random(29), [], 0
+    passage = [f"p{rng.randrange(10**9)}" for _ in range(60)]
+    while kept < 40:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        a, b = " ".join(passage + w), " ".join(passage + w[:275] + [f"v{rng.randrange(10**9)}" for _ in range(25)])
+        x, y = (S.wide_sketch(S.shingle_hashes(t.encode(), 5))[1] for t in (a, b))
+        own = S.wide_sketch(S.shingle_hashes(" ".join(passage).encode(), 5))[1]
+        shared = [m for m in range(S.MINIMA) if x[m] == y[m]]
+        common = [m for m in shared if x[m] == own[m]]
+        if common and any(m > common[0] and m not in common for m in shared) and x[S.MINIMA] != y[S.MINIMA]:
+            texts, kept = texts + [a, b], kept + 1
+    assert groups(spark, texts) == brute(texts)
