@@ -272,3 +272,22 @@ def test_language_forward_sums_all_segmentations():
     p = np.array([[0.1], [0.2], [0.3], [0.25], [0.15]])
     got = np.exp(langid.forward(langid.Pieces(pieces), p, [b"ab"]))[0, 0]
     assert got == pytest.approx(0.1 * 0.2 * 0.3 + 0.25 * 0.3 + 0.1 * 0.15)
+
+
+def test_thirty_rules(spark):
+    """More trigrams than a word of a mask has bits, more rules as well, one with more alternatives than an index takes."""
+    rng = random.Random(30)
+    names = [f"{''.join(rng.choice('bcdfghjklmnpqrstvwxz') for _ in range(9))}" for _ in range(80)]
+    rules = secrets.BASE + secrets.MORE + tuple(secrets.Rule(f"r{i}", n + "[0-9a-f]{4,}") for i, n in enumerate(names))
+    texts = [f"see {n}00ff{i} and {n} alone" for i, n in enumerate(names)] + ["nothing", "", None, " ".join(n + "beef" for n in names)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()}
+    assert len({t for r in rules for a in secrets.trigram_query(r.regex) for t in a}) > 4 * secrets.WORD
+    for i, n in enumerate(names):
+        assert [(s["kind"], s["start"]) for s in found[i]] == [(7 + i, 4)]
+    assert found[80] == found[81] == found[82] == []
+    assert sorted(s["kind"] for s in found[83]) == list(range(7, 87))
+
+
+def test_windows_are_told_by_both_hashes():
+    a, b = np.array([5, 5, 5, 7, 9]), np.array([1, 2, 3, 1, 4])
+    assert substrings.among(a, b, np.array([5, 9, 5]), np.array([2, 5, 3])).tolist() == [False, True, True, False, False]
