@@ -167,15 +167,26 @@ def chunk_rows(chunks: DataFrame, segments: DataFrame, meta: DataFrame, header:
 VARIANTS = (("300", 300, 45, True), ("600", 600, 90, True), ("600 bare", 600, 90, False), ("1200", 1200, 180, True))
 
 
-def ablation_chunks(full: DataFrame, headers: DataFrame, variants=VARIANTS) -> DataFrame:
-    """(variant, doc_id, chunk_index, text, n_tokens) of every variant of full texts, with headers (doc_id, header) in front."""
-    rows = None
-    for name, size, overlap, headed in variants:
-        part = chunk_docs(full, size, overlap).select(F.lit(name).alias("variant"), "doc_id", "chunk_index", "text", "n_tokens")
-        if headed:
-            part = part.join(headers, "doc_id").withColumn("text", F.concat("header", "text")).drop("header")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+def ablation_chunks(full: DataFrame, headers: DataFrame, variants=VARIANTS, length: Callable[[str], int] = count_tokens) -> DataFrame:
+    """(variant, doc_id, chunk_index, text, n_tokens) of every variant of full texts, in one pass over them.
+
+    headers (doc_id, header) go in front of the chunks of the variants that carry them; n_tokens counts the chunk with it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text, header in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for name, size, overlap, headed in variants:
+                    for i, (a, b) in enumerate(split_text(text or "", size, overlap, length)):
+                        chunk = ((header or "") if headed else "") + text[a:b]
+                        rows.append((name, doc_id, i, chunk, length(chunk)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["variant", "doc_id", "chunk_index", "text", "n_tokens"])
+
+    rows = full.join(headers.select("doc_id", "header"), "doc_id", "left").select(F.col("doc_id").cast("long"), "full_text", "header")
+    return rows.mapInArrow(run, "variant string, doc_id long, chunk_index int, text string, n_tokens int")
 
 
 def ablation(chunks: DataFrame) -> DataFrame:
@@ -185,6 +196,23 @@ def ablation(chunks: DataFrame) -> DataFrame:
     )
 
 
+def ablation_retrieval(hits: DataFrame, questions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(variant, questions, hit1, hit5, evidence_hits, evidence_n, context_tokens): what each variant's first five chunks hold.
+
+    hits: (variant, qid, rank, doc_id, text, n_tokens), five a question; questions: (qid, evidence), an expression or null;
+    gold: (qid, doc_id). context_tokens is the mean over the questions of their five chunks' tokens, rounded half to even.
+    """
+    right = gold.select("qid", "doc_id", F.lit(True).alias("_right")).distinct()
+    rows = hits.join(questions.select("qid", "evidence"), "qid").join(right, ["qid", "doc_id"], "left")
+    each = rows.groupBy("variant", "qid").agg(
+        F.min(F.when(F.col("_right"), F.col("rank"))).alias("first"), F.bool_or(F.rlike("text", F.col("evidence"))).alias("found"), F.sum("n_tokens").alias("tokens")
+    )
+    return each.groupBy("variant").agg(
+        F.count("*").alias("questions"), F.count_if(F.col("first") == 1).alias("hit1"), F.count_if(F.col("first") <= 5).alias("hit5"),
+        F.count_if("found").alias("evidence_hits"), F.count("found").alias("evidence_n"), F.bround(F.avg("tokens")).cast("long").alias("context_tokens"),
+    )
+
+
 def token_pieces(texts: DataFrame, encode: Callable[[str], list[tuple[int, str]]]) -> DataFrame:
     """(doc_id, pos, token_id, piece) of texts (doc_id, text) under a tokenizer given as a function to (id, piece) pairs."""
 

@@ -2,35 +2,84 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.numbers import ratio
+from quillon.session import durable
 
 FAITHFULNESS_TARGET, P95_TARGET = 0.90, 8.0
 
 
-#: A side of at most so many narrow rows may be broadcast.
-BROADCAST_ROWS = 500_000
+#: An automaton is made for items of at most so many characters; it takes about 100 bytes for each.
+AUTOMATON_CHARS = 1 << 20
+
+
+def _automaton(items: list[tuple[int, str]]):
+    """An Aho-Corasick automaton that gives, for each item found, the qids that ask for it."""
+    import ahocorasick
+
+    by_text: dict[str, list[int]] = {}
+    for qid, item in items:
+        by_text.setdefault(item, []).append(qid)
+    found = ahocorasick.Automaton()
+    for item, qids in by_text.items():
+        found.add_word(item, qids)
+    found.make_automaton()
+    return found
+
+
+def _held_by(automaton, ids, texts) -> pa.RecordBatch:
+    rows = [(q, d) for d, t in zip(ids, texts, strict=True) if t for q in sorted({q for _, qids in automaton.iter(t) for q in qids})]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["qid", "doc_id"])
 
 
 def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, doc_id): the documents (doc_id, text) that hold an item (qid, item) word for word.
+    """(qid, doc_id): the documents (doc_id, text) that hold an item (qid, item) as a run of characters, one row for each pair.
 
-    Inner words of an item, parted by spaces, are looked up among the documents' runs of three words; documents that have
-    them are compared with the item. Items of fewer words, which have none, are compared with all documents. The items'
-    keys are broadcast if they are few.
+    All items are looked for in one pass over a text, by an automaton. It is sent to all tasks if the items have at most
+    AUTOMATON_CHARS characters; beyond, items are dealt to parts of about that size, and each part meets the texts in
+    groups of a shuffle. Null or empty items are held by nobody; rows that repeat an item are items of their own.
     """
-    parts = F.split("item", " ")
-    keyed = items.where("item is not null and item != ''").withColumn("_key", F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, 2, 3), " ")))
-    few = keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sent = F.broadcast if few else lambda df: df
-    words = F.transform(F.array(F.split("text", " ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))[0]
-    runs = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("_key"))
-    pairs = runs.join(sent(keyed.where("_key is not null").select("qid", "_key")), "_key").select("qid", "doc_id").distinct()
-    found = docs.join(pairs, "doc_id").join(sent(items), "qid").where(F.contains("text", F.col("item"))).select("qid", "doc_id")
-    short = docs.join(sent(keyed.where("_key is null").select("qid", "item"))).where(F.contains("text", F.col("item")))
-    return found.union(short.select("qid", "doc_id"))
+    asked = items.where("qid is not null and item is not null and item != ''").select(F.col("qid").cast("long").alias("qid"), "item")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chars = asked.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
+    if not chars:
+        return docs.sparkSession.createDataFrame([], "qid long, doc_id long")
+    if chars <= AUTOMATON_CHARS:
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.collect()])  # at most AUTOMATON_CHARS
+
+        def scan(batches):
+            automaton = _automaton(shared.value)
+            for batch in batches:
+                yield _held_by(automaton, batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+        return texts.mapInArrow(scan, "qid long, doc_id long").distinct()
+    parts, cores = -(-chars // AUTOMATON_CHARS), max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = asked.select(F.pmod(F.xxhash64("qid", "item"), F.lit(parts)).cast("int").alias("part"), every(cores).alias("slice"), F.lit(False).alias("right"), F.col("qid").alias("id"), F.col("item").alias("text"))
+    met = texts.select(every(parts).alias("part"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(cores)).cast("int").alias("slice"), F.lit(True).alias("right"), F.col("doc_id").alias("id"), "text")
+
+    def groups(batches):
+        key, waiting, automaton = None, [], None
+        for batch in batches:
+            part, piece, right, ids, found = (batch.column(i).to_pylist() for i in range(5))
+            at = 0
+            while at < len(ids):
+                end = at
+                while end < len(ids) and (part[end], piece[end], right[end]) == (part[at], piece[at], right[at]):
+                    end += 1
+                if (part[at], piece[at]) != key:
+                    key, waiting, automaton = (part[at], piece[at]), [], None
+                if not right[at]:
+                    waiting += zip(ids[at:end], found[at:end], strict=True)
+                elif waiting or automaton:
+                    automaton, waiting = automaton or _automaton(waiting), []
+                    yield _held_by(automaton, ids[at:end], found[at:end])
+                at = end
+
+    return own.union(met).repartition("part", "slice").sortWithinPartitions("part", "slice", "right").mapInArrow(groups, "qid long, doc_id long").distinct()
 
 
 def retrieval_metrics(gold: DataFrame, hits: DataFrame) -> DataFrame:
@@ -74,6 +123,16 @@ def k_curve(first_hits: DataFrame, most: int = 20) -> DataFrame:
     return ks.groupBy("method", "k").agg(F.count_if(F.col("gold_rank") <= F.col("k")).alias("hits"), F.count("*").alias("questions"))
 
 
+def first_text_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, gold_rank): the first of the hits (qid, rank, text) whose text matches the expression of its question (qid, evidence).
+
+    Questions without an expression are left out; null where no hit matches.
+    """
+    asked = questions.where("evidence is not null").select("qid", "evidence")
+    found = hits.join(asked, "qid").where(F.rlike("text", F.col("evidence"))).groupBy("qid").agg(F.min("rank").alias("gold_rank"))
+    return asked.select("qid").join(found, "qid", "left")
+
+
 def method_table(first_hits: DataFrame, k: int = 5) -> DataFrame:
     """(method, hit1, hitk, mrr)."""
     rank = F.col("gold_rank")
@@ -141,17 +200,45 @@ def eval_summary(graded: DataFrame) -> DataFrame:
     )
 
 
+#: Different values of a stage that may be ranked in one place; ranges that longer stretches are cut into.
+PLACE_ROWS, RANGES = 1 << 17, 1024
+
+
 def latency_percentiles(timings: DataFrame) -> DataFrame:
     """(stage, n, p50, p95) of (stage, seconds): interpolated median, nearest-rank p95, its rank rounded half to even.
 
-    Equal values are counted before they are shuffled; p95 is the first value whose running count reaches the rank.
+    Equal values are counted before they are shuffled. What is asked for is the values at three ranks of a stage; the
+    stretch of values that holds a rank is cut into ranges, whose counts say in which one it lies, until the stretch has
+    at most PLACE_ROWS different values, which are ranked. So no stage is sorted in one place. Nulls and NaN are left out.
     """
-    counts = timings.where("seconds is not null").groupBy("stage", "seconds").agg(F.count("*").alias("_k"))
-    upto = Window.partitionBy("stage").orderBy("seconds")
-    whole = Window.partitionBy("stage")
-    placed = counts.withColumn("_upto", F.sum("_k").over(upto)).withColumn("n", F.sum("_k").over(whole))
-    rank = F.greatest(F.lit(1.0), F.rint(0.95 * F.col("n")))
-    return placed.groupBy("stage").agg(F.first("n").alias("n"), F.percentile("seconds", F.lit(0.5), F.col("_k")).alias("p50"), F.min(F.when(F.col("_upto") >= rank, F.col("seconds"))).alias("p95"))
+    counts = durable(timings.where("seconds is not null and not isnan(seconds)").groupBy("stage", F.col("seconds").cast("double").alias("seconds")).agg(F.count("*").alias("k")))
+    sizes = counts.groupBy("stage").agg(F.sum("k").alias("n"), F.count("*").alias("different"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"))
+    n = F.col("n")
+    ranks = F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1, F.greatest(F.lit(1.0), F.rint(0.95 * n)).cast("long"))
+    wanted = durable(sizes.select("stage", "n", "lo", "hi", "different", F.lit(0).cast("long").alias("before"), F.posexplode(ranks).alias("which", "place")))
+    while not wanted.where(F.col("different") > PLACE_ROWS).isEmpty():
+        wanted = durable(_narrowed(counts, wanted))
+    inside = counts.join(wanted, "stage").where(F.col("seconds").between(F.col("lo"), F.col("hi")))
+    upto = Window.partitionBy("stage", "which").orderBy("seconds")
+    reached = inside.withColumn("_upto", F.col("before") + F.sum("k").over(upto)).where(F.col("_upto") >= F.col("place"))
+    values = reached.groupBy("stage", "n", "which").agg(F.min("seconds").alias("v"))
+    pick = lambda i: F.max(F.when(F.col("which") == i, F.col("v")))
+    return values.groupBy("stage").agg(F.first("n").alias("n"), (0.5 * (pick(0) + pick(1))).alias("p50"), pick(2).alias("p95"))
+
+
+def _narrowed(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted with, for each rank whose stretch is long, the range of it that holds the rank."""
+    long = wanted.where((F.col("different") > PLACE_ROWS) & (F.col("lo") < F.col("hi")))
+    share = (F.col("seconds") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    rows = counts.join(long, "stage").where(F.col("seconds").between(F.col("lo"), F.col("hi")))
+    keys = ["stage", "n", "which", "place", "before"]
+    parts = rows.groupBy(*keys, F.least(F.lit(RANGES - 1), F.floor(share * RANGES)).alias("part")).agg(F.sum("k").alias("k"), F.count("*").alias("different"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"))
+    upto = Window.partitionBy("stage", "which").orderBy("part")  # at most RANGES rows
+    placed = parts.withColumn("_upto", F.col("before") + F.sum("k").over(upto))
+    held = placed.where((F.col("_upto") >= F.col("place")) & (F.col("_upto") - F.col("k") < F.col("place")))
+    held = held.select("stage", "n", "lo", "hi", "different", (F.col("_upto") - F.col("k")).alias("before"), "which", "place")
+    rest = wanted.where((F.col("different") <= PLACE_ROWS) | (F.col("lo") >= F.col("hi"))).select(held.columns)
+    return held.union(rest).withColumn("different", F.when(F.col("lo") >= F.col("hi"), F.lit(1)).otherwise(F.col("different")))
 
 
 def breakdown(graded: DataFrame) -> DataFrame:

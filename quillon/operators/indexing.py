@@ -41,3 +41,8 @@ def ingest_report(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
     return chunks.agg(
         F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens_total"), F.percentile("n_tokens", F.lit(0.5)).alias("tokens_median"), F.max("n_tokens").alias("tokens_max")
     ).join(F.broadcast(embedded.agg(F.countDistinct("doc_id").alias("embedded_this_run"))))
+
+
+def chunks_by_document(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunks): the report's other part, a row a document, since a map of all documents has no bound."""
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))

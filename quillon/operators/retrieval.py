@@ -2,100 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.graph import ann_topk
+from quillon.operators.vectors import knn_graph, rank_of, ranked, vector_topk  # noqa: F401
 from quillon.session import durable
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-STRATEGIES = ("vector",)
-QUERY_BLOCK = 4096
-
-
-def ranked(scored: DataFrame, k: int, group: str = "qid", order: list[Column] | None = None) -> DataFrame:
-    """The k best rows of each group with their rank; Spark prunes to k a group before it shuffles."""
-    best = Window.partitionBy(group).orderBy(*(order or [F.desc(F.round("score", 9)), F.col("ord")]))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _unit_rows(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("long"), F.col("v").cast("array<double>"))
-
-
-def _in_blocks(queries: DataFrame, run, columns: list[str] | None = None):
-    """run(block) for blocks of about QUERY_BLOCK queries (qid, v, …), sent to the tasks as {length: (rows, unit vectors)}.
-
-    Queries without a vector, or with a zero one, take no part. The blocks' results are united; None without a query.
-    """
-    spark, found = queries.sparkSession, None
-    asked = queries.select(F.col("qid").cast("long"), F.col("v").cast("array<double>").alias("v"), *(columns or [])).where("qid is not null and v is not null")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()  # about QUERY_BLOCK rows
-        by_length: dict[int, list] = {}
-        for r in own:
-            if any(r["v"]):
-                by_length.setdefault(len(r["v"]), []).append(r)
-        if by_length:
-            block = {n: (rows, _units(np.array([r["v"] for r in rows], dtype=np.float64))) for n, rows in by_length.items()}
-            part = run(spark.sparkContext.broadcast(block))
-            found = part if found is None else found.union(part)
-    return found
-
-
-def _units(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def _by_length(batch: pa.RecordBatch, lengths):
-    """(length, ids, unit vectors) of a batch (id, v): non-zero vectors of the lengths asked for."""
-    ids, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-    sizes = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    for n in lengths:
-        rows = np.flatnonzero(sizes == n)
-        x = v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
-        good = np.linalg.norm(x, axis=1) > 0
-        if good.any():
-            yield n, ids[rows[good]], _units(x[good])
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, skip_own: bool = False) -> DataFrame:
-    """Rows (qid, chunk_id, score, rank): the k vectors (chunk_id, v) of highest cosine similarity for each query (qid, v).
-
-    Exact. Queries go to the vectors in blocks; each task keeps its k best a query and returns those, so little is
-    shuffled. A query meets the vectors of its own length; zero vectors take no part; ties go to the smaller chunk_id.
-    """
-    rows = _unit_rows(vectors, "chunk_id")
-    found = _in_blocks(queries, lambda shared: rows.mapInArrow(_best_of(shared, k, skip_own), "qid long, chunk_id long, score double"))
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, chunk_id long, score double, rank int")
-    return ranked(found, k, order=[F.desc(F.round("score", 9)), F.col("chunk_id")])
-
-
-def _best_of(shared, k: int, skip_own: bool):
-    def run(batches):
-        block = shared.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: scores and ids (queries x at most k)
-        for batch in batches:
-            for n, ids, x in _by_length(batch, block):
-                rows, q = block[n]
-                scores = np.round(q @ x.T, 9)
-                if skip_own:
-                    scores[np.array([r["qid"] for r in rows])[:, None] == ids[None, :]] = -np.inf
-                every = np.broadcast_to(ids, scores.shape)
-                if n in best:
-                    scores, every = np.concatenate([best[n][0], scores], axis=1), np.concatenate([best[n][1], every], axis=1)
-                order = np.lexsort((every, -scores), axis=1)[:, :k]
-                best[n] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(every, order, axis=1)
-        for n, (scores, ids) in best.items():
-            at, place = np.nonzero(np.isfinite(scores))
-            qids = np.array([r["qid"] for r in block[n][0]], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids[at, place]), pa.array(scores[at, place])], names=["qid", "chunk_id", "score"])
-
-    return run
+STRATEGIES = {"vector": vector_topk, "ann": ann_topk}
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -229,10 +145,10 @@ def hybrid_topk(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = 5, vec
 
 
 def retrieve(queries: DataFrame, vectors: DataFrame, strategy: str = "vector", k: int = 5) -> DataFrame:
-    """Top-k by a registered strategy; any other name is a ValueError."""
+    """Top-k by a registered strategy, exact or through a graph; any other name is a ValueError."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
-    return vector_topk(queries, vectors, k)
+    return STRATEGIES[strategy](queries, vectors, k)
 
 
 def matched_terms(queries: DataFrame, chunks: DataFrame, hits: DataFrame) -> DataFrame:
@@ -262,33 +178,6 @@ def rank_pivot(lists: DataFrame, names: list[str]) -> DataFrame:
     return lists.groupBy("qid", "rank").pivot("list", names).agg(F.first("chunk_id"))
 
 
-def rank_of(queries: DataFrame, vectors: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(qid, chunk_id, position): the place of one wanted chunk (qid, chunk_id) in the query's full ordering by cosine, from 1."""
-    own = vectors.select(F.col("chunk_id").alias("_c"), F.col("v").alias("_t"))
-    asked = wanted.join(queries.select("qid", "v"), "qid").join(own, F.col("chunk_id") == F.col("_c")).select("qid", "v", "chunk_id", F.col("_t").cast("array<double>").alias("target"))
-    rows = _unit_rows(vectors, "chunk_id")
-    found = _in_blocks(asked, lambda shared: rows.mapInArrow(_above(shared), "qid long, chunk_id long, n long"), ["chunk_id", "target"])
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, chunk_id long, position long")
-    return found.groupBy("qid", "chunk_id").agg((F.sum("n") + 1).alias("position"))
-
-
-def _above(shared):
-    """For each query of a block, how many vectors score above its target."""
-
-    def run(batches):
-        block = {n: v for n, v in shared.value.items()}
-        mine = {n: np.round((q * _units(np.array([r["target"] for r in rows], dtype=np.float64))).sum(axis=1), 9) for n, (rows, q) in block.items()}
-        count = {n: np.zeros(len(rows), dtype=np.int64) for n, (rows, _) in block.items()}
-        for batch in batches:
-            for n, _, x in _by_length(batch, block):
-                count[n] += (np.round(block[n][1] @ x.T, 9) > mine[n][:, None]).sum(axis=1)
-        for n, (rows, _) in block.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r["qid"] for r in rows], pa.int64()), pa.array([r["chunk_id"] for r in rows], pa.int64()), pa.array(count[n])], names=["qid", "chunk_id", "n"])
-
-    return run
-
-
 def texts_in_order(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     """wanted (qid, ids: array) as rows (qid, pos, chunk_id, text), in the order asked for."""
     return wanted.select("qid", F.posexplode("ids").alias("pos", "chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id").select("qid", "pos", "chunk_id", "text")

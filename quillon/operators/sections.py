@@ -26,15 +26,24 @@ def repeated_lines(blocks: DataFrame, shorter_than: int = 100, pages: int = 4, s
     return counts.join(sizes, "doc_id").where((F.col("pages") >= pages) & (F.col("n") >= share * F.col("pages"))).select("doc_id", "key")
 
 
-def refs_cutoff(blocks: DataFrame) -> DataFrame:
-    """blocks before the first one, from page index max(2, a third of the pages) on, that starts the references."""
+def page_places(blocks: DataFrame) -> DataFrame:
+    """blocks with the index of their page (_idx, from 0) among all of the document's pages, and how many these are (_pages)."""
     own = Window.partitionBy("doc_id")
-    numbered = blocks.withColumn("_idx", F.dense_rank().over(own.orderBy("page")) - 1).withColumn("_n", F.max("_idx").over(own) + 1)
-    late = F.col("_idx") >= F.greatest(F.lit(2), F.floor(F.col("_n") / 3))
+    return blocks.withColumn("_idx", F.dense_rank().over(own.orderBy("page")) - 1).withColumn("_pages", F.max("_idx").over(own) + 1)
+
+
+def refs_cutoff(blocks: DataFrame) -> DataFrame:
+    """blocks before the first one, from page index max(2, a third of the pages) on, that starts the references.
+
+    Pages are counted as page_places found them, where blocks have its columns; so a page of which no block is left still
+    counts. A page without any block isn't known: give it one with an empty text.
+    """
+    placed = blocks if "_idx" in blocks.columns else page_places(blocks)
+    late = F.col("_idx") >= F.greatest(F.lit(2), F.floor(F.col("_pages") / 3))
     place = F.struct("page", "block_no")
-    cut = F.min(F.when(late & T.is_reference_start(F.trim("text")), place)).over(own)
-    kept = numbered.withColumn("_cut", cut).where(F.col("_cut").isNull() | (place < F.col("_cut")))
-    return kept.select(blocks.columns)
+    cut = F.min(F.when(late & T.is_reference_start(F.trim("text")), place)).over(Window.partitionBy("doc_id"))
+    kept = placed.withColumn("_cut", cut).where(F.col("_cut").isNull() | (place < F.col("_cut")))
+    return kept.drop("_cut", "_idx", "_pages")
 
 
 def page_segments(blocks: DataFrame) -> DataFrame:
@@ -44,7 +53,7 @@ def page_segments(blocks: DataFrame) -> DataFrame:
     its text, and names the section until the next one.
     """
     text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    clean = blocks.withColumn("text", text)
+    clean = page_places(blocks).withColumn("text", text)
     clean = clean.withColumn("_key", T.line_key(F.col("text"))).join(
         repeated_lines(blocks).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti"
     )
@@ -170,17 +179,116 @@ def html_sections(blocks: DataFrame) -> DataFrame:
     return joined.select("page_id", F.col("_run").cast("int").alias("seg_no"), "section", T.clean_text(F.col("text")).alias("text"))
 
 
+class _Tree(HTMLParser):
+    """The elements of a page with what each holds: the worth of its own and its descendants' text.
+
+    Text that lies directly in an element, up to the next element that isn't inline, is a piece. It is worth its length,
+    less twice what of it lies in links, less PIECE_COST; so long text with few links counts for an element, menus and
+    bylines against it.
+    """
+
+    INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var wbr br img".split())
+    PIECE_COST = 25
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.names, self.parents, self.worth = ["html"], [-1], [0]
+        self.stack, self.inline, self.skipped = [0], [], 0
+        self.text: list[str] = []
+        self.links = 0
+        self.pieces: list[tuple[int, str]] = []  # (element, text) in document order
+
+    def _piece(self) -> None:
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.pieces.append((self.stack[-1], text))
+            self.worth[self.stack[-1]] += len(text) - 2 * min(self.links, len(text)) - self.PIECE_COST
+        self.text, self.links = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _Blocks.SKIPPED:
+            self.skipped += 1
+        if self.skipped:
+            return
+        if tag in self.INLINE:
+            if tag == "br":
+                self.text.append(" ")
+            elif tag not in _Blocks.VOID:
+                self.inline.append(tag)
+            return
+        self._piece()
+        self.inline = []
+        if tag in _Blocks.VOID:
+            return
+        if tag in ("p", "li", "td", "tr") and self.names[self.stack[-1]] == tag:  # ends where the next one starts
+            self.stack.pop()
+        self.names.append(tag)
+        self.parents.append(self.stack[-1])
+        self.worth.append(0)
+        self.stack.append(len(self.names) - 1)
+
+    def handle_endtag(self, tag):
+        if tag in _Blocks.SKIPPED:
+            self.skipped = max(0, self.skipped - 1)
+            return
+        if self.skipped or tag in _Blocks.VOID:
+            return
+        if tag in self.INLINE:
+            if tag in self.inline:
+                del self.inline[len(self.inline) - 1 - self.inline[::-1].index(tag) :]
+            return
+        self._piece()
+        self.inline = []
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.names[self.stack[i]] == tag:
+                del self.stack[i:]
+                return
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.text.append(data)
+            self.links += len("".join(data.split())) if "a" in self.inline else 0
+
+    def main(self) -> list[str]:
+        """The pieces of the element whose text is worth most, descendants included; the innermost of equal ones."""
+        self._piece()
+        total = list(self.worth)
+        for n in range(len(total) - 1, 0, -1):  # children come after their parents
+            total[self.parents[n]] += total[n]
+        best = max(range(len(total)), key=lambda n: (total[n], n))
+        inside = [False] * len(total)
+        for n in range(len(total)):
+            inside[n] = n == best or (n > 0 and inside[self.parents[n]])
+        return [text for n, text in self.pieces if inside[n]] if total[best] > 0 else []
+
+
+def main_content(html: str | None) -> str:
+    """The main text of a page, its pieces parted by empty lines; empty where no element holds more text than trimmings."""
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return "\n\n".join(tree.main())
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, whole): the main content of HTML pages (page_id, html)."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [main_content(h) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["page_id", "whole"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, whole string")
+
+
 def html_with_fallback(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """html_sections of blocks, but one segment of all text, without a section, where they hold under half of it.
+    """html_sections of blocks, but the page's main content as one segment, without a section, where they hold under half of it.
 
     The blocks are read once; each page's segments travel in an array to the page that may need the other text.
     """
     found = html_sections(blocks)
     own = found.groupBy("page_id").agg(F.collect_list(F.struct("seg_no", "section", "text")).alias("segs"), F.sum(F.length("text")).alias("kept"))
-    stripped = T.replaced(F.col("html"), (r"(?is)<(script|style|nav|header|footer|noscript)\b.*?</\1>", " "), (r"(?s)<[^>]*>", " "), (r"\s+", " "))
-    rows = pages.select("page_id", T.clean_text(stripped).alias("whole")).join(own, "page_id", "left")
+    rows = main_texts(pages).select("page_id", T.clean_text(F.col("whole")).alias("whole")).join(own, "page_id", "left")
     poor = F.coalesce("kept", F.lit(0)) < 0.5 * F.length("whole")
     one = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(None).cast("string").alias("section"), F.col("whole").alias("text")))
     return rows.select("page_id", F.explode(F.when(poor, one).otherwise(F.col("segs"))).alias("s")).select("page_id", "s.seg_no", "s.section", "s.text").where("text != ''")
-
-

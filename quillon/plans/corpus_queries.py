@@ -64,6 +64,11 @@ def ingest_report(spark, d):
     return I.ingest_report(chunks, chunks.where("section = ''"))
 
 
+@query(f"SELECT doc_id, count(*) AS chunks FROM {_CHUNKS} GROUP BY 1")
+def chunks_by_document(spark, d):
+    return I.chunks_by_document(sized(spark, d))
+
+
 @query(f"SELECT doc_id, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT AS tokens, round(sum(chars) / sum(tokens), 2) AS chars_per_token FROM {_CHUNKS} GROUP BY 1")
 def token_efficiency(spark, d):
     return X.token_efficiency(sized(spark, d))
@@ -146,7 +151,8 @@ def packed_vectors(spark, d):
 
 @query()
 def pca_2d(spark, d):
-    return X.pca_2d(vectors(spark, d))[0].select(F.col("chunk_id").alias("vec_id"), "x", "y")
+    rows, shares = X.pca_2d(vectors(spark, d))
+    return rows.select(F.col("chunk_id").alias("vec_id"), "x", "y", F.lit(shares[0]).alias("x_share"), F.lit(shares[1]).alias("y_share"))
 
 
 @query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 1950 + doc_id % 40 ELSE 2017 END::INT AS first_year, CASE doc_id % 2 WHEN 0 THEN 1960 + doc_id % 40 ELSE 2026 END::INT AS last_year, CASE WHEN doc_id % 3 = 0 THEN 'A, B, C et al.' ELSE 'A, B' END AS authors FROM documents")
@@ -185,7 +191,7 @@ def paired_calls(spark, d):
     return X.paired_calls(rows).withColumn("seconds", F.round("seconds", 6))
 
 
-@query("SELECT source AS doc_id, count(DISTINCT doc_id) AS pages, sum(length(text))::BIGINT AS chars, round_even(sum(length(text)) / count(DISTINCT doc_id), 0)::BIGINT AS avg_chars, round_even(sum(length(text)) / count(DISTINCT doc_id), 0) < 200 AS scanned FROM documents GROUP BY 1")
+@query("SELECT source AS doc_id, count(DISTINCT doc_id) AS pages, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes, round_even(sum(length(text)) / count(DISTINCT doc_id), 0)::BIGINT AS avg_chars, round_even(sum(length(text)) / count(DISTINCT doc_id), 0) < 200 AS scanned FROM documents GROUP BY 1")
 def inspect_files(spark, d):
     return io.inspected(table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"))
 

@@ -258,16 +258,34 @@ def usage_caps(spark, d):
     return L.usage_caps(rows).select(F.col("request_id").alias("event_id"), "outcome")
 
 
+SESSIONS, DAYS = 60, 150
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, ts, dense_rank() OVER (ORDER BY ts::DATE) AS dn, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS r FROM events),
+u AS (SELECT DISTINCT user_id, 1::BIGINT AS dn, 0::BIGINT AS before FROM e UNION ALL
+SELECT user_id, dn + 1, before + taken FROM (SELECT user_id, dn, before, count(*) FILTER (x <= {DAYS} AND event_id IS NOT NULL) AS taken FROM
+(SELECT u.user_id, u.dn, u.before, e.event_id, row_number() OVER (ORDER BY e.event_id IS NULL, e.ts, e.event_id) AS x FROM u LEFT JOIN e ON e.user_id = u.user_id AND e.dn = u.dn AND e.r <= {SESSIONS} - u.before)
+GROUP BY ALL) WHERE dn <= (SELECT max(dn) FROM e)),
+a AS (SELECT u.user_id, u.dn, u.before, n.before - u.before AS taken FROM u JOIN u n ON n.user_id = u.user_id AND n.dn = u.dn + 1)
+SELECT event_id, CASE WHEN r <= taken THEN 'accept' WHEN before + taken >= {SESSIONS} THEN 'session_cap' ELSE 'day_cap' END AS outcome FROM e JOIN a USING (user_id, dn)"""
+)
+def admissions(spark, d):
+    """Sessions that last for days, so that a day's cap leaves them more for the next one."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session"), F.to_date("ts").alias("day"), "ts")
+    return L.admissions(rows, SESSIONS, DAYS).select(F.col("request_id").alias("event_id"), "outcome")
+
+
 @query("SELECT user_id, greatest(0, 10 - count(*)) AS remaining FROM events GROUP BY 1")
 def usage_remaining(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(L.remaining(10, F.count("*")).alias("remaining"))
 
 
 @query(
-    """WITH s AS (SELECT quantile_cont(value, 0.5) AS p50 FROM events), f AS (SELECT avg(toxic) AS f FROM labels)
-SELECT f >= 0.9 AS faithfulness_met, p50 <= 8.0 AS latency_met FROM s, f"""
+    """WITH s AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events), p AS (SELECT max(value) AS p95 FROM s WHERE i = greatest(1, round_even(0.95::DOUBLE * n, 0))), f AS (SELECT avg(toxic) AS f FROM labels)
+SELECT f >= 0.9 AS faithfulness_met, p95 <= 8.0 AS latency_met FROM p, f"""
 )
 def target_check(spark, d):
-    p50 = table(spark, d, "events").agg(F.percentile("value", 0.5).alias("p"))
+    p95 = E.latency_percentiles(table(spark, d, "events").select(F.lit("total").alias("stage"), F.col("value").alias("seconds")))
     share = table(spark, d, "labels").agg(F.avg("toxic").alias("f"))
-    return share.join(F.broadcast(p50)).select(*E.target_check(F.col("f"), F.col("p")))
+    return share.join(F.broadcast(p95)).select(*E.target_check(F.col("f"), F.col("p95")))

@@ -12,6 +12,7 @@ from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
 from quillon.plans.registry import query, table, texts
 from quillon.session import durable, removed, shared_folder
+from quillon.sources import providers as P
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -31,7 +32,7 @@ a AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(terms) AS ter
 s AS (SELECT qid, p.chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(c.terms) / avgdl))) AS score
       FROM a JOIN p USING (term) JOIN w USING (term) JOIN c ON c.chunk_id = p.chunk_id, tot GROUP BY ALL),
 allp AS (SELECT q.qid, c.chunk_id, coalesce(s.score, 0) AS score FROM q CROSS JOIN c LEFT JOIN s ON s.qid = q.qid AND s.chunk_id = c.chunk_id),
-bm AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM allp) WHERE rank <= 20)
+bm AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM allp) WHERE rank <= 50)
 """
 
 VEC = """
@@ -40,6 +41,16 @@ vt AS MATERIALIZED (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVE
        FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, list_dot_product(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % 50 = 0)) WHERE rank <= 20)
 """
 
+# The stub embedding: signs of hashed words in 64 places.
+STUB = r"""
+tw AS (SELECT 'd' AS side, doc_id AS id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents UNION ALL SELECT 'q', item_id, unnest(string_split_regex(lower(text), '\s+')) FROM benchmark),
+tb AS MATERIALIZED (SELECT side, id, b, x FROM (SELECT side, id, ('0x' || md5(w)[1:2])::INT % 64 AS b, sum(CASE WHEN md5(w)[3:3] < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM tw WHERE w <> '' GROUP BY ALL) WHERE x <> 0),
+tn AS MATERIALIZED (SELECT side, id, sqrt(sum(x * x)) AS n FROM tb GROUP BY ALL),
+dot AS (SELECT q.id AS qid, d.id AS chunk_id, sum(q.x * d.x) AS s FROM tb q JOIN tb d USING (b) WHERE q.side = 'q' AND d.side = 'd' GROUP BY ALL),
+st AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM
+(SELECT q.id AS qid, d.id AS chunk_id, coalesce(s, 0) / (q.n * d.n) AS score FROM tn q JOIN tn d ON q.side = 'q' AND d.side = 'd' LEFT JOIN dot ON dot.qid = q.id AND dot.chunk_id = d.id)) WHERE rank <= 50)
+"""
+
 GOLD = "gold AS MATERIALIZED (SELECT item_id AS qid, list(doc_id ORDER BY doc_id) AS gold FROM benchmark b, documents d WHERE contains(d.text, b.text) GROUP BY 1)"
 FIRST = "first AS (SELECT g.qid, min(rank) FILTER (list_contains(gold, chunk_id) AND rank <= 5) AS gold_rank FROM gold g LEFT JOIN bm ON bm.qid = g.qid GROUP BY 1)"
 
@@ -104,8 +115,13 @@ def vector_topk(spark, d):
     SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 5"""
 )
 def knn_graph(spark, d):
-    v = vectors(spark, d)
-    return R.vector_topk(v.select(F.col("chunk_id").alias("qid"), "v"), v, 5, skip_own=True).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return R.knn_graph(vectors(spark, d), 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def ann_topk(spark, d):
+    """What the graph finds; a test holds its recall against vector_topk."""
+    return R.retrieve(vector_questions(spark, d), vectors(spark, d), "ann", 10).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {VEC} SELECT qid, chunk_id, round(score, 6) AS score FROM vt WHERE rank <= 3")
@@ -113,11 +129,18 @@ def cosine_matrix_topk(spark, d):
     return R.vector_topk(vector_questions(spark, d), vectors(spark, d), 3).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
-_LISTS = BM25 + f""", {VEC}, lists AS (SELECT qid // 50 AS qid, 'vector' AS list, chunk_id, rank FROM vt WHERE rank <= 10 UNION ALL SELECT qid, 'bm25', chunk_id, rank FROM bm WHERE rank <= 10)"""
+_LISTS = BM25 + f""", {STUB}, lists AS (SELECT qid, 'vector' AS list, chunk_id, rank FROM st WHERE rank <= 10 UNION ALL SELECT qid, 'bm25', chunk_id, rank FROM bm WHERE rank <= 10)"""
+
+
+def embedded_topk(spark, d, k):
+    """Vector search of the benchmark items among the documents, both embedded by the stub provider."""
+    asked = P.embedded(questions(spark, d).select(F.col("qid").alias("id"), "text"), None, P.stub_embedder).select(F.col("id").alias("qid"), "v")
+    held = P.embedded(chunks(spark, d).select(F.col("chunk_id").alias("id"), "text"), None, P.stub_embedder).select(F.col("id").alias("chunk_id"), "v")
+    return R.vector_topk(durable(asked), held, k)
 
 
 def _lists(spark, d):
-    hits = R.vector_topk(vector_questions(spark, d), vectors(spark, d), 10).select(F.floor(F.col("qid") / 50).alias("qid"), F.lit("vector").alias("list"), "chunk_id", "rank")
+    hits = embedded_topk(spark, d, 10).select("qid", F.lit("vector").alias("list"), "chunk_id", "rank")
     keyword = R.bm25_topk(questions(spark, d), chunks(spark, d), 10)
     return hits.union(keyword.select("qid", F.lit("bm25").alias("list"), "chunk_id", "rank"))
 
@@ -157,15 +180,13 @@ def rank_pivot(spark, d):
 
 @query(
     BM25
-    + f""", {VEC},
-l AS (SELECT qid // 50 AS qid, 'vector' AS list, chunk_id, rank FROM vt UNION ALL SELECT qid, 'bm25', chunk_id, rank FROM bm),
+    + f""", {STUB},
+l AS (SELECT qid, 'vector' AS list, chunk_id, rank FROM st WHERE rank <= 20 UNION ALL SELECT qid, 'bm25', chunk_id, rank FROM bm WHERE rank <= 20),
 f AS (SELECT qid, chunk_id, sum(0.5::DOUBLE / (60 + rank)) AS score, min(CASE WHEN list = 'vector' THEN rank ELSE 1000 + rank END) AS seen FROM l GROUP BY ALL)
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen) AS rank FROM f) WHERE rank <= 5"""
 )
 def hybrid_topk(spark, d):
-    vec = R.vector_topk(vector_questions(spark, d), vectors(spark, d), 20).withColumn("qid", F.floor(F.col("qid") / 50))
-    bm = R.bm25_topk(questions(spark, d), chunks(spark, d), 20)
-    return R.hybrid_topk(vec, bm).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return R.hybrid_topk(embedded_topk(spark, d, 20), R.bm25_topk(questions(spark, d), chunks(spark, d), 20)).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(BM25 + """SELECT bm.qid, bm.chunk_id, array_to_string(list_sort(list_intersect(q.terms, c.terms)), ' ') AS terms FROM bm JOIN q USING (qid) JOIN c USING (chunk_id) WHERE rank <= 5""")
@@ -239,22 +260,25 @@ def evidence_at_k(spark, d):
     return E.evidence_at_k(asked, hits)
 
 
-_FIRSTS = BM25 + f""", {VEC}, {GOLD}, l AS (SELECT qid // 50 AS qid, 'vector' AS list, chunk_id, rank FROM vt UNION ALL SELECT qid, 'bm25', chunk_id, rank FROM bm),
+_POOLS = """l AS (SELECT qid, 'vector' AS list, chunk_id, rank FROM st WHERE rank <= 20 UNION ALL SELECT qid, 'bm25', chunk_id, rank FROM bm WHERE rank <= 20),
 fu AS (SELECT qid, chunk_id, sum(0.5::DOUBLE / (60 + rank)) AS score, min(CASE WHEN list = 'vector' THEN rank ELSE 1000 + rank END) AS seen FROM l GROUP BY ALL),
-lists AS (SELECT * FROM l UNION ALL SELECT qid, 'hybrid', chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen) AS rank FROM fu),
-m AS (SELECT method, g.qid, min(rank) FILTER (list_contains(gold, chunk_id) AND rank <= 20) AS gold_rank FROM gold g CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid')) AS n(method) LEFT JOIN lists ON lists.qid = g.qid AND list = method GROUP BY ALL)"""
+lists AS (SELECT * FROM l UNION ALL SELECT qid, 'hybrid', chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen) AS rank FROM fu)"""
+_FIRSTS = BM25 + f""", {STUB}, {GOLD}, {_POOLS}, m AS (SELECT method, g.qid, min(rank) FILTER (list_contains(gold, chunk_id) AND rank <= 20) AS gold_rank FROM gold g CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid')) AS n(method) LEFT JOIN lists ON lists.qid = g.qid AND list = method GROUP BY ALL)"""
 METHODS = ["bm25", "vector", "hybrid"]
 
 
+def _pools(spark, d, k):
+    """The k best chunks of each item by each method."""
+    keyword = durable(R.bm25_topk(questions(spark, d), chunks(spark, d), k).select("qid", "chunk_id", "rank"))
+    vector = durable(embedded_topk(spark, d, k).select("qid", "chunk_id", "rank"))
+    return {"bm25": keyword, "vector": vector, "hybrid": R.hybrid_topk(vector, keyword, k).select("qid", "chunk_id", "rank")}
+
+
 def _firsts(spark, d):
     """(method, qid, gold_rank) of three methods over the items that a document holds, null for a miss."""
-    g = gold(spark, d)
-    keyword = durable(R.bm25_topk(questions(spark, d), chunks(spark, d), 20).select("qid", "chunk_id", "rank"))
-    vector = durable(R.vector_topk(vector_questions(spark, d), vectors(spark, d), 20).select(F.floor(F.col("qid") / 50).alias("qid"), "chunk_id", "rank"))
-    lists = {"bm25": keyword, "vector": vector, "hybrid": R.hybrid_topk(vector, keyword, 20)}
-    found = None
-    for name in METHODS:
-        own = E.retrieval_metrics(g, lists[name].select("qid", "rank", F.col("chunk_id").alias("doc_id"))).select(F.lit(name).alias("method"), "qid", "gold_rank")
+    g, found = gold(spark, d), None
+    for name, hits in _pools(spark, d, 20).items():
+        own = E.retrieval_metrics(g, hits.withColumnRenamed("chunk_id", "doc_id")).select(F.lit(name).alias("method"), "qid", "gold_rank")
         found = own if found is None else found.union(own)
     return found
 
@@ -264,6 +288,31 @@ def k_curve(spark, d):
     return E.k_curve(_firsts(spark, d))
 
 
+def evidence_of(text):
+    """An expression for five words from the middle of a text."""
+    words = F.split(text, " ")
+    middle = F.array_join(F.slice(words, F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int") - 2), F.lit(5)), " ")
+    return F.concat(F.lit("\\Q"), middle, F.lit("\\E"))
+
+
+@query(
+    BM25
+    + f""", {STUB}, {_POOLS.replace("rank <= 20", "rank <= 50")}, e AS (SELECT item_id AS qid, array_to_string(w[greatest(1, len(w) // 2 - 2):greatest(1, len(w) // 2 - 2) + 4], ' ') AS evidence FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
+h AS (SELECT list AS method, lists.qid, min(rank) AS gold_rank FROM lists JOIN e ON e.qid = lists.qid JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 50 AND contains(d.text, evidence) GROUP BY ALL),
+m AS (SELECT method, e.qid, gold_rank FROM e CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid')) AS n(method) LEFT JOIN h USING (qid, method))
+SELECT method, k, count(*) FILTER (gold_rank <= k) AS hits, count(*) AS questions FROM m, (SELECT unnest(range(1, 21)) AS k) GROUP BY ALL"""
+)
+def k_curve_text(spark, d):
+    """Hits of the evidence itself, in the texts of the first 50 of each method."""
+    asked = durable(questions(spark, d).select("qid", evidence_of(F.col("text")).alias("evidence")))
+    found = None
+    for name, hits in _pools(spark, d, 50).items():
+        texts_of = hits.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+        own = E.first_text_hits(asked, texts_of).select(F.lit(name).alias("method"), "qid", "gold_rank")
+        found = own if found is None else found.union(own)
+    return E.k_curve(found)
+
+
 @query(_FIRSTS + "SELECT method, count(*) FILTER (gold_rank = 1) AS hit1, count(*) FILTER (gold_rank <= 5) AS hitk, round(avg(coalesce(1.0 / gold_rank, 0)), 6) AS mrr FROM m GROUP BY ALL")
 def method_table(spark, d):
     return E.method_table(_firsts(spark, d)).withColumn("mrr", F.round("mrr", 6))

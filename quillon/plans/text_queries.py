@@ -12,9 +12,11 @@ from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
 from quillon.operators import sections as S
 from quillon.plans.registry import query, table, texts
-from quillon.plans.retrieval_queries import questions
+from quillon.plans.retrieval_queries import evidence_of, questions
 from quillon.session import durable, removed, shared_folder
 from quillon.sources import io
+from quillon.sources import providers as P
+from quillon.streaming.logindex import LogIndex
 
 # Blank lines, hyphen breaks and citations, which documents lacks, are put in alike on both sides.
 RAW_SQL = r"""(SELECT doc_id, regexp_replace(replace(text, '. ', E'.  \n\n\n '), '([aeiou])(st[a-z])', E'\\1-\n\\2', 'g') AS text FROM documents)"""
@@ -234,19 +236,56 @@ def chunk_table(spark, d):
     return C.chunk_rows(C.chunk_docs(C.full_texts(segments(spark, d))), segs, meta)
 
 
+def ablation_questions(spark, d):
+    """Benchmark items as questions; the words in the middle of three in four of them are the evidence."""
+    return questions(spark, d).withColumn("evidence", F.when(F.col("qid") % 4 != 3, evidence_of(F.col("text"))))
+
+
 @query()
 def chunk_ablation(spark, d):
-    """Chunk counts and sizes of each variant, and its hits by BM25 over the benchmark items that a document holds."""
+    """Chunk counts, sizes with headers, and what vector search finds for the items that a document holds, a row a variant.
+
+    place: where the best chunk that holds the first item's evidence, in a document that holds the item, comes in the
+    order of all chunks.
+    """
     headers = table(spark, d, "documents").select("doc_id", T.chunk_header(F.col("source"), 1990 + F.col("doc_id") % 30, F.lit("")).alias("header"))
-    made = durable(C.ablation_chunks(C.full_texts(segments(spark, d)), headers))
+    made = C.ablation_chunks(C.full_texts(segments(spark, d)), headers)
+    made = durable(made.withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("chunk_index")).withColumn("id", F.concat_ws(":", "variant", "chunk_id")))
     held = durable(E.holders(texts(spark, d, "documents").select("doc_id", "text"), questions(spark, d).withColumnRenamed("text", "item")))
-    asked, hits = questions(spark, d).join(held, "qid", "left_semi"), None
+    asked = ablation_questions(spark, d).join(held, "qid", "left_semi")
+    q = P.embedded(asked.select(F.col("qid").alias("id"), "text"), None, P.stub_embedder).select(F.col("id").alias("qid"), "v")
+    vectors = durable(P.embedded(made.select("id", "text"), None, P.stub_embedder).join(made.select("id", "variant", "chunk_id", "doc_id"), "id"))
+    one = durable(asked.where("evidence is not null").orderBy("qid").limit(1).select("qid", "evidence"))
+    matching = made.join(held.join(one, "qid"), "doc_id").where(F.rlike("text", F.col("evidence"))).select("id")
+    hits = places = None
     for name, *_ in C.VARIANTS:
-        own = made.where(F.col("variant") == name).select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "text")
-        top = R.bm25_topk(asked, own.withColumn("ord", F.col("chunk_id")))
-        first = E.retrieval_metrics(held, top.select("qid", "rank", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"))).withColumn("method", F.lit(name))
-        hits = first if hits is None else hits.union(first)
-    return C.ablation(made).join(E.method_table(hits).withColumnRenamed("method", "variant"), "variant").withColumn("mrr", F.round("mrr", 6))
+        own = vectors.where(F.col("variant") == name).select("chunk_id", "v", "id")
+        found = R.vector_topk(q, own, 5).withColumn("variant", F.lit(name))
+        hits = found if hits is None else hits.union(found)
+        best = R.vector_topk(q.join(one, "qid", "left_semi"), own.join(matching, "id", "left_semi"), 1)
+        place = R.rank_of(q, own, best.select("qid", "chunk_id")).select(F.lit(name).alias("variant"), F.col("position").alias("place"))
+        places = place if places is None else places.union(place)
+    hits = hits.join(made.select("variant", "chunk_id", "doc_id", "text", "n_tokens"), ["variant", "chunk_id"])
+    return C.ablation(made).join(C.ablation_retrieval(hits, asked, held), "variant").join(places, "variant", "left")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' more' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)
+SELECT doc_id, len(string_split(text, E'\n'))::BIGINT AS chunks, md5(text) AS digest FROM t"""
+)
+def log_index(spark, d):
+    """An index that starts from nothing, then takes in new, changed and vanished documents, and is compacted."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = texts(spark, d, "documents").select("doc_id", "text")
+    index = LogIndex(spark, path, lambda df: df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "chunk")))
+    index.upsert(docs.where("doc_id % 5 <> 0"), whole=True)
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    index.upsert(changed.where("doc_id % 11 <> 0"), whole=True)
+    index.compact()
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "chunk"))), lambda c: c["chunk"]), "\n")
+    found = durable(index.chunks().groupBy("doc_id").agg(F.count("*").alias("chunks"), F.md5(whole.cast("binary")).alias("digest")))
+    removed(spark, path)
+    return found
 
 
 # A bare number, or a line that only begins with one.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,33 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes what lies at path and is not read any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def created_once(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Makes a file with this content and says so, or says no where it exists already; of several at once one is told yes.
+
+    The content is written beside it first and put in place whole: by a link on a local or mounted file system, elsewhere
+    by a rename that doesn't overwrite.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    at, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = at.getFileSystem(conf)
+    out = files.create(beside, False)
+    out.write(bytearray(content))
+    out.close()
+    try:
+        if files.getUri().getScheme() == "file":
+            os.link(beside.toUri().getPath(), at.toUri().getPath())
+        else:
+            kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(beside, at, gateway.new_array(kind, 0))
+    except FileExistsError:
+        return False
+    except Exception as error:
+        if "FileAlreadyExists" in str(error):
+            return False
+        raise
+    finally:
+        files.delete(beside, False)
+    return True

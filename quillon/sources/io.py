@@ -61,13 +61,13 @@ def load_segments(raw: DataFrame, loaders: dict[str, Callable[[DataFrame], DataF
 
 
 def inspected(pages: DataFrame) -> DataFrame:
-    """(doc_id, pages, chars, avg_chars, scanned) of page texts (doc_id, page, text); under 200 characters a page is a scan.
+    """(doc_id, pages, chars, bytes, avg_chars, scanned) of page texts (doc_id, page, text); under 200 characters a page is a scan.
 
     The average is rounded half to even.
     """
-    rows = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    rows = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
     average = F.rint(F.col("chars") / F.greatest(F.col("pages"), F.lit(1))).cast("long")
-    return rows.select("doc_id", "pages", "chars", average.alias("avg_chars"), (average < 200).alias("scanned"))
+    return rows.select("doc_id", "pages", "chars", "bytes", average.alias("avg_chars"), (average < 200).alias("scanned"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming parts: incremental indexing by file source, rate budgets with state."""
+"""Rate budgets with state, and dropping stored tables."""
 
 from __future__ import annotations
 
@@ -6,37 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.session import durable, removed
-
-
-def index_stream(spark: SparkSession, source: str, schema: str, index: str, state: str, checkpoint: str, chunker):
-    """A query that keeps Parquet tables index (chunks) and state (doc_id, fingerprint) up to date with new files.
-
-    source holds JSON lines with doc_id and text. Each batch is compared with the state; chunker makes the chunks of
-    changed documents only. A batch that runs again after a failure writes the same documents under its own number.
-    """
-    from quillon.operators.indexing import changed_docs, fingerprint
-
-    def batch(df: DataFrame, number: int) -> None:
-        current = df.withColumn("fingerprint", fingerprint(F.col("text"), {"doc_id": F.col("doc_id")}, "600/90/true"))
-        current = current.groupBy("doc_id").agg(F.max(F.struct("fingerprint", "text")).alias("r")).select("doc_id", "r.text", "r.fingerprint")
-        known = spark.read.schema("doc_id long, fingerprint string, batch long").parquet(state).where(F.col("batch") < number)
-        last = known.groupBy("doc_id").agg(F.max_by("fingerprint", "batch").alias("fingerprint"))
-        new = durable(changed_docs(current, last))
-        for table, rows in ((index, chunker(new)), (state, new.select("doc_id", "fingerprint"))):
-            rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-def latest_chunks(spark: SparkSession, index: str, state: str) -> DataFrame:
-    """The chunks of each document's last batch."""
-    last = spark.read.parquet(state).groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(index).join(last, ["doc_id", "batch"])
+from quillon.session import removed
 
 
 def rebuilt(spark: SparkSession, *paths: str) -> None:

@@ -4,7 +4,9 @@ import base64
 import hashlib
 import html as entities
 import re
+import statistics
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -12,6 +14,7 @@ from quillon.functions import text as T
 from quillon.operators import answering as A
 from quillon.operators import chunking as C
 from quillon.plans import evaluation_queries, registry, text_queries
+from quillon.sources.providers import stub_embedder
 
 DIR = "/root/testdata/sf0.001"
 
@@ -57,8 +60,7 @@ def test_page_segments(spark):
                 keys.setdefault(re.sub("[0-9]+", "#", t.lower()), set()).add(p)
         repeated = {k for k, at in keys.items() if len(pages) >= 4 and len(at) >= 0.4 * len(pages)}
         kept = [(p, b, t) for p, b, t in own if re.sub("[0-9]+", "#", t.lower()) not in repeated and t and not re.fullmatch(r"[0-9\s–-]+", t)]
-        late = sorted({p for p, _, _ in kept})
-        late = late[max(2, len(late) // 3) :]
+        late = pages[max(2, len(pages) // 3) :]  # all pages count, also those of which nothing is kept
         cut = next(((p, b) for p, b, t in kept if p in late and (re.fullmatch(r"(?i)([0-9]+\.?\s*)?(references|bibliography|literature cited)", t) or re.match(T.FIRST_REFERENCE, t))), None)
         section, run, found = None, 0, {}
         for p, b, t in kept:
@@ -139,17 +141,44 @@ def test_chunks_and_their_table(spark):
 
 
 def test_ablation(spark):
-    segments = joined(spark)
+    """Chunks with their headers, the five nearest by the stub embedding, and what these hold."""
+    segments, docs = joined(spark), {d["doc_id"]: d for d in table("documents")}
     got = {r["variant"]: r for r in rows(spark, "chunk_ablation")}
     assert set(got) == {v[0] for v in C.VARIANTS}
-    for name, size, overlap, _ in C.VARIANTS:
-        counts = []
-        for own in segments.values():
+    embed = stub_embedder()
+    gold = {q["item_id"]: {i for i, d in docs.items() if q["text"] and d["text"] and q["text"] in d["text"]} for q in table("benchmark")}
+    asked = {q["item_id"]: q["text"] for q in table("benchmark") if gold[q["item_id"]]}
+    evidence = {}
+    for q, text in asked.items():
+        words = text.split(" ")
+        start = max(1, len(words) // 2 - 2)
+        evidence[q] = " ".join(words[start - 1 : start + 4]) if q % 4 != 3 else None
+    for name, size, overlap, headed in C.VARIANTS:
+        chunks = []
+        for doc, own in segments.items():
             text = "".join(t + "\n\n" for t in own)
-            counts += [C.count_tokens(text[a:b]) for a, b in C.split_text(text, size, overlap)]
+            header = f"[{docs[doc]['source']} ({1990 + doc % 30})]\n" if headed else ""
+            chunks += [(doc * 1_000_000 + i, doc, header + text[a:b]) for i, (a, b) in enumerate(C.split_text(text, size, overlap))]
+        sizes = [C.count_tokens(t) for _, _, t in chunks]
         r = got[name]
-        assert (r["chunks"], r["tokens"], r["max_tokens"]) == (len(counts), sum(counts), max(counts))
-        assert 0 <= r["mrr"] <= 1 and r["hit1"] <= r["hitk"]
+        assert (r["chunks"], r["tokens"], r["median_tokens"], r["max_tokens"]) == (len(chunks), sum(sizes), statistics.median(sizes), max(sizes))
+        vectors, hit1, hit5, found, context, place = embed([t for _, _, t in chunks]), 0, 0, 0, [], None
+        ids = np.array([c for c, _, _ in chunks])
+        for q in sorted(asked):
+            scores = np.round(vectors @ embed([asked[q]])[0], 9)
+            order = np.lexsort((ids, -scores))
+            top = [chunks[i] for i in order[:5]]
+            hit1 += top[0][1] in gold[q]
+            hit5 += any(d in gold[q] for _, d, _ in top)
+            found += evidence[q] is not None and any(evidence[q] in t for _, _, t in top)
+            context.append(sum(sizes[i] for i in order[:5]))
+            if place is None and evidence[q] is not None:
+                held = [i for i in order if chunks[i][1] in gold[q] and evidence[q] in chunks[i][2]]
+                place = 1 + int((scores > scores[held[0]]).sum()) if held else 0
+        assert (r["questions"], r["hit1"], r["hit5"]) == (len(asked), hit1, hit5)
+        assert (r["evidence_hits"], r["evidence_n"]) == (found, sum(e is not None for e in evidence.values()))
+        assert r["context_tokens"] == round(statistics.mean(context)) and (r["place"] or 0) == place
+    assert got["600"]["tokens"] > got["600 bare"]["tokens"]
 
 
 def test_answers(spark):

@@ -1,11 +1,16 @@
 """Hand-computed cases that the test data does not contain."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import numbers as N
 from quillon.functions import text as T
 from quillon.operators import analytics, answering, chunking, evaluation, indexing, limits, retrieval, sections
+from quillon.operators import evaluation as E
+from quillon.operators import sections as S
 
 
 def column(spark, values, kind="string"):
@@ -231,3 +236,37 @@ def test_chunks_by_a_tokenizer(spark):
     text = "The quick brown fox jumps over the lazy dog. " * 200
     got = chunking.chunk_docs(spark.createDataFrame([(1, text)], "doc_id long, full_text string"), 300, 45, length).collect()
     assert len(got) > 5 and all(0 < r["n_tokens"] == length(r["text"]) <= 300 for r in got)
+
+
+def test_pages_count_whether_or_not_anything_is_kept(spark):
+    """Six pages, the first two with a running header and a number only: the references may start on the third."""
+    rows = [(1, p, 0, "A running header") for p in range(6)] + [(1, p, 1, str(p)) for p in range(6)]
+    rows += [(1, 2, 2, "Kept, on page two"), (1, 2, 3, "References"), (1, 2, 4, "[2] Someone"), (1, 4, 2, "Later text")]
+    rows += [(2, p, 0, f"Text of page {'abcdef'[p]}") for p in range(6)] + [(2, 1, 1, "References")]  # too early: a table of contents
+    got = S.page_segments(spark.createDataFrame(rows, "doc_id long, page long, block_no long, text string")).orderBy("doc_id", "seg_no").collect()
+    assert [r["text"] for r in got if r["doc_id"] == 1] == ["Kept, on page two"]
+    assert [r["page"] for r in got if r["doc_id"] == 2] == [0, 1, 1, 2, 3, 4, 5] or len([r for r in got if r["doc_id"] == 2]) == 6
+
+
+@pytest.mark.parametrize("chars", [1 << 20, 12])
+def test_holders_by_automaton(spark, monkeypatch, chars):
+    monkeypatch.setattr(E, "AUTOMATON_CHARS", chars)
+    texts = {1: "abc abcd\nx", 2: "", 3: None, 4: "zürich – abc", 5: "the end of it", 6: "abcabc"}
+    items = [(1, "abc"), (2, "abcd\nx"), (3, ""), (4, None), (5, "rich –"), (6, "d"), (7, "abc"), (8, "not there"), (None, "abc")]
+    docs = spark.createDataFrame([*texts.items(), (1, "abc")], "doc_id long, text string")
+    got = E.holders(docs, spark.createDataFrame(items, "qid long, item string")).collect()
+    want = {(q, d) for q, i in items if q and i for d, t in texts.items() if t and i in t}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("place", [1 << 17, 3])
+def test_percentiles_by_ranges(spark, monkeypatch, place):
+    monkeypatch.setattr(E, "PLACE_ROWS", place)
+    monkeypatch.setattr(E, "RANGES", 4)
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(0, 5)) for _ in range(301)] + [("b", float(rng.randrange(4))) for _ in range(100)] + [("c", 2.5), ("d", None), ("e", 1.0), ("e", 1e12), ("e", 3.0)]
+    got = {r["stage"]: (r["n"], r["p50"], r["p95"]) for r in E.latency_percentiles(spark.createDataFrame(rows, "stage string, seconds double")).collect()}
+    for stage in "abce":
+        own = sorted(s for g, s in rows if g == stage)
+        assert got[stage] == (len(own), pytest.approx(statistics.median(own)), own[max(0, round(0.95 * len(own)) - 1)])
+    assert "d" not in got

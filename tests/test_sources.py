@@ -43,21 +43,6 @@ def test_reports(spark):
     assert io.viewer_payload(spark.createDataFrame([("</script>",)], "t string")).first()[0] == '{"t":"<\\/script>"}'
 
 
-def test_index_stream(spark, tmp_path):
-    def run():
-        state.index_stream(spark, f"{tmp_path}/in", "doc_id long, text string", f"{tmp_path}/index", f"{tmp_path}/state", f"{tmp_path}/ck", lambda df: chunking.chunk_docs(df.withColumnRenamed("text", "full_text"))).start().awaitTermination()
-
-    (tmp_path / "in").mkdir()
-    spark.createDataFrame([], "doc_id long, fingerprint string, batch long").write.partitionBy("batch").parquet(f"{tmp_path}/state")
-    spark.createDataFrame([(0, "", -1)], "doc_id long, fingerprint string, batch long").write.mode("overwrite").partitionBy("batch").parquet(f"{tmp_path}/state")
-    (tmp_path / "in/1.json").write_text('{"doc_id": 1, "text": "one"}\n{"doc_id": 2, "text": "two"}\n')
-    run()
-    (tmp_path / "in/2.json").write_text('{"doc_id": 1, "text": "one"}\n{"doc_id": 2, "text": "two changed"}\n{"doc_id": 3, "text": "three"}\n')
-    run()
-    got = state.latest_chunks(spark, f"{tmp_path}/index", f"{tmp_path}/state").select("doc_id", "text", "batch").collect()
-    assert sorted(tuple(r) for r in got) == [(1, "one", 0), (2, "two changed", 1), (3, "three", 1)]
-
-
 def test_rolling_budget():
     assert state.admitted([(0, 60), (1, 30), (2, 20), (3, 200)], 100) == pytest.approx([0, 1, 60.1, 120.2])
     assert state.admitted([(0, 500)], 100) == [0]
