@@ -17,9 +17,13 @@ _TOKENIZERS: dict = {}
 _COUNTED = re.compile(r"\w{1,4}|[^\w\s]")
 
 
-def count_tokens(text: str) -> int:
+def pieces(text: str) -> list[str]:
     """A deterministic stand-in for a tokenizer: pieces of at most four letters, and signs."""
-    return len(_COUNTED.findall(text))
+    return _COUNTED.findall(text)
+
+
+def count_tokens(text: str) -> int:
+    return len(pieces(text))
 
 
 def vocabulary_length(path: str) -> Callable[[str], int]:

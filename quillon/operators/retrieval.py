@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -50,12 +50,16 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def _scored(found: DataFrame, weight: DataFrame, totals: DataFrame, asked: DataFrame) -> DataFrame:
-    """(qid, chunk_id, ord, score) of the postings (chunk_id, ord, term, tf, dl) of asked terms (qid, term, times)."""
+def _gained(found: DataFrame, weight: DataFrame, totals: DataFrame) -> DataFrame:
+    """Postings (chunk_id, ord, term, tf, dl, …) with what one use of the term in a query adds to the chunk's score (gain)."""
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    gained = found.join(weight.select("term", "idf"), "term").join(F.broadcast(totals)).select("chunk_id", "ord", "term", gain.alias("gain"))
-    return gained.join(asked, "term").groupBy("qid", "chunk_id").agg(F.first("ord").alias("ord"), F.sum(F.col("times") * F.col("gain")).alias("score"))
+    return found.join(weight.select("term", "idf"), "term").join(F.broadcast(totals)).withColumn("gain", gain).drop("n", "avgdl", "idf")
+
+
+def _summed(gained: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """(qid, chunk_id, ord, score) of postings with gains, of asked terms (qid, term, times, …)."""
+    return gained.join(asked, on).groupBy("qid", "chunk_id").agg(F.first("ord").alias("ord"), F.sum(F.col("times") * F.col("gain")).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     # explode_outer: explode would first test each text for words, which tokenizes it twice.
     found = words.select("chunk_id", "ord", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).join(terms, "term", "left_semi")
     found = found.groupBy("chunk_id", "term").agg(F.first("ord").alias("ord"), F.first("dl").alias("dl"), F.count("*").alias("tf"))
-    return _scored(found, term_weights(counts), corpus_totals(counts), asked)
+    return _summed(_gained(found, term_weights(counts), corpus_totals(counts)), asked, ["term"])
 
 
 #: Parts of a stored index, by the hash of the term.
@@ -81,12 +85,18 @@ def _part(term: str) -> Column:
     return F.pmod(F.crc32(F.col(term).cast("binary")), F.lit(INDEX_PARTS)).cast("int")
 
 
+#: Chunks of a range, by their place in the corpus; ranges that a query looks at before it knows how good its k-th chunk is.
+RANGE_CHUNKS, FIRST_RANGES = 256, 2
+
+
 def store_index(chunks: DataFrame, path: str) -> None:
-    """Writes the index of chunks (chunk_id, ord, text) to path: postings and term weights by part and term, and totals."""
+    """Writes the index of chunks (chunk_id, ord, text) to path: postings with gains, their best by term and range, the corpus' first chunks."""
     counts = durable(term_counts(chunks))
-    for name, df in (("postings", postings(chunks)), ("terms", term_weights(counts))):
-        df.withColumn("part", _part("term")).repartition("part", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
-    corpus_totals(counts).write.mode("overwrite").parquet(f"{path}/totals")
+    found = _gained(postings(chunks), term_weights(counts), corpus_totals(counts)).withColumn("range", F.floor(F.col("ord") / RANGE_CHUNKS))
+    dealt = found.withColumn("part", _part("term")).repartition("part", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("part", "term", "range")
+    dealt.select("chunk_id", "ord", "term", "range", "gain", "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    held = chunks.sparkSession.read.parquet(f"{path}/postings").groupBy("part", "term", "range").agg(F.max("gain").alias("best"), F.count("*").alias("n"))
+    held.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/ranges")
     chunks.orderBy("ord").limit(FIRST_CHUNKS).select("chunk_id", "ord").write.mode("overwrite").parquet(f"{path}/first")
 
 
@@ -94,17 +104,54 @@ def store_index(chunks: DataFrame, path: str) -> None:
 FIRST_CHUNKS = 1000
 
 
-def stored_topk(spark, path: str, queries: DataFrame, k: int = 5) -> DataFrame:
-    """bm25_topk of queries (qid, text) from a stored index: no text is read, and of postings and terms only the asked parts."""
-    if k > FIRST_CHUNKS:
-        raise ValueError(f"a stored index fills up lists of at most {FIRST_CHUNKS} chunks")
+def _bounded(spark, path: str, queries: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The asked terms (qid, term, times); the ranges that hold one (qid, range, bound, n), n counting postings; the parts to read.
+
+    No chunk of a range scores above the range's bound, the sum of the terms' best gains there; a chunk without a term
+    gains nothing from it, so gains below zero don't count.
+    """
     asked = durable(_asked(queries).withColumn("part", _part("term")))
     parts = sorted(r["part"] for r in asked.select("part").distinct().collect())  # at most INDEX_PARTS rows
-    terms = asked.select("term").distinct()
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    held = {name: read(name).where(F.col("part").isin(parts)).drop("part").join(terms, "term", "left_semi") for name in ("postings", "terms")}
-    scored = _scored(held["postings"], held["terms"], read("totals"), asked.drop("part"))
-    return _filled(scored, queries, read("first").orderBy("ord").limit(k), k)
+    held = spark.read.parquet(f"{path}/ranges").where(F.col("part").isin(parts)).drop("part")
+    bounds = held.join(asked, "term").groupBy("qid", "range").agg(F.sum(F.col("times") * F.greatest("best", F.lit(0.0))).alias("bound"), F.sum("n").alias("n"))
+    return asked.drop("part"), durable(bounds), parts
+
+
+def stored_scores(spark, path: str, queries: DataFrame, k: int, first_ranges: int = FIRST_RANGES) -> tuple[DataFrame, DataFrame]:
+    """Scores (qid, chunk_id, ord, score) with the k best of each query among them, and the ranges read (qid, range, bound, n).
+
+    A query reads the postings of its terms in the ranges of highest bound first, a few, then four times as many, and so
+    on. Its k-th score so far is a floor: ranges whose bound doesn't reach it are not read any more.
+    """
+    asked, bounds, parts = _bounded(spark, path, queries)
+    posts, order = stored_postings(spark, path, parts), Window.partitionBy("qid").orderBy(F.desc("bound"), "range")
+    left = durable(bounds.withColumn("_p", F.row_number().over(order)))
+    upto, step, found, read = first_ranges, first_ranges, None, None
+    while True:
+        now = left.where(F.col("_p") <= upto)
+        scores = durable(_summed(posts, asked.join(now.select("qid", "range"), "qid"), ["term", "range"]))
+        found, read = (scores, now) if found is None else (found.union(scores), read.union(now))
+        floor = ranked(found, k).where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
+        # Sums of gains may differ in their last digits from the bound's.
+        reach = F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-9 * (1 + F.abs("floor")))
+        left = durable(left.where(F.col("_p") > upto).join(floor, "qid", "left").where(reach).drop("floor"))
+        if left.isEmpty():
+            return found, read.drop("_p")
+        step *= 4
+        upto += step
+
+
+def stored_postings(spark, path: str, parts: list[int]) -> DataFrame:
+    """The postings of a stored index in these parts; the others' files are not opened."""
+    return spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts)).drop("part")
+
+
+def stored_topk(spark, path: str, queries: DataFrame, k: int = 5, first_ranges: int = FIRST_RANGES) -> DataFrame:
+    """bm25_topk of queries (qid, text) from a stored index: no text is read, and of the asked terms' postings only those in ranges that may hold one of the k best."""
+    if k > FIRST_CHUNKS:
+        raise ValueError(f"a stored index fills up lists of at most {FIRST_CHUNKS} chunks")
+    scores, _ = stored_scores(spark, path, queries, k, first_ranges)
+    return _filled(scores, queries, spark.read.parquet(f"{path}/first").orderBy("ord").limit(k), k)
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

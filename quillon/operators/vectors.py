@@ -40,26 +40,27 @@ def by_length(ids: pa.Array, v: pa.Array):
 
 
 class Best:
-    """For each query the k best of the scores seen, of equal ones those with the smaller id."""
+    """For each query the k best of the scores seen, to nine digits; of equal ones those with the smaller id."""
 
     def __init__(self, queries: int, k: int) -> None:
         self.k = k
-        self.scores, self.ids = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+        self.keys, self.scores = np.full((queries, k), -np.inf), np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: queries x rows, the rows having these ids. Rows below the k-th score of what is held are left at once."""
-        least = self.scores[:, -1]
-        if scores.shape[1] > self.k:
-            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        q, row = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        keys, least = np.round(scores, 9), self.keys[:, -1]
+        if keys.shape[1] > self.k:
+            least = np.maximum(least, np.partition(keys, -self.k, axis=1)[:, -self.k])
+        q, row = np.nonzero((keys >= least[:, None]) & (keys > -np.inf))
         if not len(q):
             return
         all_q = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), q])
-        all_scores, all_ids = np.concatenate([self.scores.ravel(), scores[q, row]]), np.concatenate([self.ids.ravel(), ids[row]])
-        order = np.lexsort((all_ids, -all_scores, all_q))
+        all_keys, all_ids = np.concatenate([self.keys.ravel(), keys[q, row]]), np.concatenate([self.ids.ravel(), ids[row]])
+        order = np.lexsort((all_ids, -all_keys, all_q))
         first = np.searchsorted(all_q[order], np.arange(len(self.ids)))
         order = order[first[:, None] + np.arange(self.k)]
-        self.scores, self.ids = all_scores[order], all_ids[order]
+        self.keys, self.ids, self.scores = all_keys[order], all_ids[order], np.concatenate([self.scores.ravel(), scores[q, row]])[order]
 
     def rows(self, qids: np.ndarray) -> pa.RecordBatch:
         q, place = np.nonzero(np.isfinite(self.scores))
@@ -77,7 +78,7 @@ class _TopK:
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         step = max(16, _SCORES // max(1, len(self.q)))
         for i in range(0, len(ids), step):
-            scores = np.round(self.q @ x[i : i + step].T, 9)
+            scores = self.q @ x[i : i + step].T
             if self.skip_own:
                 scores[self.qids[:, None] == ids[None, i : i + step]] = -np.inf
             self.best.add(scores, ids[i : i + step])

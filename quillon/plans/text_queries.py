@@ -288,6 +288,21 @@ def log_index(spark, d):
     return found
 
 
+def numbered_pieces():
+    """The stand-in tokenizer's pieces, each with a number that its digest gives."""
+    import hashlib
+
+    return lambda text: [(int(hashlib.md5(p.encode(), usedforsecurity=False).hexdigest()[:7], 16), p) for p in C.pieces(text)]
+
+
+@query(
+    r"""SELECT doc_id, pos - 1 AS pos, ('0x' || md5(p[pos])[1:7])::BIGINT AS token_id, p[pos] AS piece FROM (SELECT doc_id, p, generate_subscripts(p, 1) AS pos FROM
+(SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]{1,4}|[^\p{L}\p{N}_\s]') AS p FROM documents))"""
+)
+def token_pieces(spark, d):
+    return C.token_pieces(texts(spark, d, "documents").select("doc_id", "text"), numbered_pieces())
+
+
 # A bare number, or a line that only begins with one.
 @query(
     r"""SELECT doc_id, line, regexp_full_match(t, '[0-9\s–-]+') AS bare FROM (SELECT doc_id, line, CASE line % 4 WHEN 0 THEN doc_id || ' – ' || line WHEN 1 THEN line || '-' || doc_id || ' x' WHEN 2 THEN ' ' || line ELSE text END AS t FROM """ + _LINES + ")"

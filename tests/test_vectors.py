@@ -112,3 +112,19 @@ def test_a_search_reads_a_part_of_the_nodes():
 def test_strategies(spark):
     with pytest.raises(ValueError, match="ann"):
         R.retrieve(None, None, "other")
+
+
+@pytest.mark.parametrize(("first", "size"), [(1, 4), (2, 16), (2, 256)])
+def test_pruned_keyword_search_is_exact(spark, tmp_path, monkeypatch, first, size):
+    """Ranges below the k-th score are not read, and the lists are those of bm25_topk."""
+    monkeypatch.setattr(R, "RANGE_CHUNKS", size)
+    d = "/root/testdata/sf0.001"
+    q, c = Q.questions(spark, d), Q.chunks(spark, d)
+    R.store_index(c, str(tmp_path / "i"))
+    want = plain(R.bm25_topk(q, c, 5))
+    assert plain(R.stored_topk(spark, str(tmp_path / "i"), q, 5, first)) == want
+    _, bounds, _ = R._bounded(spark, str(tmp_path / "i"), q)
+    _, read = R.stored_scores(spark, str(tmp_path / "i"), q, 5, first)
+    some, every = (x.agg({"n": "sum"}).first()[0] for x in (read, bounds))
+    print("postings read", some, "of", every)
+    assert some <= every and (size > 16 or some < every)
