@@ -41,8 +41,7 @@ def table(n, d=6, seed=1, copies=0, step=1):
     return rows + [(step * (n + i), rows[3][1], i % 3) for i in range(copies)]
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-@pytest.mark.parametrize("first", [8, 1])
+@pytest.mark.parametrize(("block", "first"), [(4096, 8), (8, 1)])
 def test_against_all_pairs(spark, monkeypatch, block, first):
     """Small blocks and one visit a round; a third of the rows is one vector, so ties reach over blocks."""
     monkeypatch.setattr(N, "FIRST_VISITS", first)
