@@ -17,6 +17,14 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """value as SQL rounds doubles: the product with a power of ten, to the nearest integer, halves away from zero, divided again.
+
+    Spark's round takes the decimal digits that the double is printed with, so it carries 2.675 to 2.68.
+    """
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def edge_bin(value: Column, low: float, high: float, bins: int) -> Column:
     """Number of the equal-width bin, with everything outside in the edge bins."""
     return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((value - low) / (high - low) * bins).cast("int")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.numbers import edge_bin, upper_median
+from quillon.functions.numbers import edge_bin, rounded, upper_median
 
 
 def token_efficiency(chunks: DataFrame) -> DataFrame:
     """(doc_id, chars, tokens, chars_per_token) of chunks (doc_id, chars, tokens); ratio of sums, two decimals."""
-    return chunks.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens")).withColumn("chars_per_token", F.round(F.col("chars") / F.nullif(F.col("tokens"), F.lit(0)), 2))
+    return chunks.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens")).withColumn("chars_per_token", rounded(F.col("chars") / F.nullif(F.col("tokens"), F.lit(0)), 2))
 
 
 def bottom_top_n(rows: DataFrame, value: str, key: str, n: int = 8) -> DataFrame:
