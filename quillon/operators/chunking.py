@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions.arrow import sliced
 
 #: Where a text is cut, the coarsest place first.
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ", "")
@@ -45,15 +47,20 @@ def full_texts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("doc_id").agg(F.array_join(parts, "").alias("full_text"))
 
 
+def full_text_of_lines(text: Column) -> Column:
+    """What full_texts gives for a text whose lines are its segments, in the row that holds it."""
+    return F.concat(F.replace(text, F.lit("\n"), F.lit("\n\n")), F.lit("\n\n"))
+
+
 def segment_offsets(segments: DataFrame) -> DataFrame:
     """segments with the 0-based start of each in its document's full text."""
     before = Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
     return segments.withColumn("start", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("long"))
 
 
-def _pieces(text: str, start: int, end: int, size: int, separators: tuple[str, ...], length: Callable[[str], int]):
+def _pieces(start: int, end: int, size: int, separators: tuple[str, ...], text: str, length: Callable[[int, int], int]):
     """(start, end) of pieces of text[start:end] of at most size tokens; separators stay at their piece's end."""
-    if length(text[start:end]) <= size or end - start <= 1:
+    if length(start, end) <= size or end - start <= 1:
         yield start, end
         return
     for i, mark in enumerate(separators):
@@ -62,24 +69,33 @@ def _pieces(text: str, start: int, end: int, size: int, separators: tuple[str, .
             while at < end:
                 hit = text.find(mark, at, end)
                 stop = end if hit < 0 else hit + len(mark)
-                yield from _pieces(text, at, stop, size, separators[i:], length) if (at, stop) != (start, end) else _pieces(text, at, stop, size, separators[i + 1 :], length)
+                yield from _pieces(at, stop, size, separators[i:], text, length) if (at, stop) != (start, end) else _pieces(at, stop, size, separators[i + 1 :], text, length)
                 at = stop
             return
     middle = (start + end) // 2  # no separator: halves
-    yield from _pieces(text, start, middle, size, separators, length)
-    yield from _pieces(text, middle, end, size, separators, length)
+    yield from _pieces(start, middle, size, separators, text, length)
+    yield from _pieces(middle, end, size, separators, text, length)
 
 
-def split_text(text: str, size: int = 600, overlap: int = 90, length: Callable[[str], int] = count_tokens) -> list[tuple[int, int]]:
+def split_text(text: str, size: int = 600, overlap: int = 90, length: Callable[[str], int] = count_tokens, known: dict | None = None) -> list[tuple[int, int]]:
     """(start, end) of chunks of at most size tokens; neighbours share whole pieces of at most overlap tokens.
 
-    The chunks cover every character but white space at a chunk's ends. A token that a cut splits may count twice.
+    The chunks cover every character but white space at a chunk's ends. A token that a cut splits may count twice. known
+    keeps the tokens by (start, end), for other sizes of the same text.
     """
+    known = {} if known is None else known
+
+    def counted(a: int, b: int) -> int:
+        n = known.get((a, b))
+        if n is None:
+            n = known[a, b] = length(text[a:b])
+        return n
+
     chunks: list[tuple[int, int]] = []
     held: list[tuple[int, int, int]] = []
     total = 0
-    for a, b in _pieces(text, 0, len(text), size, SEPARATORS, length):
-        n = length(text[a:b])
+    for a, b in _pieces(0, len(text), size, SEPARATORS, text, counted):
+        n = counted(a, b)
         if held and total + n > size:
             chunks.append((held[0][0], held[-1][1]))
             while held and (total > overlap or total + n > size):
@@ -101,7 +117,7 @@ def chunk_docs(full: DataFrame, size: int = 600, overlap: int = 90, length: Call
     """(doc_id, chunk_index, start, end, text, n_tokens) of full texts (doc_id, full_text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
@@ -171,25 +187,28 @@ def chunk_rows(chunks: DataFrame, segments: DataFrame, meta: DataFrame, header:
 VARIANTS = (("300", 300, 45, True), ("600", 600, 90, True), ("600 bare", 600, 90, False), ("1200", 1200, 180, True))
 
 
-def ablation_chunks(full: DataFrame, headers: DataFrame, variants=VARIANTS, length: Callable[[str], int] = count_tokens) -> DataFrame:
+def ablation_chunks(full: DataFrame, headers: DataFrame | None, variants=VARIANTS, length: Callable[[str], int] = count_tokens) -> DataFrame:
     """(variant, doc_id, chunk_index, text, n_tokens) of every variant of full texts, in one pass over them.
 
     headers (doc_id, header) go in front of the chunks of the variants that carry them; n_tokens counts the chunk with it.
+    Without headers, full has the column header itself, and no text is shuffled.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text, header in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                known: dict = {}
                 for name, size, overlap, headed in variants:
-                    for i, (a, b) in enumerate(split_text(text or "", size, overlap, length)):
+                    for i, (a, b) in enumerate(split_text(text or "", size, overlap, length, known)):
                         chunk = ((header or "") if headed else "") + text[a:b]
                         rows.append((name, doc_id, i, chunk, length(chunk)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["variant", "doc_id", "chunk_index", "text", "n_tokens"])
 
-    rows = full.join(headers.select("doc_id", "header"), "doc_id", "left").select(F.col("doc_id").cast("long"), "full_text", "header")
+    headed = full if headers is None else full.join(headers.select("doc_id", "header"), "doc_id", "left")
+    rows = headed.select(F.col("doc_id").cast("long"), "full_text", "header")
     return rows.mapInArrow(run, "variant string, doc_id long, chunk_index int, text string, n_tokens int")
 
 
@@ -217,14 +236,19 @@ def ablation_retrieval(hits: DataFrame, questions: DataFrame, gold: DataFrame) -
     )
 
 
+#: Characters of the texts whose pieces a task holds as Python objects at once.
+PIECE_BYTES = 1 << 18
+
+
 def token_pieces(texts: DataFrame, encode: Callable[[str], list[tuple[int, str]]]) -> DataFrame:
     """(doc_id, pos, token_id, piece) of texts (doc_id, text) under a tokenizer given as a function to (id, piece) pairs."""
 
     def run(batches):
-        for batch in batches:
-            rows = [(d, n, i, p) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, (i, p) in enumerate(encode(t or ""))]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "pos", "token_id", "piece"])
+        for batch in sliced(batches, PIECE_BYTES):
+            found = [encode(t or "") for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(f) for f in found], dtype=np.int64)
+            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids, pieces = pa.array([i for f in found for i, _ in f], pa.int64()), pa.array([p for f in found for _, p in f], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(pos, pa.int32()), ids, pieces], names=["doc_id", "pos", "token_id", "piece"])
 
     return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pos int, token_id long, piece string")
