@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42) -> Dat
 
 
 class BKTree:
-    """A BK-tree over 64-bit integers under Hamming distance."""
+    """A BK-tree over integers of any width under Hamming distance."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
@@ -273,14 +273,25 @@ class _Block:
         self.labels = np.array(labels, dtype=np.int64)
         self.whole = (np.array(cut, dtype=np.int64)[:, None] >> np.arange(MINIMA + MORE) & 1) == 0
 
-    def near(self, i: int, others: slice, last: int, sub: int, similarity: float) -> np.ndarray:
-        """Which of the others, of another label, may be that similar to member i and weren't compared with it in an earlier shard.
+    def found(self, one: bool, right: int, similarity: float):
+        """(i, indices): the members from the second on, or those of the right block, and whom of the earlier or the left ones a BK-tree of the wide fingerprints finds within the radius of that similarity."""
+        tree, radius = BKTree(), max(radius_of(similarity, 1), radius_of(similarity, 64))
+        values = [int.from_bytes(row.tobytes(), "little") for row in self.fps]
+        for value in values[: 1 if one else right]:
+            tree.add(value)
+        for i in range(1 if one else right, len(values)):
+            yield i, np.sort(np.array(tree.within(values[i], radius), dtype=np.int64))
+            if one:
+                tree.add(values[i])
+
+    def near(self, i: int, at: np.ndarray, last: int, sub: int, similarity: float) -> np.ndarray:
+        """Which of the found ones, of another label, may be that similar to member i and weren't compared with it in an earlier shard.
 
         Two members met in the shard of an earlier minimum that they share, unless that shard was cut.
         """
-        n, at = self.sizes[i], np.arange(others.start, others.stop)
-        few, many = np.minimum(self.sizes[others], n), np.maximum(self.sizes[others], n)
-        at = at[(few >= similarity * many) & (self.labels[others] != self.labels[i])]
+        n = self.sizes[i]
+        few, many = np.minimum(self.sizes[at], n), np.maximum(self.sizes[at], n)
+        at = at[(few >= similarity * many) & (self.labels[at] != self.labels[i])]
         for before in (slice(0, last), slice(MINIMA, MINIMA + max(0, sub))):
             at = at[~((self.mins[at, before] == self.mins[i, before]) & self.whole[i, before]).any(axis=1)]
         if len(at):
@@ -386,8 +397,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
 
     Similarity is the Jaccard similarity of the sets of word shingles, each told by a 64-bit hash, and a link is made only
     where it was computed from the two sets. The pairs to compare are those that share one of MINIMA minimum hashes (two
-    documents at 0.8 share none of six in 6 of 100,000 cases) and whose wide SimHash fingerprints lie within radius_of;
-    each is compared in the shard of its first shared minimum that isn't cut, and in the cut ones before it.
+    documents at 0.8 share none of six in 6 of 100,000 cases) and whose wide SimHash fingerprints lie within radius_of, as
+    a BK-tree of the shard's fingerprints finds them; each is compared in the shard of its first shared minimum that isn't cut, and in the cut ones before it.
     A shard with over WIDE_SHARD_ROWS members is first compared with LEADERS of them; members that this joins to one
     group are not compared with each other any more. Where others are left, they are compared in pairs of blocks that have
     a task each; a shard of over CUT_BLOCKS blocks is cut by MORE further minima before, so that texts which only share a
@@ -426,8 +437,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
 
         for shard, one, right, (sig, size, fp, mins, label, cut) in _tasks(batches, ["sig", "size", "fp", "mins", "label", "cut"]):
             block, found = _Block(fp, size, mins, label, cut), np.zeros(len(sig), dtype=bool)
-            for i in range(1 if one else right, len(sig)):
-                near = block.near(i, slice(0, i if one else right), shard[0], shard[2], similarity)
+            for i, at in block.found(one, right, similarity):
+                near = block.near(i, at, shard[0], shard[2], similarity)
                 found[near] = True
                 found[i] |= len(near) > 0
             for i in np.flatnonzero(found).tolist():
@@ -450,8 +461,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
                     i = parent[i]
                 return i
 
-            for i in range(1 if one else right, len(rep)):
-                for j in block.near(i, slice(0, i if one else right), shard[0], shard[2], similarity).tolist():
+            for i, at in block.found(one, right, similarity):
+                for j in block.near(i, at, shard[0], shard[2], similarity).tolist():
                     a, b = root(j), root(i)
                     if a != b and alike(sets[j], sets[i], similarity):
                         parent[b] = a
