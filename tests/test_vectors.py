@@ -128,3 +128,18 @@ def test_pruned_keyword_search_is_exact(spark, tmp_path, monkeypatch, first, siz
     some, every = (x.agg({"n": "sum"}).first()[0] for x in (read, bounds))
     print("postings read", some, "of", every)
     assert some <= every and (size > 16 or some < every)
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_a_stored_index_moves_blocks_not_postings(spark, tmp_path, monkeypatch, few):
+    """A block holds a term's postings in a range; lists are those of bm25_topk, also where weights are below zero and lists are filled up."""
+    monkeypatch.setattr(R, "RANGE_CHUNKS", 16)
+    texts = ["river stone river", "river stone", "river", "", None, "river moss stone", *("river stone moss fern" for _ in range(60))]
+    chunks = spark.createDataFrame([(1000 - i, i, t) for i, t in enumerate(texts)], "chunk_id long, ord long, text string")
+    queries = spark.createDataFrame([(1, "river stone"), (2, "moss moss fern"), (3, "absent"), (4, "river")], "qid long, text string")
+    R.store_index(chunks, str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).where("term = 'river'").count() == 5  # of 64 postings, a row a range
+    got, want = R.stored_topk(spark, str(tmp_path / "i"), queries, 5, 1, few), R.bm25_topk(queries, chunks, 5)
+    assert plain(got) == plain(want)
+    counts = [(r["qid"], r["chunk_id"]) for r in R.stored_scores(spark, str(tmp_path / "i"), queries, 5, 1, few)[0].collect()]
+    assert len(counts) == len(set(counts))
