@@ -50,22 +50,23 @@ def page_segments(blocks: DataFrame) -> DataFrame:
     """(doc_id, seg_no, page, section, text): kept blocks joined by page and section.
 
     Drops empty and bare-number blocks and repeated lines, stops at the references; a heading opens a segment, stays in
-    its text, and names the section until the next one.
+    its text, and names the section until the next one. Texts are dealt by document once; a document's repeated lines, of
+    which there are at most two and a half times as many as a page has blocks, come to it in an array.
     """
-    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    clean = page_places(blocks).withColumn("text", text)
-    clean = clean.withColumn("_key", T.line_key(F.col("text"))).join(
-        repeated_lines(blocks).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti"
-    )
-    clean = refs_cutoff(clean.drop("_key").where((F.col("text") != "") & ~T.is_bare_number(F.col("text"))))
+    keys = repeated_lines(blocks).groupBy("doc_id").agg(F.collect_list("key").alias("_repeated"))
+    # Headings are found before texts are dealt out: rows that come back from Python would be dealt out again.
+    named = blocks.withColumn("text", T.trimmed(F.col("text"))).withColumn("_h", T.heading_of(T.clean_text(F.col("text"))))
+    clean = page_places(named).join(keys, "doc_id", "left")
+    repeated = F.coalesce(F.array_contains("_repeated", T.line_key(F.col("text"))), F.lit(False))
+    clean = refs_cutoff(clean.where((F.col("text") != "") & ~T.is_bare_number(F.col("text")) & ~repeated).drop("_repeated"))
     order = Window.partitionBy("doc_id").orderBy("page", "block_no")
-    marked = clean.withColumn("_h", T.heading_of(T.clean_text(F.col("text"))))
-    marked = marked.withColumn("section", F.last("_h", ignorenulls=True).over(order)).withColumn("_run", F.count("_h").over(order))
+    marked = clean.withColumn("section", F.last("_h", ignorenulls=True).over(order)).withColumn("_run", F.count("_h").over(order))
     joined = marked.groupBy("doc_id", "page", "_run").agg(
         F.first("section").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), "\n\n").alias("text")
     )
     number = Window.partitionBy("doc_id").orderBy("page", "_run")
-    return joined.select("doc_id", (F.row_number().over(number) - 1).alias("seg_no"), "page", "section", T.clean_text(F.col("text")).alias("text"))
+    numbered = joined.withColumn("seg_no", F.row_number().over(number) - 1)
+    return numbered.select("doc_id", "seg_no", "page", "section", T.clean_text(F.col("text")).alias("text"))
 
 
 def wiki_sections(pages: DataFrame) -> DataFrame:

@@ -270,3 +270,19 @@ def test_percentiles_by_ranges(spark, monkeypatch, place):
         own = sorted(s for g, s in rows if g == stage)
         assert got[stage] == (len(own), pytest.approx(statistics.median(own)), own[max(0, round(0.95 * len(own)) - 1)])
     assert "d" not in got
+
+
+def test_cleaning_steps_are_left_out_only_where_they_change_nothing(spark):
+    """Texts of odd characters, cleaned as by all steps; the plan deals blocks out by document, not by their keys."""
+    draw = random.Random(5)
+    odd = ["a", "B", "-", "\n", " ", "\t", "­", " ", "\x1c", "\x1f", "é", "é", " ", "\r", "ﬁ", "1", "."]
+    texts = [*("".join(draw.choices(odd, k=draw.randrange(12))) for _ in range(3000)), "a-\nb-\nc", " a ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = T.replaced(F.translate(T.nfkc(F.col("text")), "­", ""), *T.CLEANING)
+    white = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    wrong = df.select("text", T.clean_text(F.col("text")).alias("a"), plain.alias("b"), T.trimmed(F.col("text")).alias("c"), white.alias("d"))
+    assert wrong.where("not (a <=> b) or not (c <=> d)").collect() == []
+    blocks = spark.createDataFrame([(1, 0, 0, "x")], "doc_id long, page long, block_no long, text string")
+    plan = S.page_segments(blocks)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert len(moved) == 6 and "LeftAnti" not in plan  # five of them deal keys and pages, one texts
