@@ -286,3 +286,24 @@ def test_cleaning_steps_are_left_out_only_where_they_change_nothing(spark):
     plan = S.page_segments(blocks)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
     assert len(moved) == 6 and "LeftAnti" not in plan  # five of them deal keys and pages, one texts
+
+
+def test_keywords_of_batches_are_those_of_the_expression(spark):
+    """Found on the bytes of all texts at once; texts meet where one ends with a letter and the next begins with one."""
+    import pyarrow as pa
+
+    from quillon.functions.arrow import keywords
+
+    draw = random.Random(9)
+    odd = ["a", "B", "7", "-", ".", "'", ",", " ", "\n", "the", "é", "K", "İ", "ß", "\U0001f600", "AND", "_", "İ", "x-y"]
+    texts = [*("".join(draw.choices(odd, k=draw.randrange(14))) for _ in range(3000)), "", None, "ab", "cd", ".e", "f.", "", "g", "-", "h", None]
+    want = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", T.tokens(F.col("text")).alias("t")).collect()
+    for array in (pa.array(texts, pa.string()), pa.array(["zz", *texts], pa.string()).slice(1)):
+        row, codes, words = keywords(array)
+        got = [[] for _ in texts]
+        for r, w in zip(row.tolist(), words.take(pa.array(codes)).to_pylist(), strict=True):
+            got[r].append(w)
+        assert got == [r["t"] or [] for r in sorted(want)]
+    assert [len(x) for x in keywords(pa.array([], pa.string()))] == [len(x) for x in keywords(pa.array([None, ""], pa.string()))] == [0, 0, 0]
+    chunks = spark.createDataFrame([(1, 1, "a stone")], "chunk_id long, ord long, text string")
+    assert "regexp_extract_all" not in retrieval.term_counts(chunks)._jdf.queryExecution().toString()
