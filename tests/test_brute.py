@@ -202,6 +202,28 @@ def test_answers(spark):
         assert got[q]["refused"] == (route != "generate") and got[q]["refusal_stage"] == route.removeprefix("refuse:") * (route != "generate")
 
 
+def test_answers_read_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(evaluation_queries, "stub_grader", lambda: lambda question, context: (True, ""))
+    monkeypatch.setattr(evaluation_queries, "stub_writer", lambda: lambda question, context: context)
+    docs = {d["doc_id"]: d["text"] for d in table("documents")}
+    hits = {}
+    for r in evaluation_queries._hits(spark, DIR).collect():
+        assert r["text"] == docs[r["chunk_id"]]
+        hits.setdefault(r["qid"], []).append(r)
+    seen = 0
+    for r in rows(spark, "answer_questions"):
+        if r["route"] == "generate":
+            entries = r["answer"]
+            for h in sorted(hits[r["qid"]], key=lambda h: h["rank"]):
+                head, _, entries = entries.partition("\n")
+                text = docs[h["chunk_id"]]
+                assert head.startswith(f"[{h['rank']}] ") and entries.startswith(text)
+                entries = entries[len(text) :].removeprefix("\n\n")
+            assert entries == ""
+            seen += 1
+    assert seen and max(len(docs[h["chunk_id"]]) for own in hits.values() for h in own) > 50
+
+
 def test_pca(spark):
     import numpy as np
 
